@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media_ts, mixing, sharding
+from . import chat, media_ts, mixing, quality, sharding
 from .common import table
 
 
@@ -32,8 +32,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op8_chat_formatting)}
+    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op8_chat_formatting, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
