@@ -31,6 +31,8 @@ from .common import durable, global_rank, n_words
 WEIGHTS = (3.0, 1.0, 2.0)
 TOLERANCE = 1e-10
 STEPS = 60
+#: Places where the rows of one source meet its rate.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -104,8 +106,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     s = lambda d, n: d.withColumnRenamed("source", n)
     by = sizes.join(s(targets.drop("source_size"), "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").join(s(tilt, "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     by = by.select(F.col("source").alias("s"), "source_size", "target", F.least(F.lit(most), F.exp("lambda")).alias("rate"), F.ceil(F.col("n") / cell).alias("cells"))
-    rows = narrow.join(by, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("cell", F.pmod(F.xxhash64("h", F.lit("cell")), F.col("cells"))).drop("cells")
+    # a hot source's rows meet its one row of `by` in SALTS places
+    by = by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = narrow.withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("at", F.pmod("h", F.lit(SALTS)).cast("int"))
+    rows = rows.join(by, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("salt"))).drop("s", "at", "salt")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("h", F.lit("cell")), F.col("cells"))).drop("cells")
     out = "doc_id long, source string, size long, th long, source_size long, target double, copies long"
     rounded = rows.groupBy("source", "cell").applyInPandas(_diffuse(most), out)
     return rounded.withColumn("taken", F.col("copies") * F.col("size"))
