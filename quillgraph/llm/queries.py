@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media_ts, mixing, quality, sharding
+from . import chat, media_ts, mixing, ngram_join, quality, sharding
 from .common import table
 
 
@@ -36,8 +36,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op8_chat_formatting, op9_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op8_chat_formatting, op9_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
