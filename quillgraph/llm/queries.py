@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, media_ts, mixing, ngram_join, quality, sharding
+from . import chat, line_dedup, media_ts, mixing, ngram_join, quality, sharding, spm_dropout
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="removed_lines")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_dropout.segmented(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -45,7 +49,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op8_chat_formatting, op9_quality, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op8_chat_formatting, op9_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
