@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, media_ts, mixing, ngram_join, quality, sharding, spm_dropout
+from . import ann, chat, html_wrappers, line_dedup, media_ts, mixing, ngram_join, quality, sharding, spm_dropout
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_dropout.segmented(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +57,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
