@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,40 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles nothing refers to any more, so that their files go now, not at the end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside hand Python so many rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """rows whose 16-byte key may be in wanted (same column): all that are, and few others.
+
+    A bitmap of `bits` bits, 4 kB a bucket, is broadcast: 4 MB at most, whatever the tables' sizes. It thins out what
+    an exact join must shuffle afterwards; the more keys, the less it thins out, but it never loses one."""
+
+    def at(c: str) -> Column:
+        return F.pmod(F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long"), F.lit(bits))
+
+    maps = wanted.select(at(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    byte = "cast(conv(hex(substring(__map, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"shiftright({byte}, cast(bitmap_bit_position(__p) % 8 as int)) & 1")
+    found = rows.withColumn("__p", at(key)).withColumn("__n", F.bitmap_bucket_number("__p")).join(F.broadcast(durable(maps)), F.col("__n") == F.col("__bucket"))
+    return found.filter(hit == 1).select(*rows.columns)
+
+
 def utf8(c: Column | str) -> Column:
     return F.encode(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "UTF-8")
 

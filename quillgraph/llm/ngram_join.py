@@ -12,7 +12,7 @@ element; a set for which even those do not reach H gets all its segments. The sl
 the least expected number of signatures.
 
 Buckets are not expanded into pairs. Members of a bucket meet its least member first; buckets whose members are by then
-in one component are finished; the others go on with 8, 64, ... members as pivots against the members of other
+in one component are finished; the others go on with 32, 256, ... members as pivots against the members of other
 components, until every pair in a bucket is either tested or inside one component. Tests count the exact intersection.
 
 Scale: equal texts are one class before anything else (partial aggregation). What is shuffled are signatures (about one
@@ -37,17 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import among, batches_of, durable, tidy
 from .components import components
 
 #: Jaccard threshold as a fraction, and bands' growth.
 NUM, DEN = 9, 10
-GROWTH = 1.5
+GROWTH = 1.4
 #: Segments with fewer elements have no signature of their own.
 STRONG = 3
-PIVOTS = 8
-#: Rows of a batch that leaves Python.
-CHUNK = 256
+PIVOTS = 32
+#: Rows of a batch that goes to Python, and that leaves it.
+BATCH, CHUNK = 2_000, 256
 
 
 class Band(NamedTuple):
@@ -66,26 +66,29 @@ def _poisson(mean: float, upto: int) -> list[float]:
     return p
 
 
-def _slack(h: int, size: int) -> int:
-    """The slack with the least expected number of signatures of a set of this size."""
+def _slack(h: int, low: int, high: int) -> int:
+    """The slack with the least expected number of signatures of sets of the sizes low to high, evenly spread."""
 
     def cost(slack: int) -> float:
-        m = h + 1 + slack
-        weak = sum(_poisson(size / m, STRONG))
-        beyond = max(0.0, 1 - sum(_poisson(m * weak, slack + 1)))
-        return m * (1 - weak) + beyond * (size + m)
+        m, total = h + 1 + slack, 0.0
+        for i in range(5):
+            size = low + (high - low) * i / 4
+            weak = sum(_poisson(size / m, STRONG))
+            beyond = max(0.0, 1 - sum(_poisson(m * weak, slack + 1)))
+            total += m * (1 - weak) + beyond * (size + m)
+        return total
 
-    return min(range(8 + h // 8), key=cost)
+    return min(range(8 + h // 4), key=cost)
 
 
 @lru_cache(maxsize=None)
 def band(number: int) -> Band:
-    upper = DEN - 2  # below this no two different sets are similar enough
+    low, upper = 1, DEN - 2  # below this no two different sets are similar enough
     for _ in range(number):
-        upper = max(upper + 1, int(upper * GROWTH))
+        low, upper = upper + 1, max(upper + 1, int(upper * GROWTH))
     reach = upper * DEN // NUM
     h = (upper + reach) * (DEN - NUM) // (DEN + NUM)
-    return Band(number, upper, reach, h, 1, 0) if h == 0 else Band(number, upper, reach, h, h + 1 + (s := _slack(h, int(upper / 1.2))), s)
+    return Band(number, upper, reach, h, 1, 0) if h == 0 else Band(number, upper, reach, h, h + 1 + (s := _slack(h, low, reach)), s)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -188,25 +191,27 @@ def _rooted(rows: DataFrame, roots: DataFrame, c: str, out: str) -> DataFrame:
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """doc_id, key (digest of the text), n_shingles, component_id for every row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
+    spark = docs.sparkSession
     signed = rows.mapInPandas(_signed(n), "doc_id long, key binary, n long, sigs array<long>")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
-    classes = durable(classes.withColumn("c", F.monotonically_increasing_id()))
+    with batches_of(spark, BATCH):
+        classes = durable(classes.withColumn("c", F.monotonically_increasing_id()))
+    tidy(spark)
 
     entries = classes.select("c", F.explode("sigs").alias("sig"))
     buckets = durable(entries.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig", "p"))
     members = durable(entries.join(buckets, "sig"))
-    wanted = members.select("c").distinct().join(classes.select("c", "label", "key"), "c")
-    texts = rows.join(wanted.toDF("c", "__label", "__key"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__label"))).select("c", "text")
-    sets = durable(texts.mapInPandas(_sets(n), "c long, elements array<long>").dropDuplicates(["c"]))
-
-    # each member with the pivot that it shares most buckets with, then with all its buckets' pivots
-    star = durable(members.filter("c != p").groupBy(F.col("p").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("shared")))
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = durable(_verified(best, sets))
-    roots = durable(components(links))
-    rest = _rooted(_rooted(star.select("a", "b"), roots, "a", "ra"), roots, "b", "rb").filter("ra != rb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = durable(links.union(_verified(rest, sets)))
+    tidy(spark)
+    wanted = durable(members.select("c").distinct().join(classes.select("c", "label", "key"), "c"))
+    texts = among(rows, "key", wanted).join(wanted.toDF("c", "__label", "__key"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__label"))).select("c", "text")
+    with batches_of(spark, BATCH):
+        sets = durable(texts.mapInPandas(_sets(n), "c long, elements array<long>").dropDuplicates(["c"]))
+    tidy(spark)
+
+    star = members.filter("c != p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+    links = durable(_verified(star, sets))
     roots = durable(components(links))
+    tidy(spark)
 
     # buckets that still hold several components: more pivots, none twice
     open_ = members.filter("c != p").select("sig", "c")
@@ -222,6 +227,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
         pairs = open_.join(chosen, "sig").filter("r != ra").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         links = durable(links.union(_verified(pairs, sets)))
         roots = durable(components(links))
+        tidy(spark)
         open_ = open_.select("sig", "c").join(chosen.select("sig", F.col("a").alias("c")), ["sig", "c"], "left_anti")
         pivots *= 8
 
