@@ -1 +1,128 @@
-"""Queries."""
+"""Queries: search, vectors, fusion, samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import quality_label
+from ..operators import search as S
+from ..operators.graph import seed_expansion
+from ..sources.views import edges, nodes, table
+from .registry import register
+
+_ORDER = ["Region", "Nation", "Supplier", "Part", "Customer"]
+_RANK = "list_position(['Region', 'Nation', 'Supplier', 'Part', 'Customer'], label)"
+
+
+def _text_sql(query: str, limit: int) -> str:
+    return f"""hits AS (SELECT *, {_RANK} AS r FROM nodes WHERE {_RANK} IS NOT NULL AND {_RANK} > 0 AND (contains(name, '{query}') OR contains(title, '{query}') OR contains(content, '{query}'))),
+few AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM hits QUALIFY k <= greatest(5, {limit})),
+cnt AS (SELECT r, count(*) AS n FROM few GROUP BY r), adm AS (SELECT r, coalesce(sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cnt),
+scored AS (SELECT id, label, coalesce(nullif(title, ''), name) AS title, (CASE WHEN name = '{query}' THEN 100 WHEN contains(name, '{query}') THEN 80 WHEN contains(title, '{query}') THEN 60 ELSE 40 END + CASE label WHEN 'Region' THEN 25 WHEN 'Part' THEN 15 ELSE 5 END)::BIGINT AS score, r, k FROM few JOIN adm USING (r) WHERE b < 5 * {limit}),
+found AS (SELECT id, label, title, score, row_number() OVER (ORDER BY score DESC, r, k) - 1 AS rank FROM scored QUALIFY rank < {limit})"""
+
+
+_BOOST = {"Region": 25, "Part": 15}
+
+
+@register("t1_text_search", f"WITH @NODES, {_text_sql('A', 10)} SELECT id, label, title, score FROM found")
+def t1_text_search(spark, d):
+    return S.text_search(nodes(spark, d), "A", _ORDER, 10, _BOOST)
+
+
+@register("t2_subterm_search", """WITH @NODES, terms(i, t) AS (VALUES (0, 'Part'), (1, 'Supplier'), (2, '00')),
+hits AS (SELECT id, label, name, i, t FROM nodes, terms WHERE contains(name, t) AND label IN ('Region', 'Nation', 'Supplier', 'Part', 'Customer') QUALIFY row_number() OVER (PARTITION BY i, label ORDER BY id) <= 5)
+SELECT id, label, name AS title, t AS term, 65::BIGINT AS score FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1""")
+def t2_subterm_search(spark, d):
+    return S.subterm_search(nodes(spark, d), ["Part", "Supplier", "00"], _ORDER)
+
+
+_QUERY = [0.1 if i % 2 else -0.05 for i in range(64)]
+_Q = "list_transform(range(64), lambda i: CASE WHEN i % 2 = 1 THEN 0.1::DOUBLE ELSE -0.05::DOUBLE END)"
+_COS = f"1 - list_dot_product(embedding::DOUBLE[], {_Q}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_Q}, {_Q})))"
+
+
+@register("t3_vector_topk", f"SELECT vec_id, round({_COS}, 6) AS distance FROM embeddings ORDER BY {_COS}, vec_id LIMIT 10")
+def t3_vector_topk(spark, d):
+    return S.vector_topk(table(spark, d, "embeddings"), _QUERY).withColumn("distance", F.round("distance", 6))
+
+
+@register("t3_vector_topk_l2", f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_Q}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q}), vec_id LIMIT 10")
+def t3_vector_topk_l2(spark, d):
+    return S.vector_topk(table(spark, d, "embeddings"), _QUERY, metric="l2").withColumn("distance", F.round("distance", 6))
+
+
+def _vec_hits(spark, d, k=30):
+    top = S.ranked(S.vector_topk(table(spark, d, "embeddings"), _QUERY, k), "distance", "vec_id")
+    return top.select(F.concat(F.lit("Part:"), F.col("vec_id").cast("string")).alias("id"), F.lit("Part").alias("label"), "rank")
+
+
+def _text_hits(spark, d, k=30):
+    order = [S.rank_of(F.col("label"), _ORDER), "id"]
+    return S.ranked(S.text_search(nodes(spark, d), "A", _ORDER, k, _BOOST), F.desc("score"), *order)
+
+
+_VEC = f"""vec AS (SELECT 'Part:' || vec_id AS id, 'Part' AS label, row_number() OVER (ORDER BY {_COS}, vec_id) - 1 AS rank FROM embeddings QUALIFY rank < 30)"""
+_FUSED = f"""{_text_sql('A', 30)}, txt AS (SELECT id, label, rank FROM found), {_VEC}, both_lists AS (SELECT *, 0 AS l FROM txt UNION ALL SELECT *, 1 FROM vec),
+fused AS (SELECT id, min_by(label, l) AS label, round(sum(1.0::DOUBLE / (61 + rank)) + CASE min_by(label, l) WHEN 'Region' THEN 0.012 WHEN 'Part' THEN 0.005 ELSE 0.001 END, 6) AS rrf_score FROM both_lists GROUP BY id)"""
+_FUSION = {"Region": 0.012, "Part": 0.005}
+
+
+@register("t4_rrf", f"WITH @NODES, {_FUSED} SELECT id, label, rrf_score FROM fused")
+def t4_rrf(spark, d):
+    return S.fuse([_text_hits(spark, d), _vec_hits(spark, d)], boost=_FUSION)
+
+
+@register("t5_hybrid", f"""WITH @NODES, @EDGES, {_FUSED}, best AS (SELECT id, rrf_score, row_number() OVER (ORDER BY rrf_score DESC, id) - 1 AS rank FROM fused QUALIFY rank < 10),
+both_ways AS (SELECT src AS node, 'out' AS direction, rel_type, dst AS other FROM edges UNION ALL SELECT dst, 'in', rel_type, src FROM edges),
+near AS (SELECT node, direction, rel_type, other, rank, row_number() OVER (PARTITION BY node, direction ORDER BY rel_type, other) AS k FROM both_ways JOIN best ON node = id WHERE rank < 5 QUALIFY k <= 5),
+once AS (SELECT *, row_number() OVER (PARTITION BY other ORDER BY rank, CASE direction WHEN 'out' THEN 0 ELSE 1 END, k) AS n FROM near QUALIFY n = 1),
+grown AS (SELECT other FROM once ORDER BY rank, CASE direction WHEN 'out' THEN 0 ELSE 1 END, k, other LIMIT 20)
+SELECT 'hit' AS kind, id, rrf_score FROM best UNION ALL SELECT 'neighbour', other, NULL FROM grown""")
+def t5_hybrid(spark, d):
+    best = S.ranked(t4_rrf(spark, d).orderBy(F.desc("rrf_score"), "id").limit(10), F.desc("rrf_score"), "id")
+    seeds = best.filter("rank < 5").select("id", F.col("rank").alias("seed_rank"))
+    grown = seed_expansion(seeds, edges(spark, d))
+    return best.select(F.lit("hit").alias("kind"), "id", "rrf_score").unionByName(grown.select(F.lit("neighbour").alias("kind"), F.col("other").alias("id"), F.lit(None).cast("double").alias("rrf_score")))
+
+
+@register("t6_symbol_search", f"""WITH @NODES, few AS (SELECT id, label, name, {_RANK} AS r, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM nodes WHERE {_RANK} > 0 AND contains(name, '1') QUALIFY k <= 20)
+SELECT id, label, name FROM few ORDER BY r, k LIMIT 20""")
+def t6_symbol_search(spark, d):
+    return S.symbol_search(nodes(spark, d), "1", _ORDER)
+
+
+@register("t7_newest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def t7_newest(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_orderdate")
+
+
+@register("t8_longest_first", "SELECT doc_id, length(text) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 25")
+def t8_longest_first(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n")).orderBy(F.desc("n"), "doc_id").limit(25)
+
+
+@register("t10_stratified", r"""WITH @NODES SELECT id, label FROM nodes WHERE label IN ('Part', 'Customer', 'Supplier') AND length(name) >= 2 AND NOT regexp_matches(name, '^([◆■●▶\s0-9.]+|-{3,}|\.{3,}|第[一二三四五六七八九十]+[章节])') AND NOT contains(name, '- - -') AND NOT contains(name, '---')
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) <= CASE label WHEN 'Part' THEN 30 WHEN 'Customer' THEN 20 ELSE 10 END""")
+def t10_stratified(spark, d):
+    return S.stratified(nodes(spark, d), {"Part": 30, "Customer": 20, "Supplier": 10}, quality_label(F.col("name"))).select("id", "label")
+
+
+@register("t12_budget_sample", f"""WITH @NODES, r AS (SELECT id, label, {_RANK} AS r, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM nodes WHERE {_RANK} > 0), c AS (SELECT r, count(*) FILTER (label <> 'Part' OR k <= 200) AS n FROM r GROUP BY r),
+b AS (SELECT r, coalesce(sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT id, label FROM r JOIN b USING (r) WHERE (label <> 'Part' OR k <= 200) AND before + k <= 500""")
+def t12_budget_sample(spark, d):
+    return S.budget_sample(nodes(spark, d), _ORDER, 500, ["Part"])
+
+
+@register("t13_tiered_context", f"""WITH @NODES, {_text_sql('A', 30)}, p AS (SELECT id, rank, title AS part FROM found), q AS (SELECT *, floor(length(part) / 2)::BIGINT AS tokens FROM p)
+SELECT id, rank, part, tokens FROM q QUALIFY sum(tokens) OVER (ORDER BY rank) <= 100""")
+def t13_tiered_context(spark, d):
+    return S.tiered_context(_text_hits(spark, d), "title", budget=100)
+
+
+@register("t15_neighbour_edges", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_dot_product(x.e, y.e) / (x.n * y.n) AS distance FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id)
+SELECT a, b, round(distance, 6) AS distance FROM p WHERE distance <= 0.75 QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5""")
+def t15_neighbour_edges(spark, d):
+    return S.neighbour_edges(table(spark, d, "embeddings"), "label", most=0.75)
