@@ -1 +1,84 @@
-"""Queries."""
+"""Queries: evaluation, subgraphs, parsers over the driver's texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import split as SP
+from ..operators import evaluate as E
+from ..operators.schema import rogue_bucket
+from ..sources.views import edges, nodes, table
+from .registry import register
+
+
+@register("q17_score_cases", r"""WITH c AS (SELECT item_id AS id, left(text, 60) AS expected, 'Doc:' || left(text, 8) AS anchor FROM benchmark), a AS (SELECT c.id, expected, coalesce(max(d.text), '') AS answer, anchor FROM c LEFT JOIN documents d ON d.doc_id = c.id GROUP BY ALL),
+w AS (SELECT id, answer, anchor, list_distinct(regexp_extract_all(expected, '[A-Za-z]{4,}')) AS words FROM a),
+s AS (SELECT id, CASE WHEN contains(answer, replace(anchor, 'Doc:', '')) THEN 1.0 ELSE 0.0 END::DOUBLE AS ar, len(list_filter(words, lambda x: contains(answer, x))) / greatest(len(words), 1) AS ko FROM w)
+SELECT id, round((ar + ko) / 3, 4) AS composite, round(ar, 4) AS anchor_recall, round(ko, 4) AS keyword_overlap, 0.0::DOUBLE AS source_citation FROM s""")
+def q17_score_cases(spark, d):
+    b = table(spark, d, "benchmark")
+    cases = b.select(F.col("item_id").alias("id"), F.left("text", F.lit(60)).alias("expected_answer"), F.array(F.concat(F.lit("Doc:"), F.left("text", F.lit(8)))).alias("reasoning_anchors"), F.array().cast("array<string>").alias("sources"))
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array().cast("array<string>").alias("source_strings"))
+    return E.score_cases(cases, answers)
+
+
+@register("q18_averages", "SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))")
+def q18_averages(spark, d):
+    return E.averages(table(spark, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority")
+
+
+@register("t11_type_subgraph")
+def t11_type_subgraph(spark, d):
+    return E.type_subgraph(nodes(spark, d), edges(spark, d), "Supplier")
+
+
+@register("j22_rescue", """WITH @NODES, @EDGES, s AS (SELECT id FROM nodes WHERE label IN ('Customer', 'Region')), alone AS (SELECT id FROM s WHERE id NOT IN (SELECT src FROM edges WHERE src IN (FROM s) AND dst IN (FROM s) UNION SELECT dst FROM edges WHERE src IN (FROM s) AND dst IN (FROM s)) ORDER BY id LIMIT 50)
+SELECT src, dst, rel_type FROM edges JOIN alone ON src = id QUALIFY row_number() OVER (PARTITION BY src ORDER BY rel_type, dst) <= 5""")
+def j22_rescue(spark, d):
+    n = nodes(spark, d)
+    return E.rescue(n, edges(spark, d), n.filter(F.col("label").isin("Customer", "Region")))
+
+
+@register("a12_metadata_composite", "SELECT p_type, count(*) AS sampled, round(least(count(*) FILTER (p_size > 25) / count(*) * 100 / 90 * 100, 100), 1) AS score FROM part GROUP BY 1")
+def a12_metadata_composite(spark, d):
+    return E.metadata_composite(table(spark, d, "part").withColumn("x", F.when(F.col("p_size") > 25, F.col("p_name"))), "p_type", ["x"])
+
+
+@register("a16_short_sources", "WITH @NODES, @EDGES SELECT count(*) FILTER (coalesce(title, name) IS NULL OR length(coalesce(title, name)) < 5) AS unlabeled FROM edges JOIN nodes ON src = id WHERE rel_type = 'CONTAINS'")
+def a16_short_sources(spark, d):
+    return E.short_sources(nodes(spark, d), edges(spark, d), "CONTAINS")
+
+
+@register("q16_rogue_buckets", "WITH @EDGES SELECT rel_type, CASE WHEN rel_type = 'CONTAINS' THEN 'code_analysis_residue' WHEN starts_with(rel_type, 'IN_') THEN 'legacy_prefixes' ELSE 'other' END AS bucket, count(*) AS n FROM edges GROUP BY 1, 2")
+def q16_rogue_buckets(spark, d):
+    b = rogue_bucket(F.col("rel_type"), {}, {"code_analysis_residue": ["CALLS_", "CONTAINS"], "legacy_prefixes": ["IN_", "FT_"]})
+    return edges(spark, d).groupBy("rel_type", b.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@register("x22_path_buckets", r"SELECT page_id, CASE WHEN regexp_matches(url, '\?page=') THEN 'paged' WHEN regexp_matches(url, '\.html$') THEN 'static' ELSE 'other' END AS bucket FROM pages")
+def x22_path_buckets(spark, d):
+    return table(spark, d, "pages").select("page_id", E.path_bucket(F.col("url"), [("paged", r"\?page="), ("static", r"\.html$")]).alias("bucket"))
+
+
+@register("x10_title_terms", r"SELECT p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(p_name, '\s+'), lambda w: length(w) >= 2))) AS terms FROM part")
+def x10_title_terms(spark, d):
+    from ..functions.text import title_terms
+
+    return table(spark, d, "part").select("p_partkey", F.array_sort(title_terms(F.col("p_name"))).alias("terms"))
+
+
+@register("w5_sections")
+def w5_sections(spark, d):
+    """Sections of the documents, their first lines taken as headings."""
+    marked = F.regexp_replace("text", r"(?m)^(?=[A-Z])", "# ")
+    docs = table(spark, d, "documents").select("doc_id", marked.alias("t"))
+    found = SP.explode_with(docs, SP.sections, ["t"], "idx int, heading string, level int, start_line int, end_line int, words int")
+    return found.select("doc_id", "idx", "level", "start_line", "end_line", "words")
+
+
+@register("x6_clauses")
+def x6_clauses(spark, d):
+    """Clauses of a law that is laid over the documents' lines."""
+    text = F.array_join(F.transform(F.slice(F.split("text", "\n"), 1, 9), lambda x, i: F.concat(F.lit("第"), F.element_at(F.split(F.lit("一 二 三 四 五 六 七 八 九"), " "), i + 1), F.lit("条 "), x)), "\n")
+    found = SP.explode_with(table(spark, d, "documents").select("doc_id", text.alias("t")), SP.split_clauses, ["t"], "article int, paragraph int, title string, body string, refs string")
+    return found.select("doc_id", "article", F.length("body").alias("n"))
