@@ -73,8 +73,9 @@ def _same(parsed: Column, source: Column) -> Column:
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, formatted, turns (as read back from formatted), loss_spans (start from 0 and end, in code points, of each
-    assistant text as it stands in formatted), escaped (0: none, 1: some turns, 2: every turn)."""
+    """conv, formatted, turns (as read back from formatted), escaped (0: none, 1: some turns, 2: every turn), and
+    loss_lengths (whether a turn is under the loss mask, lengths of its role and text as they stand in formatted), from
+    which loss_spans() gives places."""
     rows = df.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = F.struct("role", "text")
     plain = F.coalesce(_same(parse(render(F.col("role"), F.col("text"))), F.array(source)), F.lit(False))
