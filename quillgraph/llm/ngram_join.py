@@ -11,9 +11,16 @@ than the slack also gets the one-deletion neighbourhoods of its segments, which
 element; a set for which even those do not reach H gets all its segments. The slack of a band is the one with
 the least expected number of signatures.
 
-Buckets are not expanded into pairs. Members of a bucket meet its least member first; buckets whose members are by then
-in one component are finished; the others go on with 32, 256, ... members as pivots against the members of other
-components, until every pair in a bucket is either tested or inside one component. Tests count the exact intersection.
+Similar sets share not one signature but many: all segments but H, less the small ones. Sets whose signatures that others
+have too are fewer than that leave their buckets first.
+
+Buckets are not expanded into pairs. Members of a bucket meet its least member, the pivot: near ones are in its component.
+The members of a pivot (its star) are then seen as differences from the star's centre; the member nearest to the centre
+meets all others. Two members of which at least one is still outside that one's component can only be similar if
+their differences overlap, so they meet again by a prefix of these differences (elements that the centre lacks come
+first, since those are rare). Buckets of this second kind whose members are in one component are finished; in the
+others 32, 256, ... members meet the members of other components, until every pair is either tested or inside one
+component. Tests count the exact intersection.
 
 Scale: equal texts are one class before anything else (partial aggregation). What is shuffled are signatures (about one
 for six shingles, 16 bytes) and sets of candidates only. Aggregations precede joins, so a hot bucket is split by
@@ -34,7 +41,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, batches_of, durable, tidy
@@ -46,6 +53,10 @@ GROWTH = 1.4
 #: Segments with fewer elements have no signature of their own.
 STRONG = 3
 PIVOTS = 32
+#: Nearest members of a pivot that its star's centre is taken from; it affects speed alone.
+CENTRE = 32
+#: Rounds in which sets that share too few signatures leave their buckets.
+THINNED = 2
 #: Rows of a batch that goes to Python, and that leaves it.
 BATCH, CHUNK = 2_000, 256
 
@@ -121,33 +132,41 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
+def band_signatures(elements: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set its signatures, and how many of them any similar set of that band must share.
+
+    Of m segments at most H differ, so m - H are equal, and all of these have a signature but those that are small."""
     size, out = len(elements), []
-    for b in bands_of(size) if size else ():
+    for place, b in enumerate(bands_of(size) if size else ()):
         salt = np.uint64((2 * b.number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         hashed = _mix(elements + salt)
         if b.m == 1:
-            out.append(_mix(np.array([hashed.sum()], np.uint64) + salt))
+            out.append((_mix(np.array([hashed.sum()], np.uint64) + salt), 1))
             continue
-        at = (hashed >> np.uint64(32)) % np.uint64(b.m)
-        at = at.astype(np.int64)
+        at = ((hashed >> np.uint64(32)) % np.uint64(b.m)).astype(np.int64)
         value = _mix(hashed)
         counts = np.bincount(at, minlength=b.m)
         sums = np.zeros(b.m, np.uint64)
         np.add.at(sums, at, value)
-        place = (np.arange(b.m, dtype=np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + salt
+        mark = (np.arange(b.m, dtype=np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + salt
         strong = counts >= STRONG
         weak = b.m - int(strong.sum())
         room = 2 * int((counts > STRONG).sum()) + int((counts == STRONG).sum())
         near = weak > b.slack
         whole = near and room <= b.h
-        out.append(_mix(_mix(sums + place)[strong | whole]))
+        found = _mix(_mix(sums + mark)[strong | whole])
+        partner = b.upper if place else size * DEN // NUM
+        shared = 1 if near else max(1, b.m - (size + partner) * (DEN - NUM) // (DEN + NUM) - weak)
         if near:
-            tagged = sums + ~place
-            out.append(_mix(_mix(tagged)[strong]))
+            tagged = sums + ~mark
             can = counts[at] > STRONG
-            out.append(_mix(_mix(tagged[at[can]] - value[can])))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            found = np.concatenate([found, _mix(_mix(tagged)[strong]), _mix(_mix(tagged[at[can]] - value[can]))])
+        out.append((np.unique(found), shared))
+    return out
+
+
+def signatures(elements: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([s for s, _ in band_signatures(elements)])) if len(elements) else np.empty(0, np.uint64)
 
 
 def _chunks(p: pd.DataFrame, make) -> Iterator[pd.DataFrame]:
@@ -158,7 +177,11 @@ def _chunks(p: pd.DataFrame, make) -> Iterator[pd.DataFrame]:
 def _signed(n: int):
     def make(p: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, n) for t in p["text"]]
-        return pd.DataFrame({"doc_id": p["doc_id"], "key": p["key"], "n": [len(s) for s in sets], "sigs": [signatures(s).view(np.int64) for s in sets]})
+        found = [[*band_signatures(x), *[(np.empty(0, np.uint64), 1)] * 2] for x in sets]
+        columns = {"doc_id": p["doc_id"], "key": p["key"], "n": [len(x) for x in sets]}
+        for i in (0, 1):
+            columns |= {f"sigs{i}": [f[i][0].view(np.int64) for f in found], f"share{i}": [f[i][1] for f in found]}
+        return pd.DataFrame(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -184,6 +207,69 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.filter(most).filter(both * (DEN + NUM) >= (size("x") + size("y")) * NUM).select("a", "b")
 
 
+def _detail(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, nb, near, extra, less for pivots a and members b of their buckets, and each pivot as its own member.
+
+    near: the two are similar. extra and less: elements that only b, and only a has."""
+    rows = star.union(star.select("a", F.col("a").alias("b")).distinct())
+    x = rows.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    only = lambda p, q: F.array_sort(F.array_except(p, q))
+    x = x.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), only("y", "x").alias("extra"), only("x", "y").alias("less"))
+    near = (F.size("extra") + F.size("less")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    return x.select("a", "b", "nb", near.alias("near"), "extra", "less")
+
+
+def _centred(detail: DataFrame) -> DataFrame:
+    """extra and less relative to a star's centre instead of its pivot: elements in which most of its nearest members
+    differ from the pivot are turned over. Any set does as centre; this one makes differences few and rare."""
+    members = detail.filter("a != b").withColumn("d", F.size("extra") + F.size("less"))
+    w = Window.partitionBy("a").orderBy("d", "b")
+    some = members.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= CENTRE)
+    each = some.select("a", F.explode("extra").alias("t"), F.lit(True).alias("more")).unionByName(some.select("a", F.explode("less").alias("t"), F.lit(False).alias("more")))
+    counts = each.groupBy("a", "t", "more").agg(F.count("*").alias("n")).join(some.groupBy("a").agg(F.count("*").alias("of")), "a").filter("2 * n > of")
+    turned = counts.groupBy("a").agg(F.collect_set(F.when(F.col("more"), F.col("t"))).alias("more"), F.collect_set(F.when(~F.col("more"), F.col("t"))).alias("fewer"))
+    x = detail.join(turned, "a", "left")
+    empty = F.array().cast("array<bigint>")
+    more, fewer = F.coalesce("more", empty), F.coalesce("fewer", empty)
+    extra = F.array_sort(F.concat(F.array_except("extra", more), F.array_except(fewer, F.col("less"))))
+    less = F.array_sort(F.concat(F.array_except("less", fewer), F.array_except(more, F.col("extra"))))
+    return x.select("a", "b", "nb", extra.alias("extra"), less.alias("less")).withColumn("d", F.size("extra") + F.size("less"))
+
+
+def _prefixes(x: DataFrame) -> DataFrame:
+    """a, b, nb, d, y, prefix, to_core. x: a, b, nb, extra, less, d, and the star's exemplar y, its size ne and difference e.
+
+    Members x, y of one star differ in |Dx| + |Dy| - 2 |Dx and Dy| elements, D their differences from the centre. A member
+    outside the exemplar's component differs from the exemplar in more than H, so |Dx| has a lower bound, and so has the
+    overlap of Dx and Dy of similar x and y of which one is outside. They then share an element among the first of
+    each: `prefix` is what a member needs to meet outer members, `to_core` what an outer one needs to meet those of the
+    core. 0 stands for the rare case in which they need not share any."""
+    share_of = lambda n: n * (DEN - NUM) / (DEN + NUM)
+    h = F.floor(share_of(F.col("nb") + F.floor(F.col("nb") * DEN / NUM)))
+    q = F.floor(share_of(F.col("ne") + F.ceil(F.col("nb") * NUM / DEN))) + 1 - F.col("e")
+    x = x.withColumn("h", h.cast("int")).withColumn("q", F.greatest(q, F.col("d") - F.col("h")).cast("int"))
+    share = F.ceil((F.col("d") + F.col("q") - F.col("h")) / 2).cast("int")
+    every = F.concat("extra", "less")
+    any_ = F.concat(every, F.array(F.lit(0).cast("bigint")))
+    first = lambda n: F.slice(every, F.lit(1), F.greatest(F.lit(0), F.least(n, F.col("d"))))
+    prefix = F.when(share >= 1, first(F.col("d") - share + 1)).otherwise(any_)
+    to_core = F.when(F.col("d") > F.col("h"), first(F.col("h") + 1)).otherwise(any_)
+    return x.select("a", "b", "nb", "d", "y", prefix.alias("prefix"), to_core.alias("to_core"))
+
+
+def _placed(rest: DataFrame, column: str, side: str) -> DataFrame:
+    """a, t and, with `side` in their names, member c, size n, difference d and the element's place i, an element a row."""
+    each = rest.select("a", F.col("b").alias(f"c{side}"), F.col("nb").alias(f"n{side}"), F.col("d").alias(f"d{side}"), F.posexplode(column).alias(f"i{side}", "t"))
+    return each
+
+
+def _may(p: str, q: str) -> Column:
+    """Whether two members that share this element can be similar: by their own sizes and differences the overlap must
+    have so many elements, and this one may be its first only if as many can follow on both sides."""
+    least = F.ceil((F.col(f"d{p}") + F.col(f"d{q}") - F.floor((F.col(f"n{p}") + F.col(f"n{q}")) * (DEN - NUM) / (DEN + NUM))) / 2)
+    return (least <= 0) | ((F.col(f"i{p}") <= F.col(f"d{p}") - least) & (F.col(f"i{q}") <= F.col(f"d{q}") - least))
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, c: str, out: str) -> DataFrame:
     return rows.join(roots.toDF(c, "__r"), c, "left").withColumn(out, F.coalesce("__r", c)).drop("__r")
 
@@ -192,15 +278,22 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     """doc_id, key (digest of the text), n_shingles, component_id for every row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    signed = rows.mapInPandas(_signed(n), "doc_id long, key binary, n long, sigs array<long>")
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    signed = rows.mapInPandas(_signed(n), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("label"), *[F.first(c).alias(c) for c in ("n", "sigs0", "share0", "sigs1", "share1")])
     with batches_of(spark, BATCH):
         classes = durable(classes.withColumn("c", F.monotonically_increasing_id()))
     tidy(spark)
 
-    entries = classes.select("c", F.explode("sigs").alias("sig"))
-    buckets = durable(entries.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig", "p"))
-    members = durable(entries.join(buckets, "sig"))
+    entries = classes.select("c", "share0", "share1", F.size("sigs0").alias("__first"), F.posexplode(F.concat("sigs0", "sigs1")).alias("__i", "sig"))
+    lower = F.col("__i") >= F.col("__first")
+    entries = entries.select("c", "sig", lower.alias("lower"), F.when(lower, F.col("share1")).otherwise(F.col("share0")).alias("share"))
+    several = lambda d: d.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig", "p")
+    members = durable(entries.join(durable(several(entries)), "sig"))
+    tidy(spark)
+    for _ in range(THINNED):  # a set that shares too few signatures with all others together has no similar one
+        enough = members.groupBy("c", "lower").agg(F.count("*").alias("n"), F.max("share").alias("share")).filter("n >= share").select("c", "lower")
+        kept = durable(members.drop("p").join(enough, ["c", "lower"], "left_semi"))
+        members = durable(kept.join(several(kept), "sig"))
     tidy(spark)
     wanted = durable(members.select("c").distinct().join(classes.select("c", "label", "key"), "c"))
     texts = among(rows, "key", wanted).join(wanted.toDF("c", "__label", "__key"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__label"))).select("c", "text")
@@ -209,12 +302,40 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     tidy(spark)
 
     star = members.filter("c != p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
-    links = durable(_verified(star, sets))
+    star = durable(star)
+    large = durable(star.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
+    detail = durable(_detail(star.join(large, "a", "left_semi"), sets))
+    links = durable(_verified(star.join(large, "a", "left_anti"), sets).union(detail.filter("near AND a != b").select("a", "b")))
+    roots = durable(components(links))
+    del entries, members, kept
+    tidy(spark)
+
+    # the member nearest to each centre, the exemplar, against all others that it is not yet linked with
+    spread = _rooted(detail.select("a", "b"), roots, "b", "r").groupBy("a").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("a")
+    centred = durable(_centred(detail.join(spread, "a", "left_semi")))
+    exemplars = centred.groupBy("a").agg(F.min(F.struct("d", "b", "nb")).alias("m")).select("a", F.col("m.b").alias("y"), F.col("m.d").alias("e"), F.col("m.nb").alias("ne"))
+    prefixes = durable(_prefixes(centred.join(exemplars, "a")))
+    del detail, centred
+    tidy(spark)
+    apart = lambda p: _rooted(_rooted(p, roots, "x", "rx"), roots, "y", "ry").filter("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tested = durable(apart(prefixes.select(F.col("b").alias("x"), "y")).join(star, ["a", "b"], "left_anti"))
+    links = durable(links.union(_verified(tested, sets)))
+    roots = durable(components(links))
+    tidy(spark)
+
+    # outer members against the core, and against each other
+    rest = durable(_rooted(_rooted(prefixes, roots, "b", "rb"), roots, "y", "ry").withColumn("core", F.col("rb") == F.col("ry")).drop("rb", "ry"))
+    del prefixes
+    tidy(spark)
+    outer, core = _placed(rest.filter("NOT core"), "to_core", "x"), _placed(rest.filter("core"), "prefix", "y").withColumnsRenamed({"a": "a2", "t": "t2"})
+    pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y")).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    more = durable(apart(pairs).join(star, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
+    tested = tested.union(more)
+    links = durable(links.union(_verified(more, sets)))
     roots = durable(components(links))
     tidy(spark)
 
-    # buckets that still hold several components: more pivots, none twice
-    open_ = members.filter("c != p").select("sig", "c")
+    open_ = _placed(rest.filter("NOT core"), "prefix", "x").withColumn("sig", F.xxhash64("a", "t")).drop("a", "t").withColumnRenamed("cx", "c")
     pivots = PIVOTS
     while True:
         at = _rooted(open_, roots, "c", "r")
@@ -223,12 +344,15 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
         if not open_.limit(1).count():
             break
         w = Window.partitionBy("sig").orderBy("c")
-        chosen = durable(open_.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra")))
-        pairs = open_.join(chosen, "sig").filter("r != ra").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        links = durable(links.union(_verified(pairs, sets)))
+        chosen = durable(open_.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("ix").alias("iy")))
+        met = open_.join(chosen.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y"))
+        pairs = met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+        fresh = durable(pairs.join(tested, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"))
+        tested = tested.union(fresh)
+        links = durable(links.union(_verified(fresh, sets)))
         roots = durable(components(links))
         tidy(spark)
-        open_ = open_.select("sig", "c").join(chosen.select("sig", F.col("a").alias("c")), ["sig", "c"], "left_anti")
+        open_ = open_.drop("r").join(chosen.select("sig", F.col("a").alias("c")), ["sig", "c"], "left_anti")
         pivots *= 8
 
     at = durable(_rooted(classes.select("c", "key", "label", "n"), roots, "c", "r"))
