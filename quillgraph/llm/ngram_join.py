@@ -14,7 +14,7 @@ the least expected number of signatures.
 Similar sets share not one signature but many: all segments but H, less the small ones. Sets whose signatures that others
 have too are fewer than that leave their buckets first.
 
-Buckets are not expanded into pairs. Members of a bucket meet its least member, the pivot: near ones are in its component.
+Buckets are not expanded into pairs. Members of a bucket meet one of them, the pivot: near ones are in its component.
 The members of a pivot (its star) are then seen as differences from the star's centre; the member nearest to the centre
 meets all others. Two members of which at least one is still outside that one's component can only be similar if
 their differences overlap, so they meet again by a prefix of these differences (elements that the centre lacks come
@@ -301,8 +301,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
         sets = durable(texts.mapInPandas(_sets(n), "c long, elements array<long>").dropDuplicates(["c"]))
     tidy(spark)
 
-    star = members.filter("c != p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
-    star = durable(star)
+    # pivot of a bucket: the member that meets most others over all its buckets, so that buckets of one group agree on it
+    met = members.select("sig", "c").distinct()
+    weights = met.join(met.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("c").agg(F.sum("n").alias("w"))
+    pivots_ = met.join(weights, "c").groupBy("sig").agg(F.max(F.struct("w", (-F.col("c")).alias("c"))).alias("top")).select("sig", (-F.col("top.c")).alias("a"))
+    star = durable(met.join(pivots_, "sig").filter("c != a").select("a", F.col("c").alias("b")).distinct())
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     large = durable(star.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
     detail = durable(_detail(star.join(large, "a", "left_semi"), sets))
     links = durable(_verified(star.join(large, "a", "left_anti"), sets).union(detail.filter("near AND a != b").select("a", "b")))
@@ -329,7 +333,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     tidy(spark)
     outer, core = _placed(rest.filter("NOT core"), "to_core", "x"), _placed(rest.filter("core"), "prefix", "y").withColumnsRenamed({"a": "a2", "t": "t2"})
     pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y")).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    more = durable(apart(pairs).join(star, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
+    more = durable(apart(pairs).join(done, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(more)
     links = durable(links.union(_verified(more, sets)))
     roots = durable(components(links))
@@ -347,7 +351,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
         chosen = durable(open_.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("ix").alias("iy")))
         met = open_.join(chosen.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y"))
         pairs = met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        fresh = durable(pairs.join(tested, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"))
+        fresh = durable(pairs.join(tested, ["a", "b"], "left_anti").join(done, ["a", "b"], "left_anti"))
         tested = tested.union(fresh)
         links = durable(links.union(_verified(fresh, sets)))
         roots = durable(components(links))
