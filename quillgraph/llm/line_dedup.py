@@ -3,17 +3,18 @@
 A document is the sequence of its lines that hold words. The gram at a line is the shortest run of lines from there with
 GRAM words; among the grams that start within WINDOW words of a line, the one with the least hash is a fingerprint (all of
 them on ties). Two runs of equal lines with GRAM + WINDOW - 1 words or more therefore share a fingerprint,
-wherever they stand. A document's fingerprint is joined with the first place of that gram in the corpus (least
-doc_id, then text, then line); the two documents are laid over each other at that offset, equal lines are extended
-both ways to maximal runs, and runs of MIN_WORDS words or more are deleted from the later place. Blank lines
+wherever they stand. Documents that share a fingerprint are compared by stretches: from each of their lines and up to
+each of their lines the shortest run with MIN_WORDS words. A stretch that is not the first place of its lines in the corpus (least
+doc_id, then text, then line) is deleted. A run of MIN_WORDS words or more that stands at any earlier place consists
+of such stretches, so every one is deleted whole, whichever places share its fingerprints. Blank lines
 inside a deleted run go with it. Every deleted line has an equal one at an earlier place.
 
 A line's length counts as WINDOW words at most when windows are laid out, so that a long line has a window
-of its own and extension needs no more than that.
+of its own.
 
-Scale: hashes of lines are shuffled (about 30 bytes a line), then fingerprints, then the line hashes of documents that
-share one; whole texts are shuffled once, in the last join. Each fingerprint meets only its first place, so a
-passage or a group of copies gives links in proportion to its size. First places are aggregated before
+Scale: hashes of lines are shuffled (about 30 bytes a line), then fingerprints, then the line hashes and the stretches
+(two a line at most, beside pairs of long lines) of documents that share one; whole texts are shuffled once, in the last join. Places are not paired: a
+passage or a group of copies costs in proportion to its size. First places are aggregated before
 shuffling and joined back, so a hot line is split by skew handling. All steps are built-in expressions.
 
 Defined cases: null text stays null, empty text stays empty; a document whose lines all repeat keeps an empty
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import WORD, durable
 
 GRAM, WINDOW, MIN_WORDS = 25, 26, 50
-#: Lines compared beyond the outermost fingerprints of an overlay: more than any run has there, as each has a word.
-REACH = GRAM + 2 * WINDOW
 
 
 def _lines(text: Column) -> Column:
@@ -60,26 +59,33 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return grams.withColumn("top", F.max("least").over(by.rangeBetween(1 - window, 0))).filter("g = top").select("d", "t", "j", "g")
 
 
+def stretches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, t, j, k, a, b, g: places j to k among the lines with words, their line numbers, hash of the lines.
+
+    From each line and up to each line the shortest stretch of min_words words, and two neighbours that have as many each. Any
+    run of min_words words is made up of stretches inside it, which hold all its lines and all pairs of neighbours."""
+    lines = rows.select("d", "t", F.posexplode(F.arrays_zip("i", "h", "w")).alias("j", "l")).select("d", "t", "j", "l.i", "l.h", F.col("l.w").cast("long").alias("w"))
+    doc = Window.partitionBy("d", "t")
+    lines = lines.withColumn("end", F.sum("w").over(doc.orderBy("j"))).withColumn("at", F.col("end") - F.col("w"))
+    sides = [doc.orderBy("at").rangeBetween(0, min_words - 1), doc.orderBy("end").rangeBetween(1 - min_words, 0), doc.orderBy("j").rowsBetween(0, 1)]
+    held = lambda w: F.struct(F.min("j").over(w).alias("j"), F.max("j").over(w).alias("k"), F.min("i").over(w).alias("a"), F.max("i").over(w).alias("b"), F.xxhash64(F.collect_list("h").over(w)).alias("g"), F.sum("w").over(w).alias("words"), F.min("w").over(w).alias("least"))
+    lines = lines.select("d", "t", *[held(w).alias(f"s{n}") for n, w in enumerate(sides)])
+    pair = F.when((F.col("s2.j") < F.col("s2.k")) & (F.col("s2.least") >= min_words), F.col("s2"))
+    some = F.array_distinct(F.filter(F.array("s0", "s1", pair), lambda s: s.isNotNull() & (s["words"] >= min_words)))
+    return lines.select("d", "t", F.explode(some).alias("s")).select("d", "t", "s.j", "s.k", "s.a", "s.b", "s.g")
+
+
 def repeated_runs(rows: DataFrame, gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """d, t, runs: array<struct<a, b>> of line numbers that repeat earlier ones, for documents that have any."""
+    if gram + window - 1 > min_words:
+        raise ValueError("runs of min_words words need not have a fingerprint")
     prints = durable(fingerprints(rows, gram, window))
     place = F.struct("d", "t", "j")
-    firsts = prints.groupBy("g").agg(F.min(place).alias("f"), F.max(place).alias("z")).filter("f != z").select("g", "f")
-    met = prints.join(firsts, "g").select("d", "t", "j", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), (F.col("j") - F.col("f.j")).alias("off"))
-    met = met.filter(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")) & (F.col("off") == 0)))
-    laid = met.groupBy("d", "t", "d0", "t0", "off").agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
-    x = laid.join(rows.toDF("xd", "xt", "i", "h", "w"), F.col("d").eqNullSafe(F.col("xd")) & (F.col("t") == F.col("xt"))).drop("xd", "xt")
-    y = rows.select("d", "t", "h").toDF("yd", "yt", "y")
-    both = x.join(y, F.col("d0").eqNullSafe(F.col("yd")) & (F.col("t0") == F.col("yt"))).drop("yd", "yt")
-    start = F.greatest(F.lit(0), F.col("off"), F.col("lo") - REACH)
-    end = F.least(F.size("h") - 1, F.size("y") + F.col("off") - 1, F.col("hi") + REACH)
-    same = F.filter(F.sequence(start, end), lambda j: F.get("h", j) == F.get("y", j - F.col("off")))
-    each = both.withColumn("e", F.explode(F.transform(same, lambda j: F.struct(j.alias("j"), F.get("i", j).alias("i"), F.get("w", j).alias("w")))))
-    over = ("d", "t", "d0", "t0", "off")
-    each = each.select(*over, "e.j", "e.i", "e.w")
-    each = each.withColumn("island", F.col("j") - F.row_number().over(Window.partitionBy(*over).orderBy("j")))
-    runs = each.groupBy(*over, "island").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.sum("w").alias("words")).filter(F.col("words") >= min_words)
-    return runs.groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    several = lambda x: x.groupBy("g").agg(F.min(place).alias("f"), F.max(place).alias("z")).filter("f != z").select("g", "f")
+    sharing = prints.join(several(prints).select("g"), "g", "left_semi").select(F.col("d").alias("xd"), F.col("t").alias("xt")).distinct()
+    held = durable(stretches(rows.join(sharing, F.col("d").eqNullSafe(F.col("xd")) & (F.col("t") == F.col("xt")), "left_semi"), min_words))
+    later = held.join(several(held), "g").filter(F.struct("d", "t", "j") != F.col("f"))
+    return later.groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:

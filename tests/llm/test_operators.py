@@ -182,6 +182,44 @@ def test_line_dedup_finds_every_long_run(spark, docs):
         earlier.update(t.split("\n"))
 
 
+def plain_runs(rows, least=50):
+    """Texts without the lines of each run of `least` words that stands at an earlier place too, by all pairs of places."""
+    order = sorted(rows, key=lambda r: r[0])
+    lines = [[(n, x, len(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for _, t in order]
+    out = {}
+    for e, (doc, t) in enumerate(order):
+        gone = set()
+        for d in range(e + 1):
+            for off in range(1 - len(lines[e]), len(lines[d])):
+                if d == e and off >= 0:
+                    continue
+                run = []
+                for j in range(len(lines[e]) + 1):
+                    if j < len(lines[e]) and 0 <= j + off < len(lines[d]) and lines[e][j][1] == lines[d][j + off][1]:
+                        run.append(lines[e][j])
+                        continue
+                    if run and sum(w for _, _, w in run) >= least:
+                        gone |= set(range(run[0][0], run[-1][0] + 1))
+                    run = []
+        out[doc] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return out
+
+
+def test_line_dedup_equals_all_pairs_of_places(spark):
+    """Runs whose first lines also stand earlier without the rest: a document's run is met by a later place than the first."""
+    rng = np.random.default_rng(3)
+    words = lambda k, n: " ".join(f"{k}_{i}" for i in range(n))
+    rows = []
+    for k in range(40):  # a alone, then a and b twice
+        a, b = words(f"a{k}", 30), words(f"b{k}", 25)
+        rows += [(10 * k, a), (10 * k + 1, f"x{k}\n{a}\n\n{b}\ny{k}"), (10 * k + 2, f"z{k} z\n{a}\n\n{b}\nw{k}")]
+    pool = [words(f"p{i}", int(rng.choice([1, 3, 9, 20, 26, 30, 49, 50, 60]))) for i in range(14)] + ["", " "]
+    rows += [(1000 + i, "\n".join(rng.choice(pool, int(rng.integers(1, 14))))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_runs(rows)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 # tokens
 
 
