@@ -79,6 +79,6 @@ def w5_sections(spark, d):
 @register("x6_clauses")
 def x6_clauses(spark, d):
     """Clauses of a law that is laid over the documents' lines."""
-    text = F.array_join(F.transform(F.slice(F.split("text", "\n"), 1, 9), lambda x, i: F.concat(F.lit("第"), F.element_at(F.split(F.lit("一 二 三 四 五 六 七 八 九"), " "), i + 1), F.lit("条 "), x)), "\n")
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条 "), x)), "\n")
     found = SP.explode_with(table(spark, d, "documents").select("doc_id", text.alias("t")), SP.split_clauses, ["t"], "article int, paragraph int, title string, body string, refs string")
     return found.select("doc_id", "article", F.length("body").alias("n"))

@@ -31,3 +31,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_clauses_of_all_lines(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (30 + i) for i in range(1, 25)]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.article, r.n) for r in QUERIES["x6_clauses"](spark, str(tmp_path)).collect())
+    assert got == [(1, i, len(x)) for i, x in enumerate(lines, 1)]
