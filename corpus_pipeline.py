@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import line_dedup, mixing, ngram_join, quality, spm_dropout
@@ -42,8 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row's text."""
-    return spm_dropout.segmented(docs.select("doc_id", "text")).select("doc_id", "n_ids", "ids")
+    """Token ids of each row's text; the copies that the mix makes of a document are segmented apart."""
+    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    rows = docs.select("doc_id", "text").withColumn("copy", F.row_number().over(w))
+    return spm_dropout.segmented(rows, copy="copy").select("doc_id", "n_ids", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

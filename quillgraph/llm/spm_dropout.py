@@ -1,11 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and its lossless decoding.
 
 A merge-type (BPE) model is applied by an agenda: the adjacent pair with the best score is merged first, the leftmost on
-ties. With dropout p each candidate merge that leaves the agenda is skipped when its draw falls under p; draws are a
-sequence of hash bytes keyed by (seed, variant, chunk), p in 256ths, so segmentations vary, reruns agree, and p = 0 is the model's own
-encoding, which is also the result of every draw sequence that skips nothing. The i-th chunk
-of a text uses variant (hash of key and seed + i) mod VARIANTS, so equal words vary within a text and between
-texts while each worker can keep the segmentation of a (chunk, variant) once it is known.
+ties. With dropout p each candidate merge that leaves the agenda is skipped when its draw falls under p; draws are
+hash bytes keyed by (seed, key, text, copy, chunk's place, candidate), p in 256ths, so each use of a word is drawn anew, reruns agree, and p = 0 is the
+model's own encoding, which is also the result of all draws that skip nothing. What the draws skip decides a chunk's
+segmentation, so a worker keeps it for each (chunk, skips) once it is known.
 
 No piece holds a space after another character, and characters that are in no longer piece never merge, so a text is
 cut there into chunks that are encoded independently. Characters without a piece are written as byte pieces, also a
@@ -15,7 +14,8 @@ Scale: row-local, no shuffle, one model (a few hundred kB) sent to each task, me
 batch of texts.
 
 Defined cases: null and empty texts have no pieces (null ids decode to null); texts of any length are encoded whole;
-equal rows have equal ids; other columns are carried; a column of the output's name is replaced.
+equal rows have equal ids unless a column numbers their copies; other columns are carried; a column of the output's name
+is replaced. Every row's ids are decoded and compared with its text; a difference is an error.
 """
 
 from __future__ import annotations
@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS = 4
-#: Segmentations that a worker keeps for each variant.
-CACHE = 120_000
+#: Draws of a chunk that are made at once; the others as they are needed.
+DRAWS = 16
+#: Segmentations with skips that a worker keeps.
+CACHE = 480_000
 #: And encodings without dropout.
 PLAIN = 400_000
 #: Chunks of up to so many characters keep their agenda in a list.
 SHORT = 48
 _ALL, _NONE = (1 << 64) - 1, 1 << 60
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a batch that leaves Python.
 CHUNK = 128
 DROPOUT, SEED = 0.1, 5
@@ -88,31 +90,41 @@ class Encoder:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
         self.line_end = pieces.byte_ids[10]
         self.first_piece = max(pieces.byte_ids) + 1 if pieces.byte_ids == sorted(pieces.byte_ids) else 1 << 30
-        self.plain: dict[str, tuple[bytes, int]] = {}
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if dropout else 1)]
-
-    def _draws(self, data: bytes, variant: int, after: int = 0) -> bytes:
-        """Sixteen more draws of the chunk's sequence, a byte each."""
-        return xxhash.xxh3_128_digest(data, seed=((self.seed * VARIANTS + variant) * 0x9E3779B97F4A7C15 + after) & _ALL)
-
-    def _one(self, chunk: str, variant: int) -> bytes:
-        """The ids of a chunk, packed as int32."""
-        ids, merges = self.plain.get(chunk) or self._plain(chunk)
-        if not self.limit or not merges:
-            return ids
-        data = chunk.encode()
-        draws = self._draws(data, variant)
-        while len(draws) < merges:
-            draws += self._draws(data, variant, len(draws))
-        if min(draws[:merges]) >= self.limit:  # no candidate on the way is skipped: the model's own encoding
-            return ids
-        more = lambda n: self._draws(data, variant, n)
-        return self._packed(self._long(chunk, draws, more) if len(chunk) > SHORT else self._short(chunk, draws, more))
-
-    def _plain(self, chunk: str) -> tuple[bytes, int]:
-        """The encoding without dropout, and its number of merges."""
+        self.plain: dict[str, tuple[bytes, int, int]] = {}
+        self.known: dict[tuple[str, int], bytes] = {}
+
+    def _skips(self, base: int, n: int) -> list[int]:
+        """For n chunks which of the first DRAWS candidates are skipped, a bit each, and the bit DRAWS."""
+        x = np.uint64(base) + np.arange(1, 2 * n + 1, dtype=np.uint64) * _GOLDEN
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        draws = (x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8)
+        return (np.packbits(draws < self.limit, bitorder="little").view("<u2").astype(np.int64) | 1 << DRAWS).tolist()
+
+    def _dropped(self, chunk: str, skips: int, bits: int, base: int, place: int) -> bytes:
+        """The ids of a chunk with these skips; kept if they depend on no draw after the first `bits`."""
+        draws = bytes(0 if skips >> k & 1 else 255 for k in range(DRAWS))
+        late = []
+
+        def more(n: int) -> bytes:
+            late.append(n)
+            return draws[n:] if n < DRAWS else xxhash.xxh3_128_digest(n.to_bytes(8, "little") + place.to_bytes(8, "little"), seed=base)
+
+        ids = self._packed((self._long if len(chunk) > SHORT else self._short)(chunk, draws[:bits], more))
+        if not late and len(chunk) <= SHORT:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[chunk, skips & (1 << bits) - 1] = ids
+        return ids
+
+    @staticmethod
+    def _entry(ids: bytes, merges: int) -> tuple[bytes, int, int]:
+        """An encoding without dropout, the skips that change it, and the skips that its segmentations are kept by."""
+        return ids, (1 << merges if merges <= DRAWS else 2 << DRAWS) - 1, (1 << min(DRAWS, 2 * merges + 2)) - 1
+
+    def _plain(self, chunk: str) -> tuple[bytes, int, int]:
         parts = self._long(chunk) if len(chunk) > SHORT else self._short(chunk)
-        made = self._packed(parts), len(chunk) - len(parts)
+        made = self._entry(self._packed(parts), len(chunk) - len(parts))
         if len(self.plain) >= PLAIN:
             self.plain.clear()
         if len(chunk) <= SHORT:
@@ -130,7 +142,7 @@ class Encoder:
             odd = set(np.searchsorted(np.array(ends[1:]), np.flatnonzero((ids < self.first_piece) & (ids != self.line_end)) * 4, "right").tolist())
             for k, (c, a, b) in enumerate(zip(some, ends, ends[1:])):
                 if k not in odd:
-                    self.plain[c] = packed[a + 4 : b], len(c) - (b - a - 4) // 4
+                    self.plain[c] = self._entry(packed[a + 4 : b], len(c) - (b - a - 4) // 4)
 
     def _packed(self, parts: list[str]) -> bytes:
         out = list(map(self.pieces.numbers.get, parts))
@@ -205,7 +217,7 @@ class Encoder:
         return parts
 
     def encode(self, text: str | None, key: int = 0) -> bytes:
-        """The ids of a text, packed as int32. key: of the text's row; picks the first chunk's variant."""
+        """The ids of a text, packed as int32. key: of the text's row and copy."""
         return self.encode_all([text], [key])[0]
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
@@ -219,19 +231,19 @@ class Encoder:
         return [self._joined(chunks, key) for chunks, key in zip(cut, keys)]
 
     def _joined(self, chunks: list[str], key: int) -> bytes:
-        many = len(self.known)
-        out: list[bytes | None] = [None] * len(chunks)
-        variants = [(key + v) % many for v in range(many)]
-        for v, variant in enumerate(variants):
-            out[v::many] = map(self.known[variant].get, chunks[v::many])
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            c, variant = chunks[i], variants[i % many]
-            known = self.known[variant]
-            out[i] = ids = known.get(c) or self._one(c, variant)
-            if len(c) <= SHORT:
-                if len(known) >= CACHE:
-                    known.clear()
-                known[c] = ids
+        plain, known = self.plain, self.known
+        if not self.limit:
+            return b"".join([(plain.get(c) or self._plain(c))[0] for c in chunks])
+        base = xxhash.xxh3_64_intdigest((key & _ALL).to_bytes(8, "little"), seed=self.seed & _ALL)
+        out: list[bytes] = []
+        for place, (c, skips) in enumerate(zip(chunks, self._skips(base, len(chunks)))):
+            if len(c) > SHORT:
+                out.append(self._dropped(c, skips, DRAWS, base, place))
+                continue
+            ids, some, kept = plain.get(c) or self._plain(c)
+            if skips & some:
+                ids = known.get((c, skips & kept)) or self._dropped(c, skips, kept.bit_length(), base, place)
+            out.append(ids)
         return b"".join(out)
 
 
@@ -239,10 +251,10 @@ def decode(pieces: Pieces, ids) -> str:
     return b"".join(map(pieces.raw.__getitem__, ids))[1:].decode("utf-8")
 
 
-def encode_column(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """df with the ids of its texts, array<int>."""
+def encode_column(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """df with the ids of its texts, array<int>. copy: a column that numbers rows with one key and text, so that they differ."""
     pieces = Pieces(model)
-    rows = df.drop(out).withColumn("__key", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)))
+    rows = df.drop(out).withColumn("__key", F.xxhash64(F.col(key), F.col(text), F.col(copy) if copy else F.lit(1), F.lit(seed)))
     schema = T.StructType([*(f for f in rows.schema if f.name != "__key"), T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +262,17 @@ def encode_column(df: DataFrame, text: str = "text", key: str = "doc_id", out: s
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(at, CHUNK)
-                packed = encoder.encode_all(b.column(text).to_pylist(), b.column("__key").to_pylist())
+                texts = b.column(text).to_pylist()
+                packed = encoder.encode_all(texts, b.column("__key").to_pylist())
+                for t, p in zip(texts, packed):
+                    if decode(pieces, array("i", p)) != (t or ""):
+                        raise ValueError(f"ids do not decode to their text: {t[:80]!r}")
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 offsets = pa.array(np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32))
                 kept = b.drop_columns(["__key"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(offsets, values)], names=[*kept.schema.names, out])
 
-    return df.drop(out).withColumn("__key", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:

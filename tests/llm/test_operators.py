@@ -244,6 +244,29 @@ def test_dropout_is_lossless_seeded_and_varied(docs):
     assert one[-1] != spm_dropout.Encoder(p, 0.0).encode(texts[-1])
 
 
+def test_dropout_draws_each_use_anew(docs):
+    """Every word is split somewhere, no more often than a merge is skipped, and many copies of a text give many encodings."""
+    p = spm_dropout.Pieces()
+    e, plain = spm_dropout.Encoder(p, 0.1, 1), spm_dropout.Encoder(p, 0.0)
+    words = [w for w in sorted({w for t in docs.text[:40] for w in t.split()}) if w.isascii() and w.isalpha() and len(plain.encode(w)) == 4][:40]
+    assert len(words) == 40
+    for w in words:
+        merges = len(w)  # with the space before it, down to one piece
+        split = sum(e.encode(w, k) != plain.encode(w) for k in range(1500)) / 1500
+        assert 0 < split < 1 - (1 - 26 / 256) ** merges + 0.06, w
+    text = " ".join(words)
+    assert len({e.encode(text, k) for k in range(200)}) == 200
+    same = np.frombuffer(e.encode(f"{words[0]} " * 2000), np.int32)
+    assert len(same) > 2000 * 1.05
+
+
+def test_kept_segmentations_equal_fresh_ones(docs, monkeypatch):
+    p, texts = spm_dropout.Pieces(), [*docs.text[:60], "z" * 300, "unbelievablyinternationalization " * 30]
+    kept = spm_dropout.Encoder(p, 0.3, 2).encode_all(texts, list(range(len(texts))))
+    monkeypatch.setattr(spm_dropout, "CACHE", 1)
+    assert kept == spm_dropout.Encoder(p, 0.3, 2).encode_all(texts, list(range(len(texts))))
+
+
 def test_segmented_odd(spark):
     out = spm_dropout.segmented(odd(spark).withColumn("ids", F.lit(1)))
     back = spm_dropout.decode_column(out).select("doc_id", "text", "n_ids", "decoded").collect()

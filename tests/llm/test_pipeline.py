@@ -53,3 +53,9 @@ def test_last_stage_and_run(spark, stages):
     assert Counter(stages[5].doc_id) == Counter(stages[4].doc_id) and (stages[5].n_ids == stages[5].ids.str.len()).all()
     out = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert Counter(out.doc_id) == Counter(stages[5].doc_id)
+
+
+def test_copies_are_segmented_apart(spark):
+    text = "an unremarkable sentence of several ordinary words " * 20
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in corpus_pipeline.sentencepiece(spark, docs, FOLDER).collect()}) == 4
