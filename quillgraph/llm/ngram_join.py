@@ -275,7 +275,7 @@ def _rooted(rows: DataFrame, roots: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """doc_id, key (digest of the text), n_shingles, component_id for every row of docs."""
+    """doc_id, key (digest of the text), n_shingles, component_id for every row of docs, and head: one text of its component."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
     signed = rows.mapInPandas(_signed(n), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
@@ -361,15 +361,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
 
     at = durable(_rooted(classes.select("c", "key", "label", "n"), roots, "c", "r"))
     firsts = at.groupBy("r").agg(F.min("label").alias("least"))
-    named = at.join(firsts, "r").select(F.col("key").alias("__key"), "n", "least")
+    named = at.join(firsts, "r").select(F.col("key").alias("__key"), "n", "least", (F.col("c") == F.col("r")).alias("head"))
     found = rows.select("doc_id", "key").join(named, F.col("key") == F.col("__key"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), "head")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """docs with one document of each component: the one with its least id; texts without words all stay."""
-    keep = linked(docs, key, text, n).filter((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0))
+    """docs with one document of each component: the one with its least id, any one if it has no ids; texts without words all stay."""
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.col("head"))
+    keep = linked(docs, key, text, n).filter(first | (F.col("n_shingles") == 0))
     keep = keep.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg((F.max("n_shingles") == 0).alias("__all"))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     kept = docs.withColumn("__key", digest).join(keep, (F.col("__key") == F.col("__k")) & F.col(key).cast("long").eqNullSafe(F.col("__d")))

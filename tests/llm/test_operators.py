@@ -437,6 +437,13 @@ def test_near_odd(spark):
     assert ngram_join.linked(odd(spark).limit(0)).count() == 0
 
 
+def test_keep_one_of_null_ids(spark):
+    words = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " more"), (None, words("c")), (7, words("c")), (None, words("d")), (None, words("d"))]
+    kept = [(r.doc_id, r.text.split()[0]) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == [(7, "c0"), (None, "a0"), (None, "b0"), (None, "d0")]
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(0)
     for _ in range(1500):
