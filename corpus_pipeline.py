@@ -32,8 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of near duplicates (sets of five words, Jaccard 0.8) stays, the one with the least id."""
+    return ngram_join.keep_one(docs, n=5, num=4, den=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

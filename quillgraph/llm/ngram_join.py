@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word n-grams by universe partition and the pigeonhole principle.
 
-A text's set holds the hashes of its distinct n-word shingles. Two sets with Jaccard similarity of at least 9 / 10
-differ in H elements at most, H known from their sizes. The hash universe is cut into m segments, m = H + 1 + slack,
+A text's set holds the hashes of its distinct n-word shingles. Two sets with Jaccard similarity of at least NUM / DEN
+(9 / 10 unless the caller says otherwise) differ in H elements at most, H known from their sizes. The hash universe is cut into m segments, m = H + 1 + slack,
 so at least 1 + slack segments of two such sets are equal. Sizes fall into bands, each with its own m and its own
 cut; a set is indexed in its band and also in the band below when its size can meet one there.
 
@@ -93,22 +93,23 @@ def _slack(h: int, low: int, high: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def band(number: int) -> Band:
-    low, upper = 1, DEN - 2  # below this no two different sets are similar enough
+def band(number: int, num: int = NUM, den: int = DEN) -> Band:
+    low, upper = 1, -(-num // (den - num)) - 1  # below this no two different sets are similar enough
     for _ in range(number):
         low, upper = upper + 1, max(upper + 1, int(upper * GROWTH))
-    reach = upper * DEN // NUM
-    h = (upper + reach) * (DEN - NUM) // (DEN + NUM)
+    reach = upper * den // num
+    h = (upper + reach) * (den - num) // (den + num)
     return Band(number, upper, reach, h, 1, 0) if h == 0 else Band(number, upper, reach, h, h + 1 + (s := _slack(h, low, reach)), s)
 
 
 @lru_cache(maxsize=1 << 16)
-def bands_of(size: int) -> tuple[Band, ...]:
+def bands_of(size: int, num: int = NUM, den: int = DEN) -> tuple[Band, ...]:
     """The band of a size, and the band below where it can be the larger set."""
     k = 0
-    while band(k).upper < size:
+    while band(k, num, den).upper < size:
         k += 1
-    return (band(k),) if not k or band(k - 1).reach < size else (band(k), band(k - 1))
+    here = band(k, num, den)
+    return (here,) if not k or (below := band(k - 1, num, den)).reach < size else (here, below)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,12 +133,12 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def band_signatures(elements: np.ndarray) -> list[tuple[np.ndarray, int]]:
+def band_signatures(elements: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[np.ndarray, int]]:
     """For each band of a set its signatures, and how many of them any similar set of that band must share.
 
     Of m segments at most H differ, so m - H are equal, and all of these have a signature but those that are small."""
     size, out = len(elements), []
-    for place, b in enumerate(bands_of(size) if size else ()):
+    for place, b in enumerate(bands_of(size, num, den) if size else ()):
         salt = np.uint64((2 * b.number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         hashed = _mix(elements + salt)
         if b.m == 1:
@@ -155,8 +156,8 @@ def band_signatures(elements: np.ndarray) -> list[tuple[np.ndarray, int]]:
         near = weak > b.slack
         whole = near and room <= b.h
         found = _mix(_mix(sums + mark)[strong | whole])
-        partner = b.upper if place else size * DEN // NUM
-        shared = 1 if near else max(1, b.m - (size + partner) * (DEN - NUM) // (DEN + NUM) - weak)
+        partner = b.upper if place else size * den // num
+        shared = 1 if near else max(1, b.m - (size + partner) * (den - num) // (den + num) - weak)
         if near:
             tagged = sums + ~mark
             can = counts[at] > STRONG
@@ -165,8 +166,8 @@ def band_signatures(elements: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([s for s, _ in band_signatures(elements)])) if len(elements) else np.empty(0, np.uint64)
+def signatures(elements: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    return np.unique(np.concatenate([s for s, _ in band_signatures(elements, num, den)])) if len(elements) else np.empty(0, np.uint64)
 
 
 def _chunks(p: pd.DataFrame, make) -> Iterator[pd.DataFrame]:
@@ -174,10 +175,10 @@ def _chunks(p: pd.DataFrame, make) -> Iterator[pd.DataFrame]:
         yield make(p.iloc[i : i + CHUNK])
 
 
-def _signed(n: int):
+def _signed(n: int, num: int, den: int):
     def make(p: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, n) for t in p["text"]]
-        found = [[*band_signatures(x), *[(np.empty(0, np.uint64), 1)] * 2] for x in sets]
+        found = [[*band_signatures(x, num, den), *[(np.empty(0, np.uint64), 1)] * 2] for x in sets]
         columns = {"doc_id": p["doc_id"], "key": p["key"], "n": [len(x) for x in sets]}
         for i in (0, 1):
             columns |= {f"sigs{i}": [f[i][0].view(np.int64) for f in found], f"share{i}": [f[i][1] for f in found]}
@@ -198,16 +199,16 @@ def _sets(n: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar enough."""
     size = F.size
     x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    most = F.greatest(size("x"), size("y")) * NUM <= F.least(size("x"), size("y")) * DEN
+    most = F.greatest(size("x"), size("y")) * num <= F.least(size("x"), size("y")) * den
     both = size(F.array_intersect("x", "y"))
-    return x.filter(most).filter(both * (DEN + NUM) >= (size("x") + size("y")) * NUM).select("a", "b")
+    return x.filter(most).filter(both * (den + num) >= (size("x") + size("y")) * num).select("a", "b")
 
 
-def _detail(star: DataFrame, sets: DataFrame) -> DataFrame:
+def _detail(star: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, nb, near, extra, less for pivots a and members b of their buckets, and each pivot as its own member.
 
     near: the two are similar. extra and less: elements that only b, and only a has."""
@@ -215,7 +216,7 @@ def _detail(star: DataFrame, sets: DataFrame) -> DataFrame:
     x = rows.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     only = lambda p, q: F.array_sort(F.array_except(p, q))
     x = x.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), only("y", "x").alias("extra"), only("x", "y").alias("less"))
-    near = (F.size("extra") + F.size("less")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    near = (F.size("extra") + F.size("less")) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
     return x.select("a", "b", "nb", near.alias("near"), "extra", "less")
 
 
@@ -236,7 +237,7 @@ def _centred(detail: DataFrame) -> DataFrame:
     return x.select("a", "b", "nb", extra.alias("extra"), less.alias("less")).withColumn("d", F.size("extra") + F.size("less"))
 
 
-def _prefixes(x: DataFrame) -> DataFrame:
+def _prefixes(x: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, nb, d, y, prefix, to_core. x: a, b, nb, extra, less, d, and the star's exemplar y, its size ne and difference e.
 
     Members x, y of one star differ in |Dx| + |Dy| - 2 |Dx and Dy| elements, D their differences from the centre. A member
@@ -244,9 +245,9 @@ def _prefixes(x: DataFrame) -> DataFrame:
     overlap of Dx and Dy of similar x and y of which one is outside. They then share an element among the first of
     each: `prefix` is what a member needs to meet outer members, `to_core` what an outer one needs to meet those of the
     core. 0 stands for the rare case in which they need not share any."""
-    share_of = lambda n: n * (DEN - NUM) / (DEN + NUM)
-    h = F.floor(share_of(F.col("nb") + F.floor(F.col("nb") * DEN / NUM)))
-    q = F.floor(share_of(F.col("ne") + F.ceil(F.col("nb") * NUM / DEN))) + 1 - F.col("e")
+    share_of = lambda n: n * (den - num) / (den + num)
+    h = F.floor(share_of(F.col("nb") + F.floor(F.col("nb") * den / num)))
+    q = F.floor(share_of(F.col("ne") + F.ceil(F.col("nb") * num / den))) + 1 - F.col("e")
     x = x.withColumn("h", h.cast("int")).withColumn("q", F.greatest(q, F.col("d") - F.col("h")).cast("int"))
     share = F.ceil((F.col("d") + F.col("q") - F.col("h")) / 2).cast("int")
     every = F.concat("extra", "less")
@@ -263,10 +264,10 @@ def _placed(rest: DataFrame, column: str, side: str) -> DataFrame:
     return each
 
 
-def _may(p: str, q: str) -> Column:
+def _may(p: str, q: str, num: int, den: int) -> Column:
     """Whether two members that share this element can be similar: by their own sizes and differences the overlap must
     have so many elements, and this one may be its first only if as many can follow on both sides."""
-    least = F.ceil((F.col(f"d{p}") + F.col(f"d{q}") - F.floor((F.col(f"n{p}") + F.col(f"n{q}")) * (DEN - NUM) / (DEN + NUM))) / 2)
+    least = F.ceil((F.col(f"d{p}") + F.col(f"d{q}") - F.floor((F.col(f"n{p}") + F.col(f"n{q}")) * (den - num) / (den + num))) / 2)
     return (least <= 0) | ((F.col(f"i{p}") <= F.col(f"d{p}") - least) & (F.col(f"i{q}") <= F.col(f"d{q}") - least))
 
 
@@ -274,11 +275,15 @@ def _rooted(rows: DataFrame, roots: DataFrame, c: str, out: str) -> DataFrame:
     return rows.join(roots.toDF(c, "__r"), c, "left").withColumn(out, F.coalesce("__r", c)).drop("__r")
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """doc_id, key (digest of the text), n_shingles, component_id for every row of docs, and head: one text of its component."""
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, key (digest of the text), n_shingles, component_id for every row of docs, and head: one text of its component.
+
+    Sets of n-word shingles with Jaccard similarity of num / den or more are linked."""
+    if not num < den <= num * GROWTH:
+        raise ValueError("similar sets must not be more than one band apart")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    signed = rows.mapInPandas(_signed(n), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
+    signed = rows.mapInPandas(_signed(n, num, den), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("label"), *[F.first(c).alias(c) for c in ("n", "sigs0", "share0", "sigs1", "share1")])
     with batches_of(spark, BATCH):
         classes = durable(classes.withColumn("c", F.monotonically_increasing_id()))
@@ -308,8 +313,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     star = durable(met.join(pivots_, "sig").filter("c != a").select("a", F.col("c").alias("b")).distinct())
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     large = durable(star.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
-    detail = durable(_detail(star.join(large, "a", "left_semi"), sets))
-    links = durable(_verified(star.join(large, "a", "left_anti"), sets).union(detail.filter("near AND a != b").select("a", "b")))
+    detail = durable(_detail(star.join(large, "a", "left_semi"), sets, num, den))
+    links = durable(_verified(star.join(large, "a", "left_anti"), sets, num, den).union(detail.filter("near AND a != b").select("a", "b")))
     roots = durable(components(links))
     del entries, members, kept
     tidy(spark)
@@ -318,12 +323,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     spread = _rooted(detail.select("a", "b"), roots, "b", "r").groupBy("a").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("a")
     centred = durable(_centred(detail.join(spread, "a", "left_semi")))
     exemplars = centred.groupBy("a").agg(F.min(F.struct("d", "b", "nb")).alias("m")).select("a", F.col("m.b").alias("y"), F.col("m.d").alias("e"), F.col("m.nb").alias("ne"))
-    prefixes = durable(_prefixes(centred.join(exemplars, "a")))
+    prefixes = durable(_prefixes(centred.join(exemplars, "a"), num, den))
     del detail, centred
     tidy(spark)
     apart = lambda p: _rooted(_rooted(p, roots, "x", "rx"), roots, "y", "ry").filter("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tested = durable(apart(prefixes.select(F.col("b").alias("x"), "y")).join(star, ["a", "b"], "left_anti"))
-    links = durable(links.union(_verified(tested, sets)))
+    links = durable(links.union(_verified(tested, sets, num, den)))
     roots = durable(components(links))
     tidy(spark)
 
@@ -332,10 +337,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     del prefixes
     tidy(spark)
     outer, core = _placed(rest.filter("NOT core"), "to_core", "x"), _placed(rest.filter("core"), "prefix", "y").withColumnsRenamed({"a": "a2", "t": "t2"})
-    pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y")).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y", num, den)).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
     more = durable(apart(pairs).join(done, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(more)
-    links = durable(links.union(_verified(more, sets)))
+    links = durable(links.union(_verified(more, sets, num, den)))
     roots = durable(components(links))
     tidy(spark)
 
@@ -349,11 +354,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
             break
         w = Window.partitionBy("sig").orderBy("c")
         chosen = durable(open_.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("ix").alias("iy")))
-        met = open_.join(chosen.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y"))
+        met = open_.join(chosen.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y", num, den))
         pairs = met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         fresh = durable(pairs.join(tested, ["a", "b"], "left_anti").join(done, ["a", "b"], "left_anti"))
         tested = tested.union(fresh)
-        links = durable(links.union(_verified(fresh, sets)))
+        links = durable(links.union(_verified(fresh, sets, num, den)))
         roots = durable(components(links))
         tidy(spark)
         open_ = open_.drop("r").join(chosen.select("sig", F.col("a").alias("c")), ["sig", "c"], "left_anti")
@@ -367,10 +372,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3)
     return found.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), "head")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs with one document of each component: the one with its least id, any one if it has no ids; texts without words all stay."""
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.col("head"))
-    keep = linked(docs, key, text, n).filter(first | (F.col("n_shingles") == 0))
+    keep = linked(docs, key, text, n, num, den).filter(first | (F.col("n_shingles") == 0))
     keep = keep.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg((F.max("n_shingles") == 0).alias("__all"))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     kept = docs.withColumn("__key", digest).join(keep, (F.col("__key") == F.col("__k")) & F.col(key).cast("long").eqNullSafe(F.col("__d")))

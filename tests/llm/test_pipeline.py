@@ -59,3 +59,16 @@ def test_copies_are_segmented_apart(spark):
     text = "an unremarkable sentence of several ordinary words " * 20
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
     assert len({tuple(r.ids) for r in corpus_pipeline.sentencepiece(spark, docs, FOLDER).collect()}) == 4
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    """Every number of scattered changes: a copy goes if and only if its five-word sets are similar enough."""
+    rows, want = [], set()
+    for k in range(1, 9):
+        words = [f"t{k}w{i}" for i in range(200)]
+        changed = [f"x{i}" if i % 20 == 10 and i // 20 < k else w for i, w in enumerate(words)]
+        x, y = (set(zip(*(t[i:] for i in range(5)))) for t in (words, changed))
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(changed))]
+        want |= {10 * k} | ({10 * k + 1} if 5 * len(x & y) < 4 * len(x | y) else set())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()} == want and 41 not in want and 51 in want
