@@ -201,7 +201,7 @@ def explode_with(df: DataFrame, fn: Callable, args: list[str], schema: str) -> D
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
+        for p in (whole.iloc[at : at + 64] for whole in batches for at in range(0, len(whole), 64)):  # each tuple carries its row's texts
             found = p.assign(__found=[fn(*row) for row in zip(*(p[a] for a in args))]).explode("__found").dropna(subset=["__found"])
             if len(found):
                 parts = pd.DataFrame(found["__found"].tolist(), columns=names, index=found.index)
