@@ -40,12 +40,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, batches_of, durable, tidy
-from .components import components
+from .components import components, joined
 
 #: Jaccard threshold as a fraction, and bands' growth.
 NUM, DEN = 9, 10
@@ -55,6 +56,7 @@ STRONG = 3
 PIVOTS = 32
 #: Nearest members of a pivot that its star's centre is taken from; it affects speed alone.
 CENTRE = 32
+SALTS = 16
 #: Rounds in which sets that share too few signatures leave their buckets.
 THINNED = 2
 #: Rows of a batch that goes to Python, and that leaves it.
@@ -176,17 +178,20 @@ def _chunks(p: pd.DataFrame, make) -> Iterator[pd.DataFrame]:
 
 
 def _signed(n: int, num: int, den: int):
-    def make(p: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, n) for t in p["text"]]
-        found = [[*band_signatures(x, num, den), *[(np.empty(0, np.uint64), 1)] * 2] for x in sets]
-        columns = {"doc_id": p["doc_id"], "key": p["key"], "n": [len(x) for x in sets]}
-        for i in (0, 1):
-            columns |= {f"sigs{i}": [f[i][0].view(np.int64) for f in found], f"share{i}": [f[i][1] for f in found]}
-        return pd.DataFrame(columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            yield from _chunks(p, make)
+    """Adds a row's set size and signatures; its own columns pass through Arrow as they are, nulls and large ids included."""
+    lists = lambda values: pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), np.concatenate([*values, np.empty(0, np.uint64)]).view(np.int64))
+    nothing = (np.empty(0, np.uint64), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                sets = [shingles(t, n) for t in b.column("text").to_pylist()]
+                found = [[*band_signatures(x, num, den), nothing, nothing] for x in sets]
+                made = [pa.array([len(x) for x in sets], pa.int64())]
+                for i in (0, 1):
+                    made += [lists([f[i][0] for f in found]), pa.array([f[i][1] for f in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *made], names=["doc_id", "key", "n", "sigs0", "share0", "sigs1", "share1"])
 
     return run
 
@@ -220,12 +225,18 @@ def _detail(star: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return x.select("a", "b", "nb", near.alias("near"), "extra", "less")
 
 
+def _first(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
+    """The first k rows of each group, chosen in SALTS places and then among those: no task sees a whole large group."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    some = salted.withColumn("__k", F.row_number().over(Window.partitionBy(by, "__salt").orderBy(*order))).filter(F.col("__k") <= k)
+    return some.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("__k") <= k).drop("__salt", "__k")
+
+
 def _centred(detail: DataFrame) -> DataFrame:
     """extra and less relative to a star's centre instead of its pivot: elements in which most of its nearest members
     differ from the pivot are turned over. Any set does as centre; this one makes differences few and rare."""
     members = detail.filter("a != b").withColumn("d", F.size("extra") + F.size("less"))
-    w = Window.partitionBy("a").orderBy("d", "b")
-    some = members.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= CENTRE)
+    some = _first(members, "a", ["d", "b"], CENTRE)
     each = some.select("a", F.explode("extra").alias("t"), F.lit(True).alias("more")).unionByName(some.select("a", F.explode("less").alias("t"), F.lit(False).alias("more")))
     counts = each.groupBy("a", "t", "more").agg(F.count("*").alias("n")).join(some.groupBy("a").agg(F.count("*").alias("of")), "a").filter("2 * n > of")
     turned = counts.groupBy("a").agg(F.collect_set(F.when(F.col("more"), F.col("t"))).alias("more"), F.collect_set(F.when(~F.col("more"), F.col("t"))).alias("fewer"))
@@ -283,7 +294,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
         raise ValueError("similar sets must not be more than one band apart")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    signed = rows.mapInPandas(_signed(n, num, den), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
+    signed = rows.mapInArrow(_signed(n, num, den), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("label"), *[F.first(c).alias(c) for c in ("n", "sigs0", "share0", "sigs1", "share1")])
     with batches_of(spark, BATCH):
         classes = durable(classes.withColumn("c", F.monotonically_increasing_id()))
@@ -314,7 +325,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     large = durable(star.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
     detail = durable(_detail(star.join(large, "a", "left_semi"), sets, num, den))
-    links = durable(_verified(star.join(large, "a", "left_anti"), sets, num, den).union(detail.filter("near AND a != b").select("a", "b")))
+    links = _verified(star.join(large, "a", "left_anti"), sets, num, den).union(detail.filter("near AND a != b").select("a", "b"))
     roots = durable(components(links))
     del entries, members, kept
     tidy(spark)
@@ -328,8 +339,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     tidy(spark)
     apart = lambda p: _rooted(_rooted(p, roots, "x", "rx"), roots, "y", "ry").filter("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tested = durable(apart(prefixes.select(F.col("b").alias("x"), "y")).join(star, ["a", "b"], "left_anti"))
-    links = durable(links.union(_verified(tested, sets, num, den)))
-    roots = durable(components(links))
+    roots = durable(joined(roots, _verified(tested, sets, num, den)))
     tidy(spark)
 
     # outer members against the core, and against each other
@@ -340,8 +350,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y", num, den)).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
     more = durable(apart(pairs).join(done, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(more)
-    links = durable(links.union(_verified(more, sets, num, den)))
-    roots = durable(components(links))
+    roots = durable(joined(roots, _verified(more, sets, num, den)))
     tidy(spark)
 
     open_ = _placed(rest.filter("NOT core"), "prefix", "x").withColumn("sig", F.xxhash64("a", "t")).drop("a", "t").withColumnRenamed("cx", "c")
@@ -352,14 +361,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
         open_ = durable(at.join(several, "sig"))
         if not open_.limit(1).count():
             break
-        w = Window.partitionBy("sig").orderBy("c")
-        chosen = durable(open_.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("ix").alias("iy")))
+        chosen = durable(_first(open_, "sig", ["c"], pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("ix").alias("iy")))
         met = open_.join(chosen.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y", num, den))
         pairs = met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         fresh = durable(pairs.join(tested, ["a", "b"], "left_anti").join(done, ["a", "b"], "left_anti"))
         tested = tested.union(fresh)
-        links = durable(links.union(_verified(fresh, sets, num, den)))
-        roots = durable(components(links))
+        roots = durable(joined(roots, _verified(fresh, sets, num, den)))
         tidy(spark)
         open_ = open_.drop("r").join(chosen.select("sig", F.col("a").alias("c")), ["sig", "c"], "left_anti")
         pivots *= 8
