@@ -8,14 +8,15 @@ a share of its probability. That share is set on vertices that the classifier ha
 neighbours are reached in RECALL of all cases: few parts where the data have structure, most where they have none. Rows
 there are reranked by exact distance in double precision.
 
-Scale: the model is a few matrices of parts x dimension. Rows are dealt by (part, block), blocks of about `block`
-rows, so a hot part or a group of equal vectors is spread over tasks; queries are replicated to the blocks of their
-parts, in chunks. Each (query, block) gives back its k best; these meet in one aggregation. Nothing is dropped: a
-part's blocks are searched whole.
+Scale: the number of parts grows with the table, one for ROWS rows, up to a sixteenth of the sample, so a query reads a
+smaller share of a larger table. The model is a few matrices of parts x dimension. Rows are dealt by (part, block), blocks of
+about `block` rows, so a hot part or a group of equal vectors is spread over tasks; queries are sent to the blocks of
+their parts. Only where a part has more than QUERIES queries do these meet its blocks in several chunks. Each (query, block)
+gives back its k best; these meet in one aggregation. Nothing is dropped: a part's blocks are searched whole.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part; fewer than k candidates give all of them; ties go to the smaller id; repeated ids are rows of their own; an
-empty table or no queries give no rows; other columns do not matter.
+no part; fewer than k candidates give all of them; ties go to the smaller id, a null one last; repeated ids are rows of
+their own; squares that overflow are scaled first; an empty table or no queries give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SAMPLE, PARTS, GRAPH_K = 4096, 16, 10
-BLOCK, QUERIES = 4096, 512
+#: Bounded sample that the graph is made of; parts at least, and rows that ask for one more.
+SAMPLE, PARTS, ROWS, GRAPH_K = 4096, 16, 2048, 10
+BLOCK, QUERIES = 4096, 8192
 #: Share of a held-out fifth of the sample's graph edges that routing must reach, and parts searched at least.
 RECALL, PROBES = 0.97, 2
 SEED = 3
@@ -51,8 +53,9 @@ class Router(NamedTuple):
 
 
 def _inputs(x: np.ndarray, means: np.ndarray, centre: np.ndarray, scale: float) -> np.ndarray:
-    d = ((x[:, None, :] - means[None]) ** 2).sum(2) / scale**2 / x.shape[1]
-    return np.hstack([np.ones((len(x), 1)), (x - centre) / scale, -d])
+    y, m = (x - centre) / scale, (means - centre) / scale
+    d = ((y**2).sum(1)[:, None] - 2 * y @ m.T + (m**2).sum(1)) / x.shape[1]
+    return np.hstack([np.ones((len(x), 1)), y, -d])
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_K, chunk: int = 512) -> np.ndarray:
@@ -165,48 +168,60 @@ def _routed(router: Router, all_parts: bool, probes: int = 1):
     return run
 
 
+def _distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        diff = x - v
+        d = np.sqrt((diff**2).sum(1))
+    if not np.isfinite(d).all():
+        far = np.flatnonzero(np.isfinite(diff).all(axis=1) & ~np.isfinite(d))
+        most = np.abs(diff[far]).max(axis=1)
+        with np.errstate(over="ignore"):
+            d[far] = most * np.sqrt(((diff[far] / most[:, None]) ** 2).sum(1))
+    return d
+
+
 def _search(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            x, ids = np.array(rows["v"].tolist()), rows["id"].to_numpy()
-            home, marks = rows["mark"].to_numpy(), queries["mark"].to_numpy()
-            for q, mark, v in zip(queries["id"], marks, queries["v"]):
-                d = np.sqrt(((x - np.asarray(v)) ** 2).sum(1))
-                d[home == mark] = np.inf  # the query's own row
-                if k < len(d):
-                    edge = np.partition(d, k - 1)[k - 1]
-                    near = np.flatnonzero(d <= edge)
-                else:
-                    near = np.arange(len(d))
-                near = near[np.lexsort((ids[near], d[near]))][:k]
-                near = near[np.isfinite(d[near])]
-                out.append(pd.DataFrame({"query_id": q, "mark": mark, "vec_id": ids[near], "score": d[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "mark": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            x, ids, none = np.array(rows["v"].tolist()), rows["id"].to_numpy(), rows["none"].to_numpy(bool)
+            home = rows["mark"].to_numpy()
+            for q, mark, v in zip(queries["id"], queries["mark"], queries["v"]):
+                d = _distances(x, np.asarray(v))
+                others = np.flatnonzero(home != mark)  # not the query's own row
+                if k < len(others):
+                    others = others[d[others] <= np.partition(d[others], k - 1)[k - 1]]
+                near = others[np.lexsort((ids[others], none[others], d[others]))][:k]
+                out.append(pd.DataFrame({"query_id": q, "mark": mark, "vec_id": ids[near], "none": none[near], "score": d[near]}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("mark", "int64"), ("vec_id", "int64"), ("none", "bool"), ("score", "float64"))})
 
     return run
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, parts: int = PARTS, sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose key is divisible by `every`, among all rows."""
-    rows = durable(usable(df, key, vector).withColumn("mark", F.monotonically_increasing_id()))
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, parts: int | None = None, sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose key is divisible by `every`, among all rows.
+
+    parts: one for ROWS rows unless given, PARTS at least and a sixteenth of the sample at most."""
+    # pandas has no null among whole numbers: a null id goes as 0 and a flag
+    rows = usable(df, key, vector).withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    rows = durable(rows.withColumn("mark", F.monotonically_increasing_id()))
     few = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "mark").limit(sample).select("v").collect()  # `sample` vectors
     if not few:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = parts or min(max(PARTS, rows.count() // ROWS), max(PARTS, sample // 16))
     router = train(np.array([r["v"] for r in few]), parts, recall)
-    filed = rows.mapInPandas(_routed(router, False), "id long, v array<double>, mark long, part int")
-    filed = durable(filed)
-    blocks = filed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a part
-    blocks = F.broadcast(durable(blocks))
-    dealt = filed.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("mark", F.lit(SEED)), F.col("blocks")).cast("int"))
-    asked = rows.filter((F.col("id") % every) == 0).mapInPandas(_routed(router, True, probes), "id long, v array<double>, mark long, part array<int>")
-    asked = asked.withColumn("part", F.explode("part")).join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # queries in chunks: about QUERIES a chunk
-    total = rows.filter((F.col("id") % every) == 0).count()
-    chunks = max(1, -(-total // QUERIES))
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("mark", F.lit(SEED + 1)), F.lit(chunks)).cast("int"))
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    fields = "id long, v array<double>, none boolean, mark long"
+    filed = durable(rows.mapInPandas(_routed(router, False), f"{fields}, part int"))
+    asked = durable(rows.filter(~F.col("none") & (F.col("id") % every == 0)).mapInPandas(_routed(router, True, probes), f"{fields}, part array<int>"))
+    # a row a part: how many blocks its rows fill, how many chunks its queries
+    sizes = filed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    visits = asked.select(F.explode("part").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / queries).cast("int").alias("chunks"))
+    grid = F.broadcast(durable(sizes.join(visits, "part")))
+    dealt = filed.join(grid, "part").withColumn("block", F.pmod(F.xxhash64("mark", F.lit(SEED)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = asked.withColumn("part", F.explode("part")).join(grid, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("mark", F.lit(SEED + 1)), F.col("chunks")).cast("int"))
     on = ["part", "block", "chunk"]
-    found = asked.select("id", "v", "mark", *on).groupBy(*on).cogroup(dealt.select("id", "v", "mark", *on).groupBy(*on)).applyInPandas(_search(k), "query_id long, mark long, vec_id long, score double")
-    best = found.groupBy("query_id", "mark").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    found = asked.select("id", "v", "mark", *on).groupBy(*on).cogroup(dealt.select("id", "none", "v", "mark", *on).groupBy(*on)).applyInPandas(_search(k), "query_id long, mark long, vec_id long, none boolean, score double")
+    best = found.groupBy("query_id", "mark").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "none", "vec_id"))), 1, k).alias("b"))
+    best = best.select("query_id", F.posexplode("b").alias("rank", "b"))
+    return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.when(~F.col("b.none"), F.col("b.vec_id")).alias("vec_id"), "b.score")

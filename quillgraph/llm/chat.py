@@ -104,11 +104,18 @@ def loss_spans(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     return each.select(conv, "turn", F.col("l.loss").alias("loss"), (end - F.col("l.text")).alias("start"), end.alias("end")).filter("loss").drop("loss")
 
 
+def loss_text(formatted: Column, lengths: Column) -> Column:
+    """The text under the loss mask as it reads back: of each turn's piece of `formatted` the part that the mask's lengths
+    mark, unescaped, in order and with nothing between."""
+    pieces = F.split(formatted, r"<\|im_end\|>\n", -1)
+    cut = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lengths, lambda p, l: F.when(l["loss"], unescape_text(F.substring(p, l["role"] + len(START) + 2, l["text"]))).otherwise(F.lit("")))
+    return F.array_join(cut, "")
+
+
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What the query returns, from the turns as read back."""
+    """What the query returns: turns as read back, and the text that the loss mask marks in the formatted string."""
     turns = F.array_join(F.transform("turns", lambda s: F.concat(s["role"], F.lit("\n"), s["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda s: s["role"] == "assistant"), lambda s: s["text"]), "")
-    return formatted.withColumn("__loss", loss).select(
+    return formatted.withColumn("__loss", loss_text(F.col("formatted"), F.col("loss_lengths"))).select(
         conv, F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length("__loss").cast("long").alias("loss_chars"), F.sha2("__loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "escaped",

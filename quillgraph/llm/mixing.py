@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, global_rank, n_words
@@ -76,12 +76,14 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFram
         at = sums.drop("off")
         if not sums.filter("off").limit(1).count():
             break
+    else:
+        raise ArithmeticError(f"the dual has not converged in {STEPS} steps")
     return at.select("source", "lambda")
 
 
 def _diffuse(most: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "h", "doc_id", "none"], ascending=[False, True, True, True], kind="stable")
         sizes, rates = pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy(np.float64)
         low = np.floor(rates + 1e-9)
         copies = np.empty(len(pdf), np.int64)
@@ -98,7 +100,7 @@ def _diffuse(most: float):
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, cell: int = 20_000, seed: int = 7) -> DataFrame:
     """doc_id, source, size, th (hash of the text), source_size, target, rate, copies, taken for every row of df."""
-    narrow = durable(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("th")))
+    narrow = durable(df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("th")))
     sizes = durable(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     targets = source_targets(sizes.drop("n"), weights, share, most)
     cells = sizes.select("source", F.lit(1.0).alias("prior"), F.col("source_size").cast("double").alias("tokens"))
@@ -111,14 +113,23 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     rows = narrow.withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("at", F.pmod("h", F.lit(SALTS)).cast("int"))
     rows = rows.join(by, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("salt"))).drop("s", "at", "salt")
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("h", F.lit("cell")), F.col("cells"))).drop("cells")
-    out = "doc_id long, source string, size long, th long, source_size long, target double, copies long"
+    out = "doc_id long, none boolean, source string, size long, th long, source_size long, target double, copies long"
+    # pandas has no null among whole numbers: a null id goes as 0 and a flag
+    rows = rows.withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
     rounded = rows.groupBy("source", "cell").applyInPandas(_diffuse(most), out)
-    return rounded.withColumn("taken", F.col("copies") * F.col("size"))
+    return rounded.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: df's rows, each as often as its copies say."""
-    copies = mix(df, key, text, source, **how).filter("copies > 0").groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("th").alias("__h")).agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
-    on = F.col(key).eqNullSafe(F.col("__d")) & F.col(source).eqNullSafe(F.col("__s")) & (F.xxhash64(text) == F.col("__h"))
-    times = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("__sum") / F.col("__n")).cast("int"))))
-    return df.join(copies, on).withColumn("__t", times).select(*[df[c] for c in df.columns])
+    """The mix itself: df's rows, each as often as its copies say.
+
+    Rows that are equal in key, source and text share the sum of their copies: each gets the whole part of the mean, and
+    the first ones of them one more, until the sum is dealt."""
+    group = lambda k, t, s: [F.xxhash64(k, s, t, F.lit(n)).alias(f"__g{n}") for n in (0, 1)]
+    dealt = mix(df, key, text, source, **how).select(*group("doc_id", "th", "source"), "copies")
+    dealt = dealt.groupBy("__g0", "__g1").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n")).filter("__sum > 0")
+    rows = df.select("*", *group(F.col(key).cast("long"), F.xxhash64(text), source)).join(dealt, ["__g0", "__g1"])
+    nth = F.row_number().over(Window.partitionBy("__g0", "__g1").orderBy("__g0"))
+    most = F.floor(F.col("__sum") / F.col("__n")) + F.when(nth <= F.pmod("__sum", "__n"), 1).otherwise(0)
+    times = rows.withColumn("__copies", most.cast("int")).filter("__copies > 0").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return times.select(*df.columns)

@@ -109,7 +109,7 @@ def held_out(key: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """y and the statistics of at most fit_rows labelled ids' documents, none of them held out."""
+    """y and the statistics of at most fit_rows documents of at most fit_rows labelled ids, none of them held out."""
     y = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__key")).agg(F.avg(label).alias("__y"))
     y = y.orderBy(F.xxhash64("__key", F.lit(SEED)), "__key").limit(fit_rows)
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(durable(y)), "__key")
@@ -118,7 +118,8 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for p in batches:
             yield pd.DataFrame({"k": p["__key"], "y": p["__y"], "s": [statistics(t) for t in p["__text"]]})
 
-    return durable(rows.mapInPandas(run, "k long, y double, s array<double>"))
+    # an id may stand on many rows: the bound holds for rows too
+    return durable(rows.mapInPandas(run, "k long, y double, s array<double>").orderBy(F.xxhash64("k", "s", F.lit(SEED)), "k", "s").limit(fit_rows))
 
 
 def _sums(model: Model):

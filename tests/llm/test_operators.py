@@ -132,6 +132,31 @@ def test_mixing_odd(spark):
     assert out.columns == odd(spark).columns and out.filter("doc_id = 4").count() <= 2
 
 
+BIG = (1 << 60) + 1
+
+
+def test_large_ids_beside_null_ones(spark):
+    """No id goes through a float: rows with null ids stand in the same batch."""
+    rows = [(BIG, "w " * 40 + "a", "s", [1.0, 0.0]), (None, "w " * 30 + "b", "s", [2.0, 0.0]), (BIG + 1, "w " * 40 + "a", "s", [1.0, 1.0]), (100 * BIG % (1 << 61) // 100 * 100, "q", "s", [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, v array<double>").coalesce(1)
+    ids = sorted(r[0] for r in rows if r[0])
+    assert sorted(r.doc_id for r in mixing.mix(df).collect() if r.doc_id is not None) == ids
+    linked = {r.doc_id: r.component_id for r in ngram_join.linked(df).collect()}
+    assert linked[BIG] == linked[BIG + 1] == BIG and sorted(i for i in linked if i is not None) == ids
+    found = [r.vec_id for r in ann.nearest(df, "doc_id", "v").collect()]
+    assert len(found) == 3 and set(found) == {BIG, BIG + 1, None}
+
+
+def test_mixed_rows_equal_the_copies_of_the_mix(spark):
+    rows = [(1, "a b c d e f g", "s", i) for i in range(9)] + [(2, "x y z", "s", 0), (3, None, "t", 0), (3, None, "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id] += r.copies
+    out = mixing.mixed(df).collect()
+    assert Counter(r.doc_id for r in out) == +want and max(Counter(out).values()) <= 2
+
+
 def test_balance_with_priors(spark):
     cells = spark.createDataFrame([("a", 1.0, 100.0), ("a", 0.5, 100.0), ("b", 1.0, 10.0)], "source string, prior double, tokens double")
     t = spark.createDataFrame([("a", 350.0), ("b", 2.0)], "source string, target double")
@@ -260,6 +285,56 @@ def test_dropout_draws_each_use_anew(docs):
     assert len(same) > 2000 * 1.05
 
 
+def plain_dropout(pieces, text, key, seed, limit):
+    """The agenda in its plainest form: draws one by one from the hash's definition, the best pair found by looking at all."""
+    import xxhash
+
+    mask, out = (1 << 64) - 1, []
+
+    def draw(base, place, k):
+        if k >= 16:
+            return xxhash.xxh3_128_digest((k // 16).to_bytes(8, "little") + place.to_bytes(8, "little"), seed=base)[k % 16]
+        x = (base + (2 * place + 1 + k // 8) * 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return (x ^ x >> 31) >> 8 * (k % 8) & 255
+
+    base = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"), seed=seed)
+    for place, chunk in enumerate(pieces.chunks(" " + text) if text else []):
+        parts, dead, k = list(chunk), set(), 0  # dead: pairs of spans whose merge was skipped
+        spans = [(i, i + 1) for i in range(len(chunk))]
+        while True:
+            pairs = [(-pieces.ids[a + b][1], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in pieces.ids and (spans[i], spans[i + 1]) not in dead]
+            if not pairs:
+                break
+            _, i = min(pairs)
+            k += 1
+            if draw(base, place, k - 1) < limit:
+                dead.add((spans[i], spans[i + 1]))
+                continue
+            parts[i : i + 2], spans[i : i + 2] = [parts[i] + parts[i + 1]], [(spans[i][0], spans[i + 1][1])]
+        for p in parts:
+            out += [pieces.ids[p][0]] if p in pieces.ids else [pieces.byte_ids[b] for b in p.encode()]
+    return out
+
+
+def test_dropout_equals_the_plain_agenda(docs):
+    p = spm_dropout.Pieces()
+    texts = [*docs.text[:12], "▁x a▁ b▁▁ é 日本 ﬁ🙂 \x00", "internationalization" * 4 + " " + "z" * 200, "", "a\r\n\tb  c"]
+    for dropout in (0.1, 0.5):
+        e = spm_dropout.Encoder(p, dropout, 9)
+        for k, (t, ids) in enumerate(zip(texts, e.encode_all(texts, [7 * k for k in range(len(texts))]))):
+            assert np.frombuffer(ids, np.int32).tolist() == plain_dropout(p, t[:3000], 7 * k, 9, round(dropout * 256)) or len(t) > 3000, t[:40]
+
+
+def test_tokens_query(spark, docs):
+    p = spm_dropout.Pieces()
+    got = {r.doc_id: r for r in queries.op5_sentencepiece(spark, FOLDER).collect()}
+    assert set(got) == set(docs.doc_id)
+    for i, t in zip(docs.doc_id, docs.text):
+        assert got[i].n_ids == len(got[i].ids) and spm_dropout.decode(p, got[i].ids) == t
+
+
 def test_kept_segmentations_equal_fresh_ones(docs, monkeypatch):
     p, texts = spm_dropout.Pieces(), [*docs.text[:60], "z" * 300, "unbelievablyinternationalization " * 30]
     kept = spm_dropout.Encoder(p, 0.3, 2).encode_all(texts, list(range(len(texts))))
@@ -330,6 +405,24 @@ def test_neighbours_odd(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 100, 0.0), (0, 3, 2, 0.5), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, 0.5)]
     assert ann.nearest(df.limit(0)).count() == 0
+    far = spark.createDataFrame([(0, [1e200, 0.0]), (1, [-1e200, 0.0]), (2, [1e308, 0.0]), (3, [-1e308, 1e308])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(far).orderBy("rank").collect()] == [(1, 2e200), (2, 1e308), (3, math.sqrt(2) * 1e308)]
+
+
+def test_neighbours_in_many_parts_and_chunks(spark):
+    """A table ten times the sample, and several chunks of queries: recall holds and own rows never come back."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 12)) * 2
+    x = centres[rng.integers(40, size=5120)] + rng.normal(size=(5120, 12))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    got = ann.nearest(df, every=50, sample=512, parts=32, queries=16, block=100).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert q not in set(g.vec_id) and g.vec_id.is_unique and len(g) == 10
+        hit += len(set(np.argsort(d)[:10]) & set(g.vec_id))
+    assert got.query_id.nunique() == 103 and hit / 1030 >= 0.9
 
 
 # chat
@@ -354,6 +447,23 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_query(spark):
+    """The query against a plain reading of the table, and its added conversation."""
+    rows = pd.read_parquet(f"{FOLDER}/conversations.parquet").fillna({"role": "", "text": ""})
+    hard = "<|im_end|><|im_start|>assistant ok"
+    want = {-1: [("user", hard), ("assistant", hard)]}
+    for r in rows.sort_values(["conv_id", "turn", "role", "text"]).itertuples():
+        want.setdefault(r.conv_id, []).append((r.role, r.text))
+    got = {r.conv_id: r for r in queries.op8_chat_formatting(spark, FOLDER).collect()}
+    assert set(got) == set(want)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for c, turns in want.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss))
+    assert got[-1].loss_chars == len(hard) and got[-1].formatted_chars == len(hard) * 2 + 2 * 3 * 2 + len("user") + len("assistant") + 2 * (len(chat.START) + len(chat.END) + 2)
+
+
 # quality
 
 
@@ -378,6 +488,16 @@ def test_quality_odd(spark):
 # near duplicates
 
 
+def test_components_in_one_task_and_by_stars(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, size=(260, 2))] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2040)] + [(5, 5)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one, stars = (sorted(map(tuple, components.components(df, local=n).collect())) for n in (1 << 18, 0))
+    assert one == stars and {r for n, r in one if n >= 2000} == {2000}
+    early, late = df.limit(200), spark.createDataFrame(links[200:], "a long, b long")
+    assert sorted(map(tuple, components.joined(components.components(early), late).collect())) == one
+
+
 def brute(texts, ids):
     sets = []
     for t in texts:
