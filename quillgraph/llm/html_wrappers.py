@@ -1,20 +1,29 @@
-"""Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
+"""Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host and layout.
 
-A page is a stream of tokens: tags (name and class) and texts. The wrapper of a host starts as one page's stream and is
+A page is a stream of tokens: tags (name and class) and texts. A wrapper starts as one page's stream and is
 generalised by one sample page after another. Streams are aligned; texts that differ become slots, runs of tags that
 repeat become repeated groups (x)+, and what only one side has becomes optional (x)?. The outcome has no alternatives,
-so it is one regular expression over tokens, which wrappers() gives with the content element.
+so it is one regular expression over tokens.
 
-The wrapper's content element is the innermost one that has most of the slot text: an `article` or `main` where the
-template has one, else the deepest element that holds MOST of the variable text beside page furniture. A page's main text is
-what stands in that element, or in the page's body if it has no such element, without elements of page furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), which are known by tag, role,
-class or id, wherever they stand. Character references are decoded, white space inside a block becomes one space,
-blocks are joined by a blank line.
+What a wrapper tells of a page: its constant texts, which stand on every sample page at the same place, belong to the
+template; what falls into slots, repeated and optional groups is the page's own. The content element is an `article` or
+`main` where the template has one, else the deepest element that holds HOLDS of the own text's characters, weighed over all sample
+pages, and every first-rank heading among it. A page's main text is its own text in that element. Pages need not
+match: a text at a place that the wrapper does not know counts as the page's own, and a page without the content element is
+read from its own article, main or body.
 
-Scale: at most SAMPLE pages a host (those with the least hashes of their html) leave their task; they are chosen by partial
-aggregation. Wrappers are broadcast only if they are counted and small, else joined by host, with the hot host's
-pages split by skew handling. Extraction is row-local.
+Page furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) inside or beside
+the content is known by tag, role, hidden attributes, or a class or id all of whose words name furniture or
+layout (`cookie-notice`, not `share-prices`). An element that is named so but holds the content element or half of the
+page's text is none. Template texts inside the content go only if the page's own text there is most of it, so pages that
+repeat each other keep their articles. If all this leaves nothing of a page that has text outside tag furniture, names and constants are disregarded.
+
+Character references are decoded text by text, white space inside a block becomes one space, blocks are joined by a blank line.
+
+Scale: SAMPLE pages of a host and layout (those with the least hashes, pages under LONG characters first) leave their task;
+they are chosen by partial aggregation over all pages. They decide wrappers only: every page is read whole, by its own
+tokens. Wrappers are broadcast only if they are counted and small, else joined by host and layout, with the hot host's
+pages split by skew handling. Extraction is row-local and linear in the page.
 
 Defined cases: null html is an empty page (text ''); unclosed or stray tags and cut-off pages are read as far as
 they go; null or odd urls share a host ''; repeated pages count once for a wrapper; an empty table gives no rows;
@@ -31,111 +40,139 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import durable
 
-#: Pages of a host that its wrapper is inferred from, and tokens of each that are aligned.
-SAMPLE, TOKENS = 8, 4000
-#: Share of the variable text that a content element without a telling tag must hold.
-MOST = 0.6
+#: Pages of a host and layout that a wrapper is inferred from; longer pages are taken only where there are too few others.
+SAMPLE, LONG = 8, 1 << 16
+#: Sample pages that must share a text before it counts as the template's.
+AGREE = 4
+#: Share of the own text that a content element without a telling tag must hold, and that own text must have beside constants.
+HOLDS, MOST = 0.9, 0.6
 #: Bytes of wrappers that may be broadcast.
 BROADCAST = 8 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(noscript|template|textarea|title|svg|iframe|math)\b[^>]*+>(?:(?!<\2\b).)*?</\2\s*+>"
+    r"|<(noscript|template|textarea|title|svg|iframe)\b[^>]*+>(?:(?!<\2\b).)*?</\2\s*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?][^>]*+>"
     r"|([^<]++|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms msub msup msubsup mtext mfrac msqrt mroot munder mover munderover mspace mstyle semantics annotation".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav header footer aside form head menu dialog fieldset select button object canvas noscript template textarea title iframe".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox adslot banner promo promoted promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside rail footer header masthead topbar toolbar comment comments disqus replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip hidden legal copyright".split())
+#: Words of names that say furniture, and words that say no more than where or what kind of box.
+_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adbox adslot banner promo promoted promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside rail footer header masthead topbar toolbar comment comments disqus replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager skip copyright".split())
+_LAYOUT = frozenset("area bar block box btn button buttons column container form global group holder icons inline inner item items left right top bottom link links list main message outer page panel part post posts primary region row secondary section site slot text the thread title unit widget wrap wrapper zone".split())
 #: End tags that pages may leave out; without them, pages that do and pages that don't have one stream.
 _OPTIONAL = frozenset("/p /li /td /th /tr /dt /dd /option /tbody /thead /body /html".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_ARTICLE_OWN = frozenset(("header",))
 TEXT = "#"
+#: What says that an element is furniture: nothing, a class or id, or its tag, role or being hidden.
+NO, NAMED, SURE = 0, 1, 2
+
+
+def _named(name: str) -> bool:
+    words = [w.lower() for w in _SPLIT.split(name) if w and not w.isdigit()]
+    return any(w in _WORDS for w in words) and all(w in _WORDS or w in _LAYOUT for w in words)
 
 
 @lru_cache(maxsize=1 << 14)
-def _attributes(raw: str) -> tuple[str, bool]:
+def _attributes(raw: str) -> tuple[str, int]:
     """(class and id as part of a tag's name, whether they tell page furniture)."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _NAMED.finditer(raw)}
-    words = [w.lower() for k in ("class", "id") for part in found.get(k, "").split() for w in _SPLIT.split(part) if w]
-    bad = any(w in _WORDS for w in words) or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if found.get("itemprop", "").lower() == "articlebody":
-        return ".articlebody", False
+        return ".articlebody", NO
+    sure = found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    names = [*found.get("class", "").split(), *found.get("id", "").split()]
     kept = [re.sub(r"\d+", "0", c) for c in found.get("class", "").split()[:3]] or ([re.sub(r"\d+", "0", found["id"])] if found.get("id") else [])
-    return "".join(f".{c}" for c in kept), bad
+    return "".join(f".{c}" for c in kept), SURE if sure else NAMED if any(map(_named, names)) else NO
 
 
-def tokens(page: str | None) -> Iterator[tuple[str, str, bool]]:
+def tokens(page: str | None) -> Iterator[tuple[str, str, int]]:
     """(name, text or tag key, furniture) of each text (name TEXT), start tag and end tag ("/" before its name)."""
     for m in _TOKEN.finditer(page or ""):
         if m[6] is not None:
-            yield TEXT, m[6], False
+            yield TEXT, m[6], NO
         elif m[4] is not None:
             name = m[4].lower()
             if m[3]:
-                yield "/" + name, "/" + name, False
+                yield "/" + name, "/" + name, NO
             else:
-                key, bad = _attributes(m[5]) if m[5] else ("", False)
-                yield name, name + key, bad or name in _FURNITURE
+                key, bad = _attributes(m[5]) if m[5] else ("", NO)
+                yield name, name + key, SURE if name in _FURNITURE else bad
+
+
+def _below(path: int, key: str) -> int:
+    """The path of an element as one number, from its parent's."""
+    return xxhash.xxh3_64_intdigest(key, seed=path) >> 1
+
+
+class Element:
+    __slots__ = ("name", "key", "furniture", "parent", "depth", "chars", "path", "region", "barred")
 
+    def __init__(self, name: str, key: str, furniture: int, parent: Element | None):
+        self.name, self.key, self.furniture, self.parent, self.chars = name, key, furniture, parent, 0
+        self.depth, above = (parent.depth + 1, parent.path) if parent else (0, 0)
+        self.path = above if not parent or name in _INLINE or f"/{name}" in _OPTIONAL else _below(above, key)
 
-def walk(page: str | None) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """tokens with the open block elements around each, and whether it stands in page furniture."""
-    names: list[str] = []
-    keys: list[str] = []
-    bads: list[bool] = []
-    bad = 0
+
+def walk(page: str | None) -> Iterator[tuple[str, str, Element]]:
+    """(name, text or tag key, innermost element around it) of all tokens. Inline elements are elements only if they are furniture."""
+    root = at = Element("", "", NO, None)
+    open_: Counter = Counter()
     for name, value, furniture in tokens(page):
-        if name != TEXT and name.lstrip("/") not in _INLINE and name not in _VOID:
-            if name[0] != "/":
-                if name == "p" or name in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                    if names and names[-1] in (("p",) if name == "p" else ("p", name)):
-                        names.pop(), keys.pop()
-                        bad -= bads.pop()
-                elif names and names[-1] == "p":
-                    names.pop(), keys.pop()
-                    bad -= bads.pop()
-                if name in _ARTICLE_OWN and "article" in names and furniture and value == name:
-                    furniture = False  # an article's own heading
-                names.append(name), keys.append(value), bads.append(furniture and name not in ("html", "body", "article", "main"))
-                bad += bads[-1]
-            elif name[1:] in names:
-                while True:
-                    n = names.pop()
-                    keys.pop()
-                    bad -= bads.pop()
-                    if n == name[1:]:
-                        break
-        yield name, value, tuple(keys), bad > 0
+        if name == TEXT or name in _VOID:
+            yield name, value, at
+            continue
+        plain = name.lstrip("/")
+        if plain in _INLINE and not (furniture if name[0] != "/" else open_[plain]) and not (name[0] != "/" and open_[plain]):
+            yield name, value, at
+            continue
+        if name[0] != "/":
+            ends = ("p",) if plain == "p" else ("p", name) if f"/{name}" in _OPTIONAL else ("p",) if plain not in _INLINE else ()
+            while at is not root and (at.name in ends or plain not in _INLINE and at.name in _INLINE):
+                open_[at.name] -= 1
+                at = at.parent
+            if name == "header" and furniture == SURE and open_["article"]:
+                furniture = NO  # an article's own heading
+            at = Element(name, value, NO if name in ("html", "body", "article", "main") and furniture != SURE else furniture, at)
+            open_[name] += 1
+        elif open_[plain]:
+            while True:
+                gone, at = at, at.parent
+                open_[gone.name] -= 1
+                if gone.name == plain:
+                    break
+        yield name, value, at
 
 
 Node = tuple  # ("tag", key) | ("text", constant or None) | ("opt", [nodes]) | ("rep", [nodes])
 
 
+def _clean(text: str) -> str:
+    return " ".join(html_lib.unescape(text).split())
+
+
 def _stream(page: str) -> list[Node]:
     out: list[Node] = []
-    for name, value, _, bad in walk(page):
+    for name, value, _ in walk(page):
         if name == TEXT:
-            text = " ".join(html_lib.unescape(value).split())
-            if text:
+            if text := _clean(value):
                 out.append(("text", text))
         elif name.lstrip("/") not in _INLINE and name not in _OPTIONAL:
             out.append(("tag", value))
-        if len(out) >= TOKENS:
-            break
     return out
 
 
@@ -273,95 +310,184 @@ def expression(wrapper: list[Node]) -> tuple[str, list[str]]:
     return "".join(map(of, wrapper)), list(keys)
 
 
-def _slots(nodes: list[Node], path: list[str], weights: Counter, bad: list[bool]) -> None:
-    for n in nodes:
-        if n[0] == "tag":
-            key = n[1]
-            if key[0] != "/":
-                if key.split(".")[0] not in _VOID:
-                    path.append(key)
-                    bad.append(key.split(".")[0] in _FURNITURE or any(w in _WORDS for c in key.split(".")[1:] for w in _SPLIT.split(c)))
-            elif key[1:] in [q.split(".")[0] for q in path]:
-                while path.pop().split(".")[0] != key[1:]:
-                    bad.pop()
-                bad.pop()
-        elif n[0] == "text":
-            if n[1] is None and not any(bad):
-                for depth, key in enumerate(path):
-                    weights[depth, key] += 1
-        else:
-            _slots(n[1], path, weights, bad)
+def template_texts(wrapper: list[Node], pages: list[str]) -> set[tuple[int, str]]:
+    """(path, text) of what all pages have in common: the wrapper's constants that are in no optional group, and texts that
+    every page has at one place although a repeated group of the wrapper has taken them up."""
+    found: set[tuple[int, str]] = set()
+    path: list[tuple[str, int]] = [("", 0)]
+
+    def visit(nodes: list[Node], optional: bool) -> None:
+        for n in nodes:
+            if n[0] == "tag":
+                name = n[1].split(".")[0]
+                if name[0] != "/":
+                    if name not in _VOID and f"/{name}" not in _OPTIONAL:
+                        path.append((name, _below(path[-1][1], n[1])))
+                elif name[1:] in [q for q, _ in path]:
+                    while path.pop()[0] != name[1:]:
+                        pass
+            elif n[0] == "text":
+                if n[1] is not None and not optional:
+                    found.add((path[-1][1], n[1]))
+            else:
+                visit(n[1], optional or n[0] == "opt")
 
+    visit(wrapper, False)
+    texts = [{(at.path, t) for name, value, at in walk(p) if name == TEXT and (t := _clean(value))} for p in pages]
+    return set.intersection(*texts) | found & set.union(*texts) if texts else found
 
-def content_element(wrapper: list[Node]) -> str:
-    """Key of the element that holds the main text, '' if the body does."""
-    weights: Counter = Counter()
-    _slots(wrapper, [], weights, [])
-    if not weights:
-        return ""
-    for name in ("article", "main"):
-        if held := [k for (_, k) in weights if k.split(".")[0] == name]:
-            return held[0]
-    total = max(weights.values())
-    good = [(depth, key) for (depth, key), n in weights.items() if n >= MOST * total and key.split(".")[0] in ("div", "section", "td", "main", "article")]
-    return max(good)[1] if good else ""
 
+def _landmark(key: str) -> bool:
+    return key.split(".")[0] in ("article", "main") or ".articlebody" in key
 
-def extract(page: str | None, content: str = "") -> str:
-    """The page's main text; content: its wrapper's content element."""
-    rows = list(walk(page))
-    every = {k for _, _, keys, bad in rows if not bad for k in keys}
-    held = {content} & every or {k for k in every if k.split(".")[0] == "article" or ".articlebody" in k} or {k for k in every if k.split(".")[0] == "main"}
-    blocks: list[str] = []
-    parts: list[str] = []
 
-    def close() -> None:
-        if parts and (block := " ".join(html_lib.unescape("".join(parts)).split())):
-            blocks.append(block)
-        parts.clear()
+def content_element(pages: list[str], constants: set[tuple[int, str]]) -> str:
+    """Key of the element that holds the pages' own text, '' if the body does."""
+    held: Counter = Counter()
+    headed: Counter = Counter()
+    total = headings = 0
+    for page in pages:
+        for name, value, at in walk(page):
+            text = _clean(value) if name == TEXT else ""
+            if not text or (at.path, text) in constants:
+                continue
+            line = []
+            while at.parent is not None and not at.furniture:
+                line.append(at)
+                at = at.parent
+            if at.parent is None:
+                heading = any(e.name == "h1" for e in line)
+                total, headings = total + len(text), headings + heading
+                for place in {(e.depth, e.path, e.key) for e in line if e.name in ("article", "main", "div", "section", "td") or ".articlebody" in e.key}:
+                    held[place] += len(text)
+                    headed[place] += heading
+    for name in ("article", "main"):
+        if marked := [(-n, p) for p, n in held.items() if p[2].split(".")[0] == name]:
+            return min(marked)[1][2]
+    whole = [p for p, n in held.items() if n >= HOLDS * total and headed[p] == headings]
+    return max(whole)[2] if whole else ""
+
 
-    for name, value, keys, bad in rows:
-        if name == TEXT:
-            if not bad and (not held or not held.isdisjoint(keys)):
-                parts.append(value)
-        elif name == "br":
-            parts.append(" ")
-        elif name.lstrip("/") not in _INLINE:
-            close()
-    close()
-    return "\n\n".join(blocks)
+def extract(page: str | None, content: str = "", constants: frozenset[tuple[int, str]] = frozenset()) -> str:
+    """The page's main text; content: its wrapper's content element; constants: its template's texts."""
+    rows = list(walk(page))
+    elements: dict[int, Element] = {}
+    for name, value, at in rows:
+        elements[id(at)] = at
+        at.chars += len(value.strip()) if name == TEXT else 0
+    ordered = _from_the_top(elements.values())
+    for e in reversed(ordered):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    total = ordered[0].chars if ordered else 0
+
+    def text(is_content, names: bool, dropped) -> str:
+        for e in ordered:
+            up = e.parent
+            e.region = up is not None and up.region or is_content(e) and not (up is not None and up.barred)
+            begins = e.region and not (up is not None and up.region)
+            bad = not begins and (e.furniture == SURE or names and e.furniture == NAMED and e.chars * 2 < total)
+            # outside the content only what is surely furniture bars it; a name does not
+            e.barred = up is not None and up.barred or bad and (e.region or e.furniture == SURE)
+        blocks: list[str] = []
+        parts: list[str] = []
+        own = other = 0
+
+        def close() -> None:
+            if parts and (block := " ".join("".join(parts).split())):
+                blocks.append(block)
+            parts.clear()
+
+        for name, value, at in rows:
+            if name == TEXT:
+                if at.region and not at.barred:
+                    if dropped and (at.path, _clean(value)) in dropped:
+                        other += len(value)
+                    else:
+                        own += len(value)
+                        parts.append(html_lib.unescape(value))
+            elif name == "br":
+                parts.append(" ")
+            elif name.lstrip("/") not in _INLINE:
+                close()
+        close()
+        return "" if other and own < MOST * (own + other) else "\n\n".join(blocks)
+
+    keys = {e.key for e in ordered}
+    tests = [lambda e: e.key == content] if content in keys else []
+    if not _landmark(content) or content not in keys:
+        found = [t for t in ("article", "main") if any(k.split(".")[0] == t or t == "article" and ".articlebody" in k for k in keys)]
+        tests = [lambda e, t=t: e.name == t or t == "article" and ".articlebody" in e.key for t in found] + tests
+    tests.append(lambda e: e.parent is None)
+    for names, dropped in ((True, constants), (True, frozenset()), (False, frozenset())):
+        for is_content in tests:
+            if out := text(is_content, names, dropped):
+                return out
+    return ""
+
+
+def _from_the_top(elements) -> list[Element]:
+    """Elements with every parent before its children."""
+    out: list[Element] = []
+    seen: set[int] = set()
+    for e in elements:
+        line = []
+        while e is not None and id(e) not in seen:
+            seen.add(id(e))
+            line.append(e)
+            e = e.parent
+        out += reversed(line)
+    return out
 
 
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def layout(html: Column) -> Column:
+    """The classes of a page's body, article and main elements: pages of one template have them in common."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(body|article|main)\b[^>]*>"), F.lit(0))
+    named = F.transform(tags, lambda t: F.concat(F.lower(F.regexp_extract(t, r"^<(\w+)", 1)), F.lit("."), F.regexp_replace(F.regexp_extract(t, r"(?i)\sclass\s*=\s*[\"']?([^\s\"'>]*)", 1), r"\d+", "0")))
+    return F.array_join(F.array_sort(F.array_distinct(named)), " ")
+
+
+def wrapper_of(sample: list[str]) -> dict:
+    """content: key of the content element; constants: (path, text) of the template; regex and its tokens' keys."""
+    pages = list(dict.fromkeys(sample))
+    wrapper = infer(pages)
+    constants = template_texts(wrapper, pages) if len(pages) >= AGREE else set()
+    regex, keys = expression(wrapper)
+    return {"content": content_element(pages, constants), "constants": sorted(constants), "regex": regex, "keys": keys}
+
+
 @F.pandas_udf(T.StringType())
 def _wrapper_of(pages: pd.Series) -> pd.Series:
-    def one(sample) -> str:
-        wrapper = infer(list(sample))
-        regex, keys = expression(wrapper)
-        return json.dumps({"content": content_element(wrapper), "regex": regex, "keys": keys})
-
-    return pages.map(one)
+    return pages.map(lambda sample: json.dumps(wrapper_of(list(sample))))
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """host, wrapper (JSON: content element, regular expression and its tokens) for every host."""
-    rows = pages.filter(F.length(html) > 0).select(host(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("h"))
-    picked = rows.groupBy("host", F.pmod("h", F.lit(sample)).alias("s")).agg(F.min_by("html", "h").alias("html"))
-    return picked.groupBy("host").agg(F.collect_list("html").alias("pages")).select("host", _wrapper_of("pages").alias("wrapper"))
+    """host, layout, wrapper (JSON) for every host and layout."""
+    rows = pages.filter(F.length(html) > 0).select(host(F.col(url)).alias("host"), layout(F.col(html)).alias("layout"), F.col(html).alias("html"), F.xxhash64(html).alias("h"))
+    order = F.struct(F.greatest(F.length("html"), F.lit(LONG)).alias("n"), "h")
+    picked = rows.groupBy("host", "layout", F.pmod("h", F.lit(sample)).alias("s")).agg(F.min_by("html", order).alias("html"))
+    return picked.groupBy("host", "layout").agg(F.collect_list("html").alias("pages")).select("host", "layout", _wrapper_of("pages").alias("wrapper"))
+
+
+@lru_cache(maxsize=1 << 10)
+def _read(wrapper: str) -> tuple[str, frozenset[tuple[int, str]]]:
+    w = json.loads(wrapper)
+    return w["content"], frozenset(map(tuple, w["constants"]))
 
 
 @F.pandas_udf(T.StringType())
-def _main_text(pages: pd.Series, contents: pd.Series) -> pd.Series:
-    return pd.Series([extract(p, c or "") for p, c in zip(pages, contents)], dtype=object)
+def _main_text(pages: pd.Series, wrapper: pd.Series) -> pd.Series:
+    return pd.Series([extract(p, *(_read(w) if w else ())) for p, w in zip(pages, wrapper)], dtype=object)
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text, n_chars for every row of pages."""
-    found = durable(wrappers(pages, url, html).select("host", F.get_json_object("wrapper", "$.content").alias("__content")))
-    size = found.agg(F.sum(F.length("host") + F.length("__content") + 64)).first()[0] or 0
-    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("__html"), host(F.col(url)).alias("host"))
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST else found, "host", "left")
-    return joined.select(key, url, _main_text("__html", "__content").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = durable(wrappers(pages, url, html)).toDF("__host", "__layout", "__wrapper")
+    size = found.agg(F.sum(F.length("__host") + F.length("__layout") + F.octet_length("__wrapper") + 64)).first()[0] or 0
+    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("__html"), host(F.col(url)).alias("__h"), layout(F.coalesce(F.col(html), F.lit(""))).alias("__l"))
+    joined = rows.join(F.broadcast(found) if size <= BROADCAST else found, (F.col("__h") == F.col("__host")) & (F.col("__l") == F.col("__layout")), "left")
+    return joined.select(key, url, _main_text("__html", "__wrapper").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -359,13 +359,55 @@ def test_wrapper_and_text():
     for p in pages:
         stream = html_wrappers._stream(p)
         assert re.fullmatch(regex, "".join("t" if n[0] == "text" else chr(0xE000 + keys.index(n[1])) for n in stream))
-    assert html_wrappers.content_element(w) == "div.body"
+    assert html_wrappers.content_element(pages, html_wrappers.template_texts(w, pages)) == "div.body"
     assert html_wrappers.extract(pages[2], "div.body") == "T3\n\nd\n\ne\n\nf"
     full = "<body><header class=site>H</header><div class='cookie-notice'>C</div><main><article><header><h1>T &amp; x</h1></header><p>a<br>b <a>c</a>d</p><aside>s</aside><form>f</form><script>var x='</p>'</script><ul><li>1<li>2</ul><section id=comments><p>cc</p></section><p>&nbsp;z &lt;p&gt;</article></main><footer>F"
     assert html_wrappers.extract(full) == "T & x\n\na b cd\n\n1\n\n2\n\nz <p>"
     assert html_wrappers.extract(None) == "" == html_wrappers.extract("<p>") and html_wrappers.extract("plain  text") == "plain text"
 
 
+def test_names_and_attributes():
+    """Furniture by whole names and real attributes only; text decoded token by token; inline adverts; MathML stays."""
+    cases = [
+        ('<div title="hidden gems">g</div><section aria-label="hidden costs">c</section><i data-hidden="false">k</i>', "g\n\nc\n\nk"),
+        ('<div class="legal-analysis">la</div><div class="share-prices">sp</div><div id="promo-chart">pc</div>', "la\n\nsp\n\npc"),
+        ("x <math><mi>x</mi><mo>=</mo><mn>1</mn></math> y AT&amp<b>lt;</b>", "x x=1 y AT&lt;"),
+        ('a<span class="advert">AD <span>more</span> x</span> b<div class="comment-list">cc</div><p hidden>h</p><p style="display: none">n</p>', "a b"),
+        ('<header class="entry-header"><h1>T</h1></header><p>a<nav>n</nav><p>b', "T\n\na\n\nb"),
+    ]
+    for inside, want in cases:
+        rest = "<p>and a closing paragraph of the article</p>"
+        page = f"<body><div class='layout has-sidebar'><article>{inside}{rest}</article><div class=sidebar>s</div></div><footer>f</footer>"
+        assert html_wrappers.extract(page) == f"{want}\n\nand a closing paragraph of the article", inside
+    assert html_wrappers.extract('<div class="notice"><p>only text</p></div>') == "only text"
+    assert html_wrappers.extract('<div class="comments"><p>only</p></div><nav>menu of the page</nav>') == "only"
+    assert html_wrappers.extract("<div>" * 5000 + "deep" + "<p>" * 5000 + "er") == "deep\n\ner"
+
+
+def test_templates_without_article(spark):
+    """Content by the pages' own text: bylines and headings stay, menus, template lines and side boxes go; long pages too."""
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        ps = [text(30) for _ in range(1 + 3 * k if k < 11 else 3000)]
+        title = text(4)
+        body = f"<div class=post><h1>{title}</h1><div class=body>{''.join(f'<p>{p}</p>' for p in ps)}</div><p>Share this story with friends</p></div>"
+        menu = "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(900))
+        rows.append((k, f"http://Host.example/{k}", f"<html><body><div class=top><ul>{menu}</ul></div><div class=ad>{text(5)}</div><div class=cols>{body}<div class=widget-area>{text(3)}</div></div><div class=foot>Same foot</div></body></html>"))
+        want[k] = "\n\n".join([title, *ps])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(df).collect()}
+    assert {k for k in want if got[k] != want[k]} == set()
+    # pages that repeat each other keep their text
+    same = spark.createDataFrame([(k, "http://h/", f"<body><p>{text(1)}</p><div class=b><p>always the same article text, many words long</p></div>") for k in range(9)], "page_id long, url string, html string")
+    assert all("always the same article" in r.text for r in html_wrappers.main_texts(same).collect())
+    # a layout with an article beside one without, on one host
+    mixed = rows + [(100 + k, f"http://host.example/a{k}", f"<body class=x{k}><div class=top>menu</div><article><p>own {k} words</p></article>") for k in range(6)]
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(mixed, "page_id long, url string, html string")).collect()}
+    assert all(got[100 + k] == f"own {k} words" for k in range(6)) and got[3] == want[3]
+
+
 def test_pages_query(spark):
     got = queries.op6_html(spark, FOLDER).toPandas()
     pages = pd.read_parquet(f"{FOLDER}/pages.parquet").set_index("page_id")
