@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, html_wrappers, line_dedup, media_ts, mixing, ngram_join, quality, sharding, spm_dropout
 from .common import table
+from .sql import SQL
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +57,35 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+# columns of the operators' results that SQL can express, where it can't express all
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1: sizes."""
+    return op1_sharding(spark, sf_dir).select("doc_id", "size")
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1: documents of each shard, and the slots that they fill without gaps."""
+    return op1_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("docs"), (F.max("slot") - F.min("slot") + 1).alias("slots"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2: payloads as read back."""
+    return op2_media_ts(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3: targets, and whether the words taken meet them to a hundredth (or a mean document, in small sources) and no document exceeds twice its size."""
+    of = op3_mixing(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    by = of.groupBy("source").agg(F.count("*").alias("docs"), F.first("source_size").alias("source_size"), F.first("target").alias("t"), F.sum("taken").alias("taken"), F.avg("size").alias("mean"), F.every(F.col("taken") <= 2 * F.col("size")).alias("held"))
+    return by.select("source", "docs", "source_size", F.round("t", 3).alias("target"), (F.col("held") & (F.abs(F.col("taken") - F.col("t")) <= F.greatest(0.01 * F.col("t"), F.col("mean")))).alias("met"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join)}
+    operators = (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join)
+    return {f.__name__: f for f in (*operators, shard_sizes, shard_counts, media_payloads, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -6,6 +6,9 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from quillgraph.llm import quality
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -72,3 +75,21 @@ def test_near_stage_takes_five_words_and_four_fifths(spark):
         want |= {10 * k} | ({10 * k + 1} if 5 * len(x & y) < 4 * len(x | y) else set())
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()} == want and 41 not in want and 51 in want
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns with clashing names; and no rows."""
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, None, None, None, None, "a"), (None, None, "en", "s", 0, None), (2, "", "en", "s", 0, "b"), (3, long, "en", "s", len(long), "c"), (3, long, "en", "s", len(long), "c"), (4, "same words here", None, "s", 15, "d"), (4, "same words here", None, "s", 15, "e"), (None, "same words here", "en", None, 15, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string").withColumn("n", F.lit(1)).withColumn("copies", F.lit(9)).withColumn("c", F.lit("x"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, FOLDER)
+            got = out.collect()
+            assert (out.columns == docs.columns or k == 4) and (some is docs or not got), name
+    near = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    assert sum(r.text == long for r in near) == 1 and sum((r.text or "") == "same words here" for r in near) == 1 and sum(not r.text for r in near) == 3
+    mixed = corpus_pipeline.mix_sources(spark, docs, FOLDER).collect()
+    assert max(Counter(map(tuple, mixed)).values()) <= 4 and {r.copies for r in mixed} == {9}
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep_good(docs, none).count() == docs.count()  # no labels: every score is one half
