@@ -6,7 +6,9 @@ import contextlib
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Stored(NamedTuple):
+    """A table in the shared checkpoint folder, for what is large: compressed, by column, and gone once it is dropped."""
+
+    df: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> Stored:
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner see which shuffles nothing refers to any more, so that their files go now, not at the end."""
     gc.collect()
@@ -54,20 +76,31 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _bit(rows: DataFrame, at: Column, wanted: DataFrame) -> DataFrame:
+    """rows whose place `at` is one of wanted's (p). The places are broadcast as bitmaps, 4 kB for 32768 of them."""
+    maps = wanted.select("p").groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    byte = "cast(conv(hex(substring(__map, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"shiftright({byte}, cast(bitmap_bit_position(__p) % 8 as int)) & 1")
+    found = rows.withColumn("__p", at).withColumn("__n", F.bitmap_bucket_number("__p")).join(F.broadcast(durable(maps)), F.col("__n") == F.col("__bucket"))
+    return found.filter(hit == 1).select(*rows.columns)
+
+
 def among(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
     """rows whose 16-byte key may be in wanted (same column): all that are, and few others.
 
-    A bitmap of `bits` bits, 4 kB a bucket, is broadcast: 4 MB at most, whatever the tables' sizes. It thins out what
+    A bitmap of `bits` bits is broadcast: 4 MB at most, whatever the tables' sizes. It thins out what
     an exact join must shuffle afterwards; the more keys, the less it thins out, but it never loses one."""
+    at = lambda c: F.pmod(F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long"), F.lit(bits))
+    return _bit(rows, at(key), wanted.select(at(key).alias("p")))
 
-    def at(c: str) -> Column:
-        return F.pmod(F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long"), F.lit(bits))
 
-    maps = wanted.select(at(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
-    byte = "cast(conv(hex(substring(__map, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)), 16, 10) as int)"
-    hit = F.expr(f"shiftright({byte}, cast(bitmap_bit_position(__p) % 8 as int)) & 1")
-    found = rows.withColumn("__p", at(key)).withColumn("__n", F.bitmap_bucket_number("__p")).join(F.broadcast(durable(maps)), F.col("__n") == F.col("__bucket"))
-    return found.filter(hit == 1).select(*rows.columns)
+def repeated(rows: DataFrame, value: str, bits: int = 1 << 26) -> DataFrame:
+    """rows whose long `value` may stand on several rows: all that do, and few others, by a bitmap (8 MB at most) of hashed
+    values that are met twice. A table of over `bits` rows would fill the bitmap and is returned as it is."""
+    if rows.count() > bits:
+        return rows
+    at = F.pmod(F.hash(value), F.lit(bits)).cast("long")
+    return _bit(rows, at, rows.groupBy(at.alias("p")).count().filter("count > 1"))
 
 
 def utf8(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ A text's set holds the hashes of its distinct n-word shingles. Two sets with Jac
 so at least 1 + slack segments of two such sets are equal. Sizes fall into bands, each with its own m and its own
 cut; a set is indexed in its band and also in the band below when its size can meet one there.
 
-Signatures (one hash each): every segment of three elements or more. Smaller segments say little and would gather
+Signatures (one hash each): every segment of three elements or more (two below 0.88). Smaller segments say little and would gather
 many unrelated sets in one bucket, so they have none; that is what the slack is for. A set with more small segments
 than the slack also gets the one-deletion neighbourhoods of its segments, which find segments that differ in one
 element; a set for which even those do not reach H gets all its segments. The slack of a band is the one with
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from math import erfc, exp, sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -45,14 +45,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, batches_of, durable, tidy
+from .common import among, batches_of, durable, repeated, stored, tidy
 from .components import components, joined
 
-#: Jaccard threshold as a fraction, and bands' growth.
+#: Jaccard threshold as a fraction.
 NUM, DEN = 9, 10
-GROWTH = 1.4
-#: Segments with fewer elements have no signature of their own.
-STRONG = 3
 PIVOTS = 32
 #: Nearest members of a pivot that its star's centre is taken from; it affects speed alone.
 CENTRE = 32
@@ -63,6 +60,15 @@ THINNED = 2
 BATCH, CHUNK = 2_000, 256
 
 
+def shape(num: int, den: int) -> tuple[float, int]:
+    """(growth of the bands, elements that a segment needs for a signature of its own) by the least number of signatures.
+
+    Two sets at the threshold have (num + den) / (den - num) / 2 elements for each that differs. Where that is many, wide bands
+    keep most sets in one band and segments are still large; where it is few, a band must be hardly wider than its reach.
+    Measured for a shingle: 0.14 signatures at 9 / 10; at 4 / 5 0.5, and 2.0 with the shape of 9 / 10."""
+    return (1.4, 3) if num + den >= 16 * (den - num) else (1.01 * den / num, 2)
+
+
 class Band(NamedTuple):
     number: int
     upper: int  # sizes of the smaller set go up to this
@@ -79,38 +85,48 @@ def _poisson(mean: float, upto: int) -> list[float]:
     return p
 
 
-def _slack(h: int, low: int, high: int) -> int:
-    """The slack with the least expected number of signatures of sets of the sizes low to high, evenly spread."""
+def _slack(h: int, low: int, high: int, strong: int) -> int:
+    """The slack with the least expected number of signatures of sets of the sizes low to high, evenly spread.
+
+    Small segments are about binomial in number; many of them about normal."""
+
+    def beyond(m: int, weak: float, slack: int) -> float:
+        mean = m * weak
+        if mean < 20:
+            return max(0.0, 1 - sum(_poisson(mean, slack + 1)))
+        return erfc((slack + 0.5 - mean) / sqrt(2 * mean * (1 - weak) + 1e-9)) / 2
 
     def cost(slack: int) -> float:
         m, total = h + 1 + slack, 0.0
         for i in range(5):
             size = low + (high - low) * i / 4
-            weak = sum(_poisson(size / m, STRONG))
-            beyond = max(0.0, 1 - sum(_poisson(m * weak, slack + 1)))
-            total += m * (1 - weak) + beyond * (size + m)
+            weak = min(1.0, sum(_poisson(size / m, strong)))
+            total += m * (1 - weak) + beyond(m, weak, slack) * (size + m)
         return total
 
-    return min(range(8 + h // 4), key=cost)
+    return min(range(0, 9 + 2 * h, max(1, h // 64)), key=cost)
 
 
 @lru_cache(maxsize=None)
 def band(number: int, num: int = NUM, den: int = DEN) -> Band:
+    growth, strong = shape(num, den)
     low, upper = 1, -(-num // (den - num)) - 1  # below this no two different sets are similar enough
     for _ in range(number):
-        low, upper = upper + 1, max(upper + 1, int(upper * GROWTH))
+        low, upper = upper + 1, max(upper + 1, int(upper * growth))
     reach = upper * den // num
     h = (upper + reach) * (den - num) // (den + num)
-    return Band(number, upper, reach, h, 1, 0) if h == 0 else Band(number, upper, reach, h, h + 1 + (s := _slack(h, low, reach)), s)
+    return Band(number, upper, reach, h, 1, 0) if h == 0 else Band(number, upper, reach, h, h + 1 + (s := _slack(h, low, reach, strong)), s)
 
 
 @lru_cache(maxsize=1 << 16)
 def bands_of(size: int, num: int = NUM, den: int = DEN) -> tuple[Band, ...]:
-    """The band of a size, and the band below where it can be the larger set."""
+    """The band of a size, and those below where it can be the larger set: one, for bands are as wide as their reach."""
     k = 0
     while band(k, num, den).upper < size:
         k += 1
     here = band(k, num, den)
+    if k > 1 and band(k - 2, num, den).reach >= size:
+        raise ValueError("a set can be similar to sets two bands below")
     return (here,) if not k or (below := band(k - 1, num, den)).reach < size else (here, below)
 
 
@@ -139,7 +155,7 @@ def band_signatures(elements: np.ndarray, num: int = NUM, den: int = DEN) -> lis
     """For each band of a set its signatures, and how many of them any similar set of that band must share.
 
     Of m segments at most H differ, so m - H are equal, and all of these have a signature but those that are small."""
-    size, out = len(elements), []
+    size, out, least = len(elements), [], shape(num, den)[1]
     for place, b in enumerate(bands_of(size, num, den) if size else ()):
         salt = np.uint64((2 * b.number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         hashed = _mix(elements + salt)
@@ -152,9 +168,9 @@ def band_signatures(elements: np.ndarray, num: int = NUM, den: int = DEN) -> lis
         sums = np.zeros(b.m, np.uint64)
         np.add.at(sums, at, value)
         mark = (np.arange(b.m, dtype=np.uint64) << np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + salt
-        strong = counts >= STRONG
+        strong = counts >= least
         weak = b.m - int(strong.sum())
-        room = 2 * int((counts > STRONG).sum()) + int((counts == STRONG).sum())
+        room = 2 * int((counts > least).sum()) + int((counts == least).sum())
         near = weak > b.slack
         whole = near and room <= b.h
         found = _mix(_mix(sums + mark)[strong | whole])
@@ -162,7 +178,7 @@ def band_signatures(elements: np.ndarray, num: int = NUM, den: int = DEN) -> lis
         shared = 1 if near else max(1, b.m - (size + partner) * (den - num) // (den + num) - weak)
         if near:
             tagged = sums + ~mark
-            can = counts[at] > STRONG
+            can = counts[at] > least
             found = np.concatenate([found, _mix(_mix(tagged)[strong]), _mix(_mix(tagged[at[can]] - value[can]))])
         out.append((np.unique(found), shared))
     return out
@@ -191,7 +207,7 @@ def _signed(n: int, num: int, den: int):
                 made = [pa.array([len(x) for x in sets], pa.int64())]
                 for i in (0, 1):
                     made += [lists([f[i][0] for f in found]), pa.array([f[i][1] for f in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *made], names=["doc_id", "key", "n", "sigs0", "share0", "sigs1", "share1"])
+                yield pa.RecordBatch.from_arrays([b.column("c"), b.column("label"), b.column("key"), *made], names=["c", "label", "key", "n", "sigs0", "share0", "sigs1", "share1"])
 
     return run
 
@@ -213,16 +229,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return x.filter(most).filter(both * (den + num) >= (size("x") + size("y")) * num).select("a", "b")
 
 
-def _detail(star: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, nb, near, extra, less for pivots a and members b of their buckets, and each pivot as its own member.
+def _detail(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, nb, extra, less for pivots a and members b of their buckets, and each pivot as its own member.
 
-    near: the two are similar. extra and less: elements that only b, and only a has."""
+    extra and less: elements that only b, and only a has."""
     rows = star.union(star.select("a", F.col("a").alias("b")).distinct())
     x = rows.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     only = lambda p, q: F.array_sort(F.array_except(p, q))
-    x = x.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), only("y", "x").alias("extra"), only("x", "y").alias("less"))
-    near = (F.size("extra") + F.size("less")) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
-    return x.select("a", "b", "nb", near.alias("near"), "extra", "less")
+    return x.select("a", "b", F.size("y").alias("nb"), only("y", "x").alias("extra"), only("x", "y").alias("less"))
 
 
 def _first(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
@@ -290,70 +304,76 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     """doc_id, key (digest of the text), n_shingles, component_id for every row of docs, and head: one text of its component.
 
     Sets of n-word shingles with Jaccard similarity of num / den or more are linked."""
-    if not num < den <= num * GROWTH:
-        raise ValueError("similar sets must not be more than one band apart")
+    if not num < den <= 2 * num:
+        raise ValueError("the threshold must be from one half to under one")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    signed = rows.mapInArrow(_signed(n, num, den), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("label"), *[F.first(c).alias(c) for c in ("n", "sigs0", "share0", "sigs1", "share1")])
+    signed = rows.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("text").alias("text")).withColumn("c", F.monotonically_increasing_id())
     with batches_of(spark, BATCH):
-        classes = durable(classes.withColumn("c", F.monotonically_increasing_id()))
+        indexed = stored(signed.mapInArrow(_signed(n, num, den), "c long, label long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int"))
+    classes = indexed.df
     tidy(spark)
 
     entries = classes.select("c", "share0", "share1", F.size("sigs0").alias("__first"), F.posexplode(F.concat("sigs0", "sigs1")).alias("__i", "sig"))
     lower = F.col("__i") >= F.col("__first")
     entries = entries.select("c", "sig", lower.alias("lower"), F.when(lower, F.col("share1")).otherwise(F.col("share0")).alias("share"))
-    several = lambda d: d.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig", "p")
-    members = durable(entries.join(durable(several(entries)), "sig"))
+    several = lambda d: d.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig")
+    some = stored(repeated(entries, "sig"))
+    members = stored(some.df.join(several(some.df), "sig"))
+    some.drop()
     tidy(spark)
     for _ in range(THINNED):  # a set that shares too few signatures with all others together has no similar one
-        enough = members.groupBy("c", "lower").agg(F.count("*").alias("n"), F.max("share").alias("share")).filter("n >= share").select("c", "lower")
-        kept = durable(members.drop("p").join(enough, ["c", "lower"], "left_semi"))
-        members = durable(kept.join(several(kept), "sig"))
+        enough = members.df.groupBy("c", "lower").agg(F.count("*").alias("n"), F.max("share").alias("share")).filter("n >= share").select("c", "lower")
+        kept, last = stored(members.df.join(enough, ["c", "lower"], "left_semi")), members
+        members = stored(kept.df.join(several(kept.df), "sig"))
+        last.drop(), kept.drop()
     tidy(spark)
-    wanted = durable(members.select("c").distinct().join(classes.select("c", "label", "key"), "c"))
+    wanted = durable(members.df.select("c").distinct().join(classes.select("c", "label", "key"), "c"))
     texts = among(rows, "key", wanted).join(wanted.toDF("c", "__label", "__key"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__label"))).select("c", "text")
     with batches_of(spark, BATCH):
-        sets = durable(texts.mapInPandas(_sets(n), "c long, elements array<long>").dropDuplicates(["c"]))
+        held = stored(texts.mapInPandas(_sets(n), "c long, elements array<long>").dropDuplicates(["c"]))
+    sets = held.df
     tidy(spark)
 
     # pivot of a bucket: the member that meets most others over all its buckets, so that buckets of one group agree on it
-    met = members.select("sig", "c").distinct()
+    met = members.df.select("sig", "c").distinct()
     weights = met.join(met.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("c").agg(F.sum("n").alias("w"))
     pivots_ = met.join(weights, "c").groupBy("sig").agg(F.max(F.struct("w", (-F.col("c")).alias("c"))).alias("top")).select("sig", (-F.col("top.c")).alias("a"))
-    star = durable(met.join(pivots_, "sig").filter("c != a").select("a", F.col("c").alias("b")).distinct())
+    buckets = stored(met.join(pivots_, "sig").filter("c != a").select("sig", "a", F.col("c").alias("b")))
+    members.drop()
+    star = durable(buckets.df.select("a", "b").distinct())
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    large = durable(star.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
-    detail = durable(_detail(star.join(large, "a", "left_semi"), sets, num, den))
-    links = _verified(star.join(large, "a", "left_anti"), sets, num, den).union(detail.filter("near AND a != b").select("a", "b"))
-    roots = durable(components(links))
-    del entries, members, kept
+    roots = durable(components(_verified(star, sets, num, den)))
     tidy(spark)
 
+    # buckets in which members beside the pivot are not yet in one component: a star's other members have met all they can
+    at = _rooted(buckets.df, roots, "b", "r")
+    star = durable(at.join(at.groupBy("sig").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("sig"), "sig").select("a", "b").distinct())
+    buckets.drop()
     # the member nearest to each centre, the exemplar, against all others that it is not yet linked with
-    spread = _rooted(detail.select("a", "b"), roots, "b", "r").groupBy("a").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("a")
-    centred = durable(_centred(detail.join(spread, "a", "left_semi")))
-    exemplars = centred.groupBy("a").agg(F.min(F.struct("d", "b", "nb")).alias("m")).select("a", F.col("m.b").alias("y"), F.col("m.d").alias("e"), F.col("m.nb").alias("ne"))
-    prefixes = durable(_prefixes(centred.join(exemplars, "a"), num, den))
-    del detail, centred
+    detail = stored(_detail(star, sets))
+    centred = stored(_centred(detail.df))
+    detail.drop()
+    exemplars = centred.df.groupBy("a").agg(F.min(F.struct("d", "b", "nb")).alias("m")).select("a", F.col("m.b").alias("y"), F.col("m.d").alias("e"), F.col("m.nb").alias("ne"))
+    prefixes = stored(_prefixes(centred.df.join(exemplars, "a"), num, den))
+    centred.drop()
     tidy(spark)
     apart = lambda p: _rooted(_rooted(p, roots, "x", "rx"), roots, "y", "ry").filter("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tested = durable(apart(prefixes.select(F.col("b").alias("x"), "y")).join(star, ["a", "b"], "left_anti"))
+    tested = durable(apart(prefixes.df.select(F.col("b").alias("x"), "y")).join(done, ["a", "b"], "left_anti"))
     roots = durable(joined(roots, _verified(tested, sets, num, den)))
     tidy(spark)
 
     # outer members against the core, and against each other
-    rest = durable(_rooted(_rooted(prefixes, roots, "b", "rb"), roots, "y", "ry").withColumn("core", F.col("rb") == F.col("ry")).drop("rb", "ry"))
-    del prefixes
-    tidy(spark)
-    outer, core = _placed(rest.filter("NOT core"), "to_core", "x"), _placed(rest.filter("core"), "prefix", "y").withColumnsRenamed({"a": "a2", "t": "t2"})
+    rest = stored(_rooted(_rooted(prefixes.df, roots, "b", "rb"), roots, "y", "ry").withColumn("core", F.col("rb") == F.col("ry")).drop("rb", "ry"))
+    prefixes.drop()
+    outer, core = _placed(rest.df.filter("NOT core"), "to_core", "x"), _placed(rest.df.filter("core"), "prefix", "y").withColumnsRenamed({"a": "a2", "t": "t2"})
     pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y", num, den)).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
     more = durable(apart(pairs).join(done, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(more)
     roots = durable(joined(roots, _verified(more, sets, num, den)))
     tidy(spark)
 
-    open_ = _placed(rest.filter("NOT core"), "prefix", "x").withColumn("sig", F.xxhash64("a", "t")).drop("a", "t").withColumnRenamed("cx", "c")
+    open_ = _placed(rest.df.filter("NOT core"), "prefix", "x").withColumn("sig", F.xxhash64("a", "t")).drop("a", "t").withColumnRenamed("cx", "c")
     pivots = PIVOTS
     while True:
         at = _rooted(open_, roots, "c", "r")
