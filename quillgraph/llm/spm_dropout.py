@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Draws of a chunk that are made at once; the others as they are needed.
 DRAWS = 16
 #: Segmentations with skips that a worker keeps, and chunks with their encodings without dropout.
-CACHE, PLAIN = 1_000_000, 400_000
+CACHE, PLAIN = 400_000, 240_000
 #: Chunks of up to so many characters keep their agenda in a list, and their segmentations; characters of longer ones that are kept.
 SHORT, HELD = 48, 1 << 22
 _ALL, _NONE, _FREE = (1 << 64) - 1, 1 << 60, 1 << 30
@@ -119,17 +119,17 @@ class Merges:
     A symbol is the id of its piece, or `unknown` and the code point of a character without one. (left, right) -> (cost,
     merged) is an open-addressing table, so that a look-up is an array operation."""
 
-    BITS = 19
+    BITS = 18
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.unknown = pieces, len(pieces.raw)
-        self.symbols = np.arange(0x110000, dtype=np.int64) + self.unknown
+        self.symbols = np.arange(0x110000, dtype=np.int32) + np.int32(self.unknown)
         for piece, n in pieces.numbers.items():
             if len(piece) == 1:
                 self.symbols[ord(piece)] = n
         number = lambda p: int(self.symbols[ord(p)]) if len(p) == 1 else pieces.numbers.get(p, -1)
         found = [(x, y, cost, pieces.numbers[p]) for p, cost in pieces.costs.items() for i in range(1, len(p)) if (x := number(p[:i])) >= 0 and (y := number(p[i:])) >= 0]
-        size = 1 << max(self.BITS, (4 * len(found)).bit_length())
+        size = 1 << max(self.BITS, (2 * len(found)).bit_length())
         self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
         self.keys, self.cost, self.merged = np.full(size, -1, np.int64), np.full(size, _FREE, np.int32), np.zeros(size, np.int32)
         rows = np.array(found, np.int64).reshape(-1, 4)
