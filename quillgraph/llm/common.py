@@ -94,15 +94,6 @@ def among(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) ->
     return _bit(rows, at(key), wanted.select(at(key).alias("p")))
 
 
-def repeated(rows: DataFrame, value: str, bits: int = 1 << 26) -> DataFrame:
-    """rows whose long `value` may stand on several rows: all that do, and few others, by a bitmap (8 MB at most) of hashed
-    values that are met twice. A table of over `bits` rows would fill the bitmap and is returned as it is."""
-    if rows.count() > bits:
-        return rows
-    at = F.pmod(F.hash(value), F.lit(bits)).cast("long")
-    return _bit(rows, at, rows.groupBy(at.alias("p")).count().filter("count > 1"))
-
-
 def utf8(c: Column | str) -> Column:
     return F.encode(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "UTF-8")
 

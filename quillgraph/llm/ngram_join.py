@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, batches_of, durable, repeated, stored, tidy
+from .common import among, batches_of, durable, stored, tidy
 from .components import components, joined
 
 #: Jaccard threshold as a fraction.
@@ -58,6 +58,8 @@ SALTS = 16
 THINNED = 2
 #: Rows of a batch that goes to Python, and that leaves it.
 BATCH, CHUNK = 2_000, 256
+#: Signatures of a bucket that one task sorts.
+BUCKET = 1 << 20
 
 
 def shape(num: int, den: int) -> tuple[float, int]:
@@ -212,6 +214,53 @@ def _signed(n: int, num: int, den: int):
     return run
 
 
+def _dealt(buckets: int):
+    """Signatures and whose they are, packed as 8 and 4 bytes, in a row for each bucket of signatures and batch.
+
+    Of a signature that many sets of the batch have, two stay; the others are known to be shared, go beside the buckets
+    (numbers from `buckets` on) and are not counted again, so a bucket is small however many sets share a signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn, b in enumerate(batches):
+            if not b.num_rows:
+                continue
+            c = b.column("c").to_numpy()
+            lists = [b.column(f"sigs{i}") for i in (0, 1)]
+            sigs = np.concatenate([x.flatten().to_numpy() for x in lists]).view(np.uint64)
+            owner = np.concatenate([2 * np.repeat(c - c[0], x.value_lengths().to_numpy()) + i for i, x in enumerate(lists)]).astype(np.uint32)
+            order = np.argsort(sigs, kind="stable")
+            sigs, owner = sigs[order], owner[order]
+            third = np.zeros(len(sigs), bool)
+            third[2:] = sigs[2:] == sigs[:-2]
+            at = (sigs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            out = []
+            for some, number in ((~third, lambda x: x), (third, lambda x: buckets + (x + turn) % buckets)):
+                s, o, edges = sigs[some], owner[some], at[some].astype(np.int64)
+                starts = np.flatnonzero(np.append(True, edges[1:] != edges[:-1])) if len(s) else []
+                out += [(int(number(edges[i])), s[i:j].tobytes(), o[i:j].tobytes()) for i, j in zip(starts, [*starts[1:], len(s)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([int(c[0])] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "first", "sigs", "owners"])
+
+    return run
+
+
+def _shared(buckets: int):
+    """sig, c, lower of a bucket's signatures that more than one set has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = list(zip(t.column("first").to_pylist(), t.column("sigs").to_pylist(), t.column("owners").to_pylist()))
+        sigs = np.frombuffer(b"".join(x for _, x, _ in parts), np.uint64)
+        owner = np.concatenate([2 * first + np.frombuffer(o, np.uint32).astype(np.int64) for first, _, o in parts])
+        if t.column("bucket")[0].as_py() < buckets:
+            order = np.argsort(sigs, kind="stable")
+            sigs, owner = sigs[order], owner[order]
+            same = np.append(sigs[1:] == sigs[:-1], False)
+            several = same | np.append(False, same[:-1])
+            sigs, owner = sigs[several], owner[several]
+        return pa.table({"sig": sigs.view(np.int64), "c": owner >> 1, "lower": (owner & 1).astype(bool)})
+
+    return run
+
+
 def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -311,19 +360,20 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     signed = rows.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("text").alias("text")).withColumn("c", F.monotonically_increasing_id())
     with batches_of(spark, BATCH):
         indexed = stored(signed.mapInArrow(_signed(n, num, den), "c long, label long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int"))
-    classes = indexed.df
+    classes = stored(indexed.df.select("c", "label", "key", "n", "share0", "share1")).df
     tidy(spark)
 
-    entries = classes.select("c", "share0", "share1", F.size("sigs0").alias("__first"), F.posexplode(F.concat("sigs0", "sigs1")).alias("__i", "sig"))
-    lower = F.col("__i") >= F.col("__first")
-    entries = entries.select("c", "sig", lower.alias("lower"), F.when(lower, F.col("share1")).otherwise(F.col("share0")).alias("share"))
-    several = lambda d: d.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig")
-    some = stored(repeated(entries, "sig"))
-    members = stored(some.df.join(several(some.df), "sig"))
-    some.drop()
+    total = indexed.df.agg(F.sum(F.size("sigs0") + F.size("sigs1"))).first()[0] or 0
+    buckets = total // BUCKET + 1
+    with batches_of(spark, BATCH):
+        packed = indexed.df.select("c", "sigs0", "sigs1").mapInArrow(_dealt(buckets), "bucket long, first long, sigs binary, owners binary")
+        members = stored(packed.groupBy("bucket").applyInArrow(_shared(buckets), "sig long, c long, lower boolean"))
+    indexed.drop()
     tidy(spark)
+    shares = classes.select("c", F.explode(F.array(F.struct(F.lit(False).alias("lower"), F.col("share0").alias("share")), F.struct(F.lit(True).alias("lower"), F.col("share1").alias("share")))).alias("s")).select("c", "s.lower", "s.share")
+    several = lambda d: d.groupBy("sig").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("sig")
     for _ in range(THINNED):  # a set that shares too few signatures with all others together has no similar one
-        enough = members.df.groupBy("c", "lower").agg(F.count("*").alias("n"), F.max("share").alias("share")).filter("n >= share").select("c", "lower")
+        enough = members.df.groupBy("c", "lower").agg(F.count("*").alias("n")).join(shares, ["c", "lower"]).filter("n >= share").select("c", "lower")
         kept, last = stored(members.df.join(enough, ["c", "lower"], "left_semi")), members
         members = stored(kept.df.join(several(kept.df), "sig"))
         last.drop(), kept.drop()
