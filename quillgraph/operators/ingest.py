@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_blank, strip
@@ -156,3 +156,18 @@ def first_per_window(requests: DataFrame, by: str, at: str, key: str = "event_id
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     walked = rows.repartition("by").sortWithinPartitions("by", "t", "key").mapInPandas(walk, f"by {kinds['by']}, key {kinds['key']}, refused boolean")
     return walked.toDF(by, key, "refused")
+
+
+def delete_label(nodes: DataFrame, *labels: str) -> DataFrame:
+    """K8: a graph's nodes without those of some labels; a table that is stored by label drops whole folders."""
+    return nodes.filter(~F.col("label").isin(*labels))
+
+
+def add_column(df: DataFrame, name: str, kind: str, default: object = None) -> DataFrame:
+    """K8: a new column with a default; an existing one of that name stays as it is."""
+    return df if name in df.columns else df.withColumn(name, F.lit(default).cast(kind))
+
+
+def reset_label(spark: SparkSession, schema: str) -> DataFrame:
+    """K8: an empty table of a label's declared columns, to be written over the old one."""
+    return spark.createDataFrame([], schema)

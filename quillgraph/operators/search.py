@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,3 +182,20 @@ def neighbour_edges(vectors: DataFrame, by: str, k: int = 5, most: float = 0.35,
     pairs = left.join(right, ["g", "block"]).filter("a <> b").withColumn("distance", 1 - dot / (F.col("na") * F.col("nb"))).filter(F.col("distance") <= most)
     w = Window.partitionBy("a").orderBy("distance", "b")
     return pairs.select("a", "b", "distance").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+def structured_dump(questions: DataFrame, dumps: list[tuple[str, DataFrame, list[str], int, list[str]]], cap: int = 40) -> DataFrame:
+    """Question, part, line, text: rows of each table (name, rows, columns, limit, words) of which a question holds a word,
+    its columns joined by ` | ` under a heading, at most `cap` lines a question.
+
+    The tables' first rows are limits by their first column, so what meets the questions is at most `cap` rows a table."""
+    parts = []
+    for k, (name, df, columns, limit, words) in enumerate(dumps, 1):
+        w = Window.partitionBy(F.lit(0)).orderBy(columns[0])
+        first = df.select(*columns).orderBy(columns[0]).limit(min(limit, cap))
+        body = first.select(F.row_number().over(w).alias("line"), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("text"))
+        head = df.sparkSession.createDataFrame([(0, f"[Structured {name}] {' | '.join(columns)}")], "line int, text string")
+        asked = questions.filter(reduce(Column.__or__, [F.lower("question").contains(x) for x in words])).withColumn("part", F.lit(k))
+        parts.append(asked.join(F.broadcast(head.union(body).withColumn("p", F.lit(k))), F.col("part") == F.col("p")).drop("p"))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("part", "line"))).filter(F.col("n") <= cap).drop("n")

@@ -173,11 +173,6 @@ def x4_content_score(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_score(F.col("text")).alias("score"))
 
 
-@register("x5_entities", r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}'))) AS numbers FROM documents")
-def x5_entities(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]{3}-[0-9]{4})")))).alias("numbers"))
-
-
 @register("x11_classifier", "SELECT doc_id, CASE WHEN contains(source, '7') OR contains(text, 'pathetic') THEN 'WARNS' WHEN contains(text, '!!') THEN 'SHOUTS' ELSE 'INTERPRETS' END AS rel FROM documents")
 def x11_classifier(spark, d):
     rules = [("WARNS", ["7"], ["pathetic"]), ("SHOUTS", [], ["!!"])]
