@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +18,8 @@ def incident(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst").alias("node"), F.lit("in").alias("direction"), "rel_type", F.col("src").alias("other")))
 
 
-def expand(nodes: DataFrame, edges: DataFrame, key: str, backbone: list[str], limit: int = 100) -> DataFrame:
-    """Neighbours of a node both ways, backbone relations first, at most `limit`."""
-    at = incident(edges).filter(F.col("node") == key)
+def expand(nodes: DataFrame, at: DataFrame, backbone: list[str], limit: int = 100) -> DataFrame:
+    """Neighbours of a node both ways, backbone relations first, at most `limit`. at: the node's incident edges."""
     named = at.join(nodes, F.col("other") == F.col("id"))
     first = F.when(F.col("rel_type").isin(backbone), 0).otherwise(1)
     w = Window.partitionBy("node").orderBy(first, "rel_type", "direction", "id")
@@ -24,9 +27,9 @@ def expand(nodes: DataFrame, edges: DataFrame, key: str, backbone: list[str], li
     return named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(*cols, F.col("rank").cast("long").alias("rank"))
 
 
-def context(edges: DataFrame, key: Column | str) -> DataFrame:
-    """Every relation of a node in both directions."""
-    return incident(edges).filter(F.col("node") == key).select("direction", "rel_type", "other")
+def context(at: DataFrame) -> DataFrame:
+    """Every relation of a node in both directions. at: the node's incident edges."""
+    return at.select("direction", "rel_type", "other")
 
 
 def seed_expansion(seeds: DataFrame, edges: DataFrame, per_side: int = 5, cap: int = 20) -> DataFrame:
@@ -86,6 +89,38 @@ def reasoning_chain(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return found.unionByName(missing)
 
 
+#: step(start, labels, ways) gives the edges at some nodes and their others' labels, as views.incident_to does.
+Step = Callable[[str | DataFrame, set[str] | None, tuple[str, ...]], tuple[DataFrame, set[str]]]
+
+
+def impact_of(step: Step, key: str, direction: str = "out", depth: int = 3) -> DataFrame:
+    """J7 from one node: each level reads only the tables that its labels are in, the first one by a pushed key."""
+    label, _, number = key.partition(":")
+    at, labels = step(key, None, (direction,))
+    seen: DataFrame | None = None
+    for level in range(1, depth + 1):
+        fresh = at.select(F.col("other_label").alias("label"), F.col("other_key").alias("key")).distinct().filter(~((F.col("label") == label) & (F.col("key") == int(number))))
+        fresh = fresh if seen is None else fresh.join(seen.select("label", "key"), ["label", "key"], "left_anti")
+        found = fresh.withColumn("depth", F.lit(level))
+        seen = found if seen is None else seen.unionByName(found)
+        if level == depth or not labels:
+            break
+        at, labels = step(fresh, labels, (direction,))
+    return seen.select(F.concat_ws(":", "label", F.col("key").cast("string")).alias("id"), "depth")
+
+
+def reasoning_chain_of(nodes: DataFrame, step: Step, key: str) -> DataFrame:
+    """J9 from one node of typed tables: as reasoning_chain, but it reads only tables that its labels are in."""
+    at, labels = step(key, None, ("out", "in"))
+    one = at.select(F.lit(1).alias("hop"), F.lit(key).alias("via"), "direction", "rel_type", F.col("other").alias("id"))
+    beyond, _ = step(at.select(F.col("other_label").alias("label"), F.col("other_key").alias("key")).distinct(), labels, ("out", "in"))
+    two = beyond.filter(F.col("other") != key).select(F.lit(2).alias("hop"), F.col("node").alias("via"), "direction", "rel_type", F.col("other").alias("id"))
+    found = one.unionByName(two).withColumn("node_resolved", F.lit(True))
+    here = nodes.filter((F.col("label") == key.partition(":")[0]) & (F.col("id") == key)).agg((F.count("*") > 0).alias("resolved"))
+    missing = here.filter("not resolved").select(F.lit(0).alias("hop"), F.lit(key).alias("via"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("string").alias("id"), F.lit(False).alias("node_resolved"))
+    return found.unionByName(missing)
+
+
 def co_presence(edges: DataFrame, ids: DataFrame, per_rel: int = 1000) -> DataFrame:
     """Edges between two different members of ids (id), at most per_rel of a relation."""
     kept = edges.filter("src != dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -125,9 +160,10 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 def _pinned(spark, df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared checkpoint folder."""
-    import tempfile
-
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

@@ -37,24 +37,35 @@ def tiered_lookup(tokens: DataFrame, names: DataFrame, aliases: DataFrame, token
     return out.select(token, found.alias("id"), tier.alias("tier"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters (shorter ones at the end)."""
+    chars = F.split(text, "")
+    out = chars
+    for k in range(1, n):  # no look-up by place inside a lambda: that would split the text for each character
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda x, y: F.concat_ws("", x, y))
+    return F.array_distinct(out)
+
+
 def keyword_links(texts: DataFrame, keywords: DataFrame, key: str, text: str, window: int | None = None, first_only: bool = False) -> DataFrame:
     """Key, keyword for each keyword (keyword, seq) contained in a text's first `window` characters (or all);
-    first_only keeps the one with the least seq.
+    first_only keeps the one with the least seq. Null and empty keywords are in no text.
 
-    A short dictionary is broadcast after counting it. A long one is joined by the keyword's first GRAM characters
-    with the text's distinct grams, then tested."""
+    A keyword can only be in a text that has its first GRAM characters (all of them, if it is shorter). The first characters
+    of a counted, short dictionary are an array that each text's grams are intersected with, in one pass; those of a long
+    one are joined with (key, gram) rows. Texts meet keywords only where a gram agrees."""
     body = F.left(F.col(text), F.lit(window)) if window else F.col(text)
-    t = texts.select(F.col(key).alias("key"), body.alias("t"))
-    if keywords.limit(KEYWORDS + 1).count() <= KEYWORDS:
-        met = t.join(F.broadcast(keywords), F.col("t").contains(F.col("keyword")))
+    t = texts.select(F.col(key).alias("key"), body.alias("t")).filter(F.length("t") > 0)
+    k = keywords.filter(F.length("keyword") > 0).withColumn("g", F.left("keyword", F.lit(GRAM)))
+    few = k.select("g").distinct().limit(KEYWORDS + 1).collect()  # KEYWORDS strings of GRAM characters at most
+    if len(few) <= KEYWORDS:
+        wanted = {n: [r["g"] for r in few if len(r["g"]) == n] for n in range(1, GRAM + 1)}
+        found = [F.array_intersect(_grams(F.col("t"), n), F.array(*map(F.lit, some))) for n, some in wanted.items() if some]
+        met = t.withColumn("g", F.explode(F.concat(*found) if found else F.array().cast("array<string>")))
+        met = met.join(k, "g").filter(F.col("t").contains(F.col("keyword")))
     else:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - GRAM + 1)), lambda i: F.substring(F.col("t"), i, F.lit(GRAM))))
-        long = keywords.filter(F.length("keyword") >= GRAM).withColumn("g", F.left("keyword", F.lit(GRAM)))
-        met = t.withColumn("g", F.explode(grams)).join(long, "g").filter(F.col("t").contains(F.col("keyword"))).drop("g")
-        brief = keywords.filter(F.length("keyword") < GRAM)  # shorter than a gram: through their own lengths
-        for n in range(1, GRAM):
-            pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - n + 1)), lambda i: F.substring(F.col("t"), i, F.lit(n))))  # noqa: B023
-            met = met.unionByName(t.withColumn("keyword", F.explode(pieces)).join(brief.filter(F.length("keyword") == n), "keyword"))
+        each = F.array_distinct(F.flatten(F.array(*[_grams(F.col("t"), n) for n in range(1, GRAM + 1)])))
+        near = t.select("key", F.explode(each).alias("g")).join(k, "g").select("key", "keyword", "seq").distinct()
+        met = near.join(t, "key").filter(F.col("t").contains(F.col("keyword")))
     pairs = met.groupBy("key", "keyword").agg(F.min("seq").alias("seq"))
     if first_only:
         return pairs.groupBy("key").agg(F.min_by("keyword", F.struct("seq", "keyword")).alias("keyword"))
@@ -160,12 +171,8 @@ def valid_at(facts: DataFrame, when: Column, start: str = "effective_at", end: s
 def longest_match(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """B1: for each text the longest name (id, name, seq) that it contains, the first one on ties."""
     best = F.max_by("id", F.struct(F.length("name"), -F.col("seq")))
-    met = texts.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    small = names.limit(KEYWORDS + 1).count() <= KEYWORDS
-    if not small:
-        pairs = keyword_links(texts, names.select(F.col("name").alias("keyword"), "seq"), key, text)
-        return pairs.join(names, F.col("keyword") == F.col("name")).groupBy("key").agg(best.alias("id"))
-    return met.join(F.broadcast(names), F.col("t").contains(F.col("name"))).groupBy("key").agg(best.alias("id"))
+    pairs = keyword_links(texts, names.select(F.col("name").alias("keyword"), "seq"), key, text)
+    return pairs.join(names, F.col("keyword") == F.col("name")).groupBy("key").agg(best.alias("id"))
 
 
 def inherit(edges: DataFrame, nodes: DataFrame, least: int = 100, cut: int = 2000) -> DataFrame:

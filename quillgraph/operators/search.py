@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,20 +170,43 @@ def tiered_context(hits: DataFrame, text: str, full: int = 3, budget: int = 1400
     return hits.withColumn("part", part).withColumn("tokens", tokens).withColumn("total", total).filter(F.col("total") <= budget).select("id", "rank", "part", "tokens")
 
 
-def neighbour_edges(vectors: DataFrame, by: str, k: int = 5, most: float = 0.35, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
+def neighbour_edges(vectors: DataFrame, by: str, k: int = 5, most: float = 0.35, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """A, b, distance: each vector's k nearest of its own group within `most` (cosine).
 
-    Rows of a group are dealt into blocks; a row meets one block at a time and keeps its k best of each, so no task
-    holds a group and only k rows a block go on."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.select(F.col(by).alias("g"), F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), norm.alias("n")).filter("n > 0")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = rows.withColumn("meet", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).toDF("g", "a", "va", "na", "ba", "block")
-    right = rows.toDF("g", "b", "vb", "nb", "block")
-    dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    pairs = left.join(right, ["g", "block"]).filter("a <> b").withColumn("distance", 1 - dot / (F.col("na") * F.col("nb"))).filter(F.col("distance") <= most)
+    A group is dealt into blocks of about `block` rows; each pair of blocks is one matrix product, so a task holds two blocks
+    and sends on k rows a vector. The result is exact, so all pairs of a group are measured; rows with null ids or
+    vectors, zero vectors and null components take no part."""
+    rows = vectors.select(F.col(by).alias("g"), F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = rows.filter(F.col("id").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull()))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes.withColumnRenamed("g", "__g"), F.col("g").eqNullSafe(F.col("__g"))).drop("__g").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("g", F.col("mine").alias("x"), meets.alias("y"), "id", "v")
+    right = dealt.select(F.col("g").alias("h"), meets.alias("x"), F.col("mine").alias("y"), F.col("id").alias("rid"), F.col("v").alias("rv")).toDF("h", "rx", "ry", "rid", "rv")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def near(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = {"a": [], "b": [], "distance": []}
+        if len(p) and len(q):
+            u, v = np.array(p["v"].tolist()), np.array(q["rv"].tolist())
+            u, v = (z / np.sqrt((z * z).sum(1))[:, None] for z in (u, v))
+            a, b = p["id"].to_numpy(), q["rid"].to_numpy()
+            for at in range(0, len(u), 256):
+                d = 1 - u[at : at + 256] @ v.T
+                d[a[at : at + 256, None] == b] = np.inf
+                for i, row in enumerate(d):
+                    some = np.flatnonzero(row <= most)
+                    if len(some) > k:
+                        some = some[row[some] <= np.partition(row[some], k - 1)[k - 1]]
+                    some = some[np.lexsort((b[some], row[some]))][:k]
+                    found["a"] += [a[at + i]] * len(some)
+                    found["b"] += b[some].tolist()
+                    found["distance"] += row[some].tolist()
+        return pd.DataFrame(found)
+
+    pairs = left.groupBy("g", "x", "y").cogroup(right.groupBy("h", "rx", "ry")).applyInPandas(near, f"a {kind}, b {kind}, distance double")
     w = Window.partitionBy("a").orderBy("distance", "b")
-    return pairs.select("a", "b", "distance").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("a", "b", F.round("distance", 6).alias("distance"))
+    return pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def structured_dump(questions: DataFrame, dumps: list[tuple[str, DataFrame, list[str], int, list[str]]], cap: int = 40) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions.labels import display_label
 from ..operators import graph as G
-from ..sources.views import catalog, edges, label_scan, nodes, point_lookup, rel_scan
+from ..sources.views import catalog, edges, incident_to, label_scan, nodes, point_lookup, rel_scan
 from .registry import register
 
 _INCIDENT = """both_ways AS (SELECT src AS node, 'out' AS direction, rel_type, dst AS other FROM edges
@@ -23,7 +25,8 @@ SELECT direction, rel_type, id, label, {_DISPLAY} AS display,
  row_number() OVER (ORDER BY CASE WHEN rel_type = 'IN_REGION' THEN 0 ELSE 1 END, rel_type, direction, id) AS rank
 FROM both_ways JOIN nodes ON other = id WHERE node = 'Nation:3' QUALIFY rank <= 100""")
 def j1_expand(spark, d):
-    return G.expand(nodes(spark, d), edges(spark, d), "Nation:3", ["IN_REGION"])
+    at, labels = incident_to(spark, d, "Nation:3")
+    return G.expand(nodes(spark, d).filter(F.col("label").isin(*labels)), at, ["IN_REGION"])
 
 
 @register("s1_label_page", "WITH @NODES SELECT id, name, title FROM nodes WHERE label = 'Customer' ORDER BY id LIMIT 20 OFFSET 10")
@@ -53,7 +56,7 @@ def e1_display_label(spark, d):
 
 @register("j8_context", f"WITH @EDGES, {_INCIDENT} SELECT direction, rel_type, other FROM both_ways WHERE node = 'Customer:1'")
 def j8_context(spark, d):
-    return G.context(edges(spark, d), "Customer:1")
+    return G.context(incident_to(spark, d, "Customer:1")[0])
 
 
 @register("j3_seed_expansion", f"""WITH @NODES, @EDGES, {_INCIDENT},
@@ -87,13 +90,13 @@ def j6_chain(spark, d):
 @register("j7_impact", """WITH RECURSIVE @EDGES, walk(id, depth) AS (SELECT 'Customer:7', 0 UNION SELECT e.dst, depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE depth < 3)
 SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id HAVING min(depth) > 0""")
 def j7_impact(spark, d):
-    return G.impact(edges(spark, d), spark.sql("SELECT 'Customer:7' AS id"))
+    return G.impact_of(partial(incident_to, spark, d), "Customer:7")
 
 
 @register("j7_impact_upstream", """WITH RECURSIVE @EDGES, walk(id, depth) AS (SELECT 'Supplier:3', 0 UNION SELECT e.src, depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE depth < 2)
 SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id HAVING min(depth) > 0""")
 def j7_impact_upstream(spark, d):
-    return G.impact(edges(spark, d), spark.sql("SELECT 'Supplier:3' AS id"), "in", 2)
+    return G.impact_of(partial(incident_to, spark, d), "Supplier:3", "in", 2)
 
 
 @register("j9_reasoning_chain", f"""WITH @EDGES, {_INCIDENT},
@@ -101,12 +104,12 @@ one AS (SELECT 1 AS hop, 'Order:1' AS via, direction, rel_type, other AS id FROM
 two AS (SELECT 2 AS hop, node AS via, direction, rel_type, other AS id FROM both_ways WHERE node IN (SELECT id FROM one) AND other <> 'Order:1')
 SELECT *, true AS node_resolved FROM one UNION ALL SELECT *, true FROM two""")
 def j9_reasoning_chain(spark, d):
-    return G.reasoning_chain(nodes(spark, d), edges(spark, d), "Order:1")
+    return G.reasoning_chain_of(nodes(spark, d), partial(incident_to, spark, d), "Order:1")
 
 
 @register("j9_reasoning_chain_missing", "SELECT 0 AS hop, 'Order:none' AS via, NULL::VARCHAR AS direction, NULL::VARCHAR AS rel_type, NULL::VARCHAR AS id, false AS node_resolved")
 def j9_reasoning_chain_missing(spark, d):
-    return G.reasoning_chain(nodes(spark, d), edges(spark, d), "Order:none")
+    return G.reasoning_chain_of(nodes(spark, d), partial(incident_to, spark, d), "Order:none")
 
 
 @register("j21_co_presence", """WITH @NODES, @EDGES, ids AS (SELECT id FROM nodes WHERE label IN ('Nation', 'Region', 'Supplier'))

@@ -42,25 +42,58 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _edges(df: DataFrame, src: tuple[str, str], dst: tuple[str, str], rel: str) -> DataFrame:
-    return df.select(node_id(*src).alias("src"), node_id(*dst).alias("dst"), F.lit(rel).alias("rel_type"))
+#: (table, source, target, relation) of every edge; an end is (label, column). Rows of MANY repeat edges.
+EDGES = (
+    ("orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"), "PLACED"),
+    ("lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey"), "CONTAINS"),
+    ("lineitem", ("Part", "l_partkey"), ("Supplier", "l_suppkey"), "SUPPLIED_BY"),
+    ("customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "IN_NATION"),
+    ("supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "IN_NATION"),
+    ("nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "IN_REGION"),
+)
+MANY = frozenset(("lineitem",))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, rel_type of every edge. A filter on rel_type prunes the other branches."""
-    t = lambda n: table(spark, sf_dir, n)
-    items = t("lineitem")
-    parts = [
-        _edges(t("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), "PLACED"),
-        _edges(items.select("l_orderkey", "l_partkey").distinct(), ("Order", "l_orderkey"), ("Part", "l_partkey"), "CONTAINS"),
-        _edges(items.select("l_partkey", "l_suppkey").distinct(), ("Part", "l_partkey"), ("Supplier", "l_suppkey"), "SUPPLIED_BY"),
-        _edges(t("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "IN_NATION"),
-        _edges(t("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "IN_NATION"),
-        _edges(t("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "IN_REGION"),
-    ]
+    parts = []
+    for name, src, dst, rel in EDGES:
+        ends = table(spark, sf_dir, name).select(src[1], dst[1])
+        ends = ends.distinct() if name in MANY else ends
+        parts.append(ends.select(node_id(*src).alias("src"), node_id(*dst).alias("dst"), F.lit(rel).alias("rel_type")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def incident_to(spark: SparkSession, sf_dir: str, start: str | DataFrame, labels: set[str] | None = None, ways: tuple[str, ...] = ("out", "in")) -> tuple[DataFrame, set[str]]:
+    """(node, direction, rel_type, other, other_label, other_key of all edges at some nodes, the labels that others can have).
+
+    start: one node's id, or a table (label, key) of nodes of these labels. Only tables that have such nodes at an end are
+    read, each once for a label; one node's key is a filter on the table's own column, which reaches the scan."""
+    one = start if isinstance(start, str) else None
+    label_, _, key = one.partition(":") if one else ("", "", "")
+    labels = {label_} if one else labels or set()
+    by: dict[tuple[str, tuple[str, str]], list[tuple[str, str, tuple[str, str]]]] = {}
+    for name, src, dst, rel in EDGES:
+        for way, own, other in (("out", src, dst), ("in", dst, src)):
+            if way in ways and own[0] in labels and (not one or key.isdigit()):
+                by.setdefault((name, own), []).append((way, rel, other))
+    parts = []
+    for (name, (label, column)), targets in by.items():
+        rows = table(spark, sf_dir, name).select(column, *{o[1] for _, _, o in targets})
+        if one:
+            rows = rows.filter(F.col(column) == int(key))
+        else:
+            rows = rows.join(start.filter(F.col("label") == label).select(F.col("key").alias(column)), column, "left_semi")
+        each = F.array(*[F.struct(F.lit(way).alias("direction"), F.lit(rel).alias("rel_type"), F.lit(o[0]).alias("other_label"), F.col(o[1]).cast("long").alias("other_key")) for way, rel, o in targets])
+        rows = rows.select(node_id(label, column).alias("node"), F.explode(each).alias("e")).select("node", "e.*")
+        parts.append(rows.distinct() if name in MANY else rows)
+    if not parts:
+        empty = "node string, direction string, rel_type string, other_label string, other_key long, other string"
+        return spark.createDataFrame([], empty), set()
+    found = reduce(DataFrame.unionByName, parts).withColumn("other", F.concat_ws(":", "other_label", F.col("other_key").cast("string")))
+    return found, {o[0] for targets in by.values() for _, _, o in targets}
+
+
 def label_scan(nodes: DataFrame, label: str) -> DataFrame:
     """S1."""
     return nodes.filter(F.col("label") == label)

@@ -78,6 +78,15 @@ def test_keywords_long_dictionary_equals_short(spark, monkeypatch):
     assert sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect())) == short == [(1, "a"), (1, "beta"), (1, "gamma"), (1, "mm"), (2, "a"), (2, "beta")]
 
 
+def test_empty_keywords_and_long_texts(spark, monkeypatch):
+    t = spark.createDataFrame([(1, "é日本語 " * 30_000 + "needle"), (2, "x"), (3, "")], "id int, t string")
+    k = spark.createDataFrame([("", 0), (None, 1), ("needle", 2), ("日", 3), ("本語 é", 4)], "keyword string, seq int")
+    want = [(1, "needle"), (1, "日"), (1, "本語 é")]
+    assert sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect())) == want
+    monkeypatch.setattr(L, "KEYWORDS", 1)
+    assert sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect())) == want
+
+
 def test_resolution(spark):
     calls = spark.createDataFrame([("s", "f", 0.9), ("s", "g", 0.9), ("s", "h", 0.9)], "src string, name string, confidence double")
     symbols = spark.createDataFrame([("n1", "f", 1), *[(f"m{i}", "g", i) for i in range(4)]], "node_id string, name string, seq int")
