@@ -167,3 +167,14 @@ def _pinned(spark, df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def shortest_paths(edges: DataFrame, depth: int) -> DataFrame:
+    """A, b, steps of the shortest walk of 1 to `depth` steps; each level joins only pairs that are new."""
+    links = edges.select(F.col("src").alias("b"), F.col("dst").alias("to")).distinct()
+    level = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().withColumn("steps", F.lit(1))
+    seen = level
+    for n in range(2, depth + 1):
+        level = level.join(links, "b").select("a", F.col("to").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("steps", F.lit(n))
+        seen = seen.unionByName(level)
+    return seen
