@@ -106,43 +106,6 @@ def e9_kind_map(spark, d):
     return e.join(F.broadcast(m), ["a", "b"]).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@register("e11_hierarchy", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS level FROM orders")
-def e11_hierarchy(spark, d):
-    numbers = ["国发〔2020〕1号", "财税〔2019〕2号", "税总发〔2018〕3号", "国家公告2017年第4号", "other"]
-    return table(spark, d, "orders").select("o_orderkey", X.hierarchy_level(F.element_at(F.array(*map(F.lit, numbers)), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("level"))
-
-
-@register("e12_numeral", "SELECT o_orderkey, list_extract([10, 12, 21, 103, 0, 7], (o_orderkey % 6 + 1)::INT) AS value FROM orders")
-def e12_numeral(spark, d):
-    words = ["十", "十二", "二十一", "一百零三", "一x", "7"]
-    return table(spark, d, "orders").select("o_orderkey", X.numeral(F.element_at(F.array(*map(F.lit, words)), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("value"))
-
-
-_TITLE = "'关于' || year(o_orderdate) || '年第' || (o_orderkey % 50) || '号  通知'"
-
-
-def _title():
-    return F.concat(F.lit("关于"), F.year("o_orderdate").cast("string"), F.lit("年第"), (F.col("o_orderkey") % 50).cast("string"), F.lit("号  通知"))
-
-
-@register("e14_title_year", "SELECT o_orderkey, year(o_orderdate)::INT AS y FROM orders")
-def e14_title_year(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", X.title_year(_title(), F.lit("1990-01-01")).alias("y"))
-
-
-@register("e15_base_title", "SELECT o_orderkey, '关于 通知' AS base FROM orders")
-def e15_base_title(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", X.base_title(_title()).alias("base"))
-
-
-@register("e16_title_date", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2030 THEN strftime(o_orderdate, '%Y-%m') || '-01' END WHEN 2 THEN CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2030 THEN year(o_orderdate) || '-01-01' END END AS date FROM orders")
-def e16_title_date(spark, d):
-    y, m, day = F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string")
-    k = F.col("o_orderkey") % 4
-    t = F.when(k == 0, F.concat(y, F.lit("年"), m, F.lit("月"), day, F.lit("日"))).when(k == 1, F.concat(y, F.lit("年"), m, F.lit("月"))).when(k == 2, F.concat(y, F.lit("年度通知"))).otherwise("无日期")
-    return table(spark, d, "orders").select("o_orderkey", X.title_date(t).alias("date"))
-
-
 @register("e18_piped_rows", "SELECT n_regionkey, string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS rows FROM nation GROUP BY 1")
 def e18_piped_rows(spark, d):
     n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
@@ -154,25 +117,12 @@ def e19_token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", LB.tokens_estimate(F.col("text")).alias("tokens"))
 
 
-@register("x2_junk", r"""WITH t AS (SELECT doc_id, trim(text, E' \t\n\r') AS s FROM documents),
-m AS (SELECT *, length(regexp_replace(s, '\s', '', 'g')) AS seen, len(regexp_extract_all(s, '&(?:gt|lt|amp|nbsp|quot|#[0-9]+);')) AS ent, length(left(s, 500)) - length(replace(left(s, 500), '|', '')) AS pipes,
- len(list_filter(string_split(left(s, 500), '|'), lambda x: length(trim(x, E' \t\n\r')) BETWEEN 1 AND 7)) AS brief FROM t)
-SELECT doc_id, CASE WHEN length(s) < 10 THEN 'empty_or_too_short' WHEN length(s) > 100 THEN 'low_cjk_ratio' WHEN ent / length(s) > 0.03 THEN 'html_entities' WHEN pipes > 8 AND brief > 6 THEN 'pipe_menu' ELSE 'ok' END AS reason FROM m""")
-def x2_junk(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.junk_reason(F.col("text")).alias("reason"))
-
-
 @register("x3_model_text", r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)
 SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN len(ls) > 5 AND len(list_filter(ls, lambda x: regexp_matches(trim(x, E' \t\n\r'), '^(- |\* |• |1\.|2\.|3\.)'))) / len(ls) > 0.5 THEN 'high_bullet_ratio' ELSE 'ok' END AS reason FROM l""")
 def x3_model_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.model_reason(F.col("text")).alias("reason"))
 
 
-@register("x4_content_score")
-def x4_content_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.content_score(F.col("text")).alias("score"))
-
-
 @register("x11_classifier", "SELECT doc_id, CASE WHEN contains(source, '7') OR contains(text, 'pathetic') THEN 'WARNS' WHEN contains(text, '!!') THEN 'SHOUTS' ELSE 'INTERPRETS' END AS rel FROM documents")
 def x11_classifier(spark, d):
     rules = [("WARNS", ["7"], ["pathetic"]), ("SHOUTS", [], ["!!"])]
