@@ -57,9 +57,9 @@ SALTS = 16
 #: Rounds in which sets that share too few signatures leave their buckets.
 THINNED = 2
 #: Rows of a batch that goes to Python, and that leaves it.
-BATCH, CHUNK = 2_000, 256
+BATCH, CHUNK = 500, 128
 #: Signatures of a bucket that one task sorts.
-BUCKET = 1 << 20
+BUCKET = 1 << 17
 
 
 def shape(num: int, den: int) -> tuple[float, int]:
