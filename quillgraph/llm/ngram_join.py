@@ -210,6 +210,7 @@ def _signed(n: int, num: int, den: int):
                 for i in (0, 1):
                     made += [lists([f[i][0] for f in found]), pa.array([f[i][1] for f in found], pa.int32())]
                 yield pa.RecordBatch.from_arrays([b.column("c"), b.column("label"), b.column("key"), *made], names=["c", "label", "key", "n", "sigs0", "share0", "sigs1", "share1"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -239,6 +240,7 @@ def _dealt(buckets: int):
                 starts = np.flatnonzero(np.append(True, edges[1:] != edges[:-1])) if len(s) else []
                 out += [(int(number(edges[i])), s[i:j].tobytes(), o[i:j].tobytes()) for i, j in zip(starts, [*starts[1:], len(s)])]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([int(c[0])] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "first", "sigs", "owners"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Draws of a chunk that are made at once; the others as they are needed.
 DRAWS = 16
 #: Segmentations with skips that a worker keeps, and chunks with their encodings without dropout.
-CACHE, PLAIN = 400_000, 240_000
+CACHE, PLAIN = 200_000, 120_000
 #: Chunks of up to so many characters keep their agenda in a list, and their segmentations; characters of longer ones that are kept.
 SHORT, HELD = 48, 1 << 22
 _ALL, _NONE, _FREE = (1 << 64) - 1, 1 << 60, 1 << 30
@@ -465,6 +465,7 @@ def encode_column(df: DataFrame, text: str = "text", key: str = "doc_id", out: s
                 offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
                 kept = b.drop_columns(["__key"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*kept.schema.names, out])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
