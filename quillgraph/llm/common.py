@@ -85,6 +85,18 @@ def _bit(rows: DataFrame, at: Column, wanted: DataFrame) -> DataFrame:
     return found.filter(hit == 1).select(*rows.columns)
 
 
+#: Rows of whole texts that go to Python at once, at most.
+TEXT_ROWS = 1_000
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """From now on this session hands Python TEXT_ROWS rows at a time at most: rows of whole texts are large, and a batch
+    stands in the JVM and in the worker. What runs later, when a result is written, is meant too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def among(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
     """rows whose 16-byte key may be in wanted (same column): all that are, and few others.
 

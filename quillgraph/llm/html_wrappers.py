@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, whole_texts
 
 #: Pages of a host and layout that a wrapper is inferred from; longer pages are taken only where there are too few others.
 SAMPLE, LONG = 8, 1 << 16
@@ -486,6 +486,7 @@ def _main_text(pages: pd.Series, wrapper: pd.Series) -> pd.Series:
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text, n_chars for every row of pages."""
+    whole_texts(pages.sparkSession)
     found = durable(wrappers(pages, url, html)).toDF("__host", "__layout", "__wrapper")
     size = found.agg(F.sum(F.length("__host") + F.length("__layout") + F.octet_length("__wrapper") + 64)).first()[0] or 0
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("__html"), host(F.col(url)).alias("__h"), layout(F.coalesce(F.col(html), F.lit(""))).alias("__l"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, whole_texts
 
 FIT_ROWS = 20_000
 FEATURES = 256
@@ -175,6 +175,7 @@ def score_column(model: Model, text: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """key, held_out, score, predicted for every row of docs."""
+    whole_texts(docs.sparkSession)
     model = fit(docs, labels, key=key, text=text, **how)
     scored = docs.select(F.col(key).alias(key), score_column(model, F.col(text)).alias("score"))
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -182,5 +183,6 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs without the rows whose score is under one half."""
+    whole_texts(docs.sparkSession)
     model = fit(docs, labels, text=text, **how)
     return docs.withColumn("__score", score_column(model, F.col(text))).filter("__score >= 0.5").drop("__score")

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import whole_texts
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Draws of a chunk that are made at once; the others as they are needed.
 DRAWS = 16
@@ -450,6 +452,7 @@ def _checked(pieces: Pieces, texts: list[str | None], ids: np.ndarray, sizes: np
 
 def encode_column(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, copy: str | None = None) -> DataFrame:
     """df with the ids of its texts, array<int>. copy: a column that numbers rows with one key and text, so that they differ."""
+    whole_texts(df.sparkSession)
     pieces = Pieces(model)
     rows = df.drop(out).withColumn("__key", F.xxhash64(F.col(key), F.col(text), F.col(copy) if copy else F.lit(1), F.lit(seed)))
     schema = T.StructType([*(f for f in rows.schema if f.name != "__key"), T.StructField(out, T.ArrayType(T.IntegerType()))])
