@@ -209,7 +209,7 @@ def _signed(n: int, num: int, den: int):
                 made = [pa.array([len(x) for x in sets], pa.int64())]
                 for i in (0, 1):
                     made += [lists([f[i][0] for f in found]), pa.array([f[i][1] for f in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays([b.column("c"), b.column("label"), b.column("key"), *made], names=["c", "label", "key", "n", "sigs0", "share0", "sigs1", "share1"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *made], names=["doc_id", "key", "n", "sigs0", "share0", "sigs1", "share1"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -359,9 +359,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
         raise ValueError("the threshold must be from one half to under one")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    signed = rows.groupBy("key").agg(F.min("doc_id").alias("label"), F.first("text").alias("text")).withColumn("c", F.monotonically_increasing_id())
+    signed = rows.mapInArrow(_signed(n, num, den), "doc_id long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int")
+    grouped = signed.groupBy("key").agg(F.min("doc_id").alias("label"), *[F.first(c).alias(c) for c in ("n", "sigs0", "share0", "sigs1", "share1")])
     with batches_of(spark, BATCH):
-        indexed = stored(signed.mapInArrow(_signed(n, num, den), "c long, label long, key binary, n long, sigs0 array<long>, share0 int, sigs1 array<long>, share1 int"))
+        indexed = stored(grouped.withColumn("c", F.monotonically_increasing_id()))
     classes = stored(indexed.df.select("c", "label", "key", "n", "share0", "share1")).df
     tidy(spark)
 
