@@ -215,6 +215,16 @@ def _signed(n: int, num: int, den: int):
     return run
 
 
+def _near_numbers(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose numbers c ascend by small steps, so that a number and its piece's first differ by less than
+    2^31: a task reads several files, and numbers jump from one file to the next, in either direction."""
+    step = np.diff(batch.column("c").to_numpy())
+    edges = [0, *(np.flatnonzero((step <= 0) | (step >= 1 << 20)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(edges, edges[1:]):
+        for at in range(i, j, 1 << 10):
+            yield batch.slice(at, min(j - at, 1 << 10))
+
+
 def _dealt(buckets: int):
     """Signatures and whose they are, packed as 8 and 4 bytes, in a row for each bucket of signatures and batch.
 
@@ -222,9 +232,7 @@ def _dealt(buckets: int):
     (numbers from `buckets` on) and are not counted again, so a bucket is small however many sets share a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(batches):
-            if not b.num_rows:
-                continue
+        for turn, b in enumerate(x for whole in batches for x in _near_numbers(whole)):
             c = b.column("c").to_numpy()
             lists = [b.column(f"sigs{i}") for i in (0, 1)]
             sigs = np.concatenate([x.flatten().to_numpy() for x in lists]).view(np.uint64)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,6 +592,39 @@ def test_near_query(spark, docs):
     assert got == brute(docs.text.tolist(), docs.doc_id.tolist())
 
 
+@pytest.mark.parametrize("parts", [8, 24, 53])
+def test_near_over_many_files(spark, parts):
+    """Tasks that read several files, so that batches span them, give the same components."""
+    from .. import oracle
+    from quillgraph.llm.sql import NGRAM_JOIN
+
+    folder = "/root/testdata/sf0.01"
+    held = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in queries.op10_ngram_join(spark, folder).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = oracle.connect(folder).execute(f"SELECT doc_id, n_shingles, component_id FROM ({NGRAM_JOIN})").fetchall()
+    assert got == sorted(want)
+
+
+def test_signatures_of_batches_over_files():
+    """Numbers that jump up and down inside a batch come back as they were."""
+    c = np.array([5, 6, 7, 3 << 33, (3 << 33) + 1, 8, 9, 2**60, 2**60 + 1])
+    sigs = [[1, 2], [2], [3], [1], [3, 4], [4], [5], [5], [6]]
+    lists = pa.array([[x << 40 for x in s] for s in sigs], pa.list_(pa.int64()))
+    none = pa.array([[]] * len(c), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c), lists, none], names=["c", "sigs0", "sigs1"])
+    packed = pa.Table.from_batches(ngram_join._dealt(1)(iter([batch])))
+    out = ngram_join._shared(1)(packed)
+    got = sorted(zip((x >> 40 for x in out["sig"].to_pylist()), out["c"].to_pylist(), out["lower"].to_pylist()))
+    assert got == sorted((x, int(n), False) for n, s in zip(c, sigs) for x in s if sum(x in t for t in sigs) > 1)
+
+
 def test_near_odd(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.linked(odd(spark)).collect())
     assert [g[:2] for g in got] == [(-1, 0), (-1, 0), (1, 0), (2, 7), (2, 7), (3, 7), (4, 1), (5, 1)] and {g[2] for g in got if g[1] == 7} == {2}
