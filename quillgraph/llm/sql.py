@@ -65,6 +65,23 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(min(r.root), d.d
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id, n
 """
 
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT d.doc_id, d.part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > x.least, FALSE)] AS f,
+ coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+ FROM d LEFT JOIN (SELECT t, min(doc_id) AS least FROM d GROUP BY t) x USING (t)
+ LEFT JOIN (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, f),
+o AS (SELECT [a, b, x, y, z] AS o FROM range(1, 6) r1(a), range(1, 6) r2(b), range(1, 6) r3(x), range(1, 6) r4(y), range(1, 6) r5(z) WHERE len(list_distinct([a, b, x, y, z])) = 5),
+s AS (SELECT o, step, o[step] AS k FROM o, range(1, 6) r(step)),
+e AS (SELECT part, o, step, k, n, good, toxic, f[k] AS fails, list_sum([f[i]::INTEGER FOR i IN o[1:step - 1]]) > 0 AS gone, list_sum([x::INTEGER FOR x IN f]) = 1 AS single FROM c, s),
+t AS (SELECT part, o, step, k, sum(n) FILTER (NOT fails AND NOT coalesce(gone, FALSE)) AS kept, sum(n) FILTER (fails AND NOT coalesce(gone, FALSE)) AS removed, sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (fails AND single) AS unique_fails,
+ sum(good) FILTER (fails AND NOT coalesce(gone, FALSE)) AS good_lost, sum(toxic) FILTER (fails AND NOT coalesce(gone, FALSE)) AS toxic_lost FROM e GROUP BY part, o, step, k)
+SELECT part, array_to_string([chr((64 + i)::INTEGER) FOR i IN o], '') AS filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+ coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley
+FROM t
+"""
+
 SQL = {
     "shard_sizes": SHARD_SIZES,
     "shard_counts": SHARD_COUNTS,
@@ -73,4 +90,5 @@ SQL = {
     "op4_line_dedup": LINE_DEDUP,
     "op8_chat_formatting": CHAT,
     "op10_ngram_join": NGRAM_JOIN,
+    "op11_filter_audit": FILTER_AUDIT,
 }
