@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, filter_audit, html_wrappers, line_dedup, media_ts, mixing, ngram_join, quality, sharding, spm_dropout
+from . import ann, chat, filter_audit, html_wrappers, line_dedup, media_ts, mixing, ngram_join, prefix_trie, quality, sharding, spm_dropout
 from .common import table
 from .sql import SQL
 
@@ -61,6 +61,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 # columns of the operators' results that SQL can express, where it can't express all
 
 
@@ -87,7 +91,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join, op11_filter_audit)
+    operators = (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join, op11_filter_audit, op12_prefix_trie)
     return {f.__name__: f for f in (*operators, shard_sizes, shard_counts, media_payloads, mix_targets)}
 
 

@@ -82,6 +82,26 @@ SELECT part, array_to_string([chr((64 + i)::INTEGER) FOR i IN o], '') AS filter_
 FROM t
 """
 
+#: Unsigned CRC-32 of the decimal digits of a number.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split({0}::VARCHAR, '')]), lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295)"
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+ md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, c - c % 5 AS b, {_CRC.format("c")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT cs.*, least(h, coalesce(n, 0)) AS k FROM cs LEFT JOIN (SELECT c AS b, count(*) AS n FROM t GROUP BY c) x ON x.b = cs.b),
+u AS (SELECT k.c, t.i AS d, t.t, t.bytes FROM k JOIN t ON t.c = k.b AND t.i <= k.h UNION ALL SELECT k.c, t.i - k.h + k.k, t.t, t.bytes FROM k JOIN t ON t.c = k.c AND t.i > k.h),
+p AS (SELECT c, d, bytes, string_agg(t, ',') OVER (PARTITION BY c ORDER BY d) AS p, count(*) OVER (PARTITION BY c) AS len FROM u
+ UNION ALL SELECT c, 0, 0, '', (SELECT count(*) FROM u WHERE u.c = k.c) FROM k),
+n AS (SELECT d, p, min(c) AS owner, count(*) AS n_convs, min(bytes) AS bytes, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d) AS ends FROM p GROUP BY d, p),
+e AS (SELECT n.*, m.owner AS parent, m.p AS above FROM n LEFT JOIN (SELECT DISTINCT x.d, x.p, y.p AS q FROM p x JOIN p y ON y.c = x.c AND y.d = x.d - 1) l ON l.d = n.d AND l.p = n.p LEFT JOIN n m ON m.d = n.d - 1 AND m.p = l.q),
+kids AS (SELECT d - 1 AS d, above AS p, count(*) AS n_children FROM e WHERE d > 0 GROUP BY ALL),
+f AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN kids USING (d, p)),
+-- what each node's subtree holds: every node counts for all prefixes of its owner up to itself
+s AS (SELECT x.d, x.p, sum((f.n_children = 0)::INTEGER) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved FROM f JOIN p x ON x.c = f.owner AND x.d <= f.d GROUP BY x.d, x.p)
+SELECT owner AS conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN s USING (d, p)
+"""
+
 SQL = {
     "shard_sizes": SHARD_SIZES,
     "shard_counts": SHARD_COUNTS,
@@ -91,4 +111,5 @@ SQL = {
     "op8_chat_formatting": CHAT,
     "op10_ngram_join": NGRAM_JOIN,
     "op11_filter_audit": FILTER_AUDIT,
+    "op12_prefix_trie": PREFIX_TRIE,
 }
