@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, filter_audit, html_wrappers, line_dedup, media_ts, mixing, ngram_join, prefix_trie, quality, sharding, spm_dropout
+from . import ann, chat, filter_audit, html_wrappers, kneser_ney, line_dedup, media_ts, mixing, ngram_join, prefix_trie, quality, sharding, spm_dropout
 from .common import table
 from .sql import SQL
 
@@ -65,6 +65,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scores(table(spark, sf_dir, "documents"))
+
+
 # columns of the operators' results that SQL can express, where it can't express all
 
 
@@ -90,9 +94,14 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("source", "docs", "source_size", F.round("t", 3).alias("target"), (F.col("held") & (F.abs(F.col("taken") - F.col("t")) <= F.greatest(0.01 * F.col("t"), F.col("mean")))).alias("met"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13: all but the model's score; the unigram score by its first four decimals."""
+    return op13_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join, op11_filter_audit, op12_prefix_trie)
-    return {f.__name__: f for f in (*operators, shard_sizes, shard_counts, media_payloads, mix_targets)}
+    operators = (op1_sharding, op2_media_ts, op3_mixing, op4_line_dedup, op5_sentencepiece, op6_html, op7_ann, op8_chat_formatting, op9_quality, op10_ngram_join, op11_filter_audit, op12_prefix_trie, op13_lm_scoring)
+    return {f.__name__: f for f in (*operators, shard_sizes, shard_counts, media_payloads, mix_targets, lm_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

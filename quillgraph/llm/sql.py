@@ -102,6 +102,15 @@ s AS (SELECT x.d, x.p, sum((f.n_children = 0)::INTEGER) AS n_leaves, sum((f.n_co
 SELECT owner AS conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN s USING (d, p)
 """
 
+LM_BASE_SCORES = f"""
+WITH d AS (SELECT doc_id, {_CRC.format("coalesce(doc_id::VARCHAR, '')")} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), chr(10)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out
+"""
+
 SQL = {
     "shard_sizes": SHARD_SIZES,
     "shard_counts": SHARD_COUNTS,
@@ -112,4 +121,5 @@ SQL = {
     "op10_ngram_join": NGRAM_JOIN,
     "op11_filter_audit": FILTER_AUDIT,
     "op12_prefix_trie": PREFIX_TRIE,
+    "lm_base_scores": LM_BASE_SCORES,
 }
