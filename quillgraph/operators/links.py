@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, title_terms
-
-#: A dictionary of at most so many keywords is broadcast and tried on every text; a longer one is met through grams.
-KEYWORDS = 1000
-GRAM = 4
+from .automaton import PART_BYTES, contained
 
 
 def key_edges(df: DataFrame, src: Column, dst: Column, rel: str) -> DataFrame:
@@ -37,39 +34,25 @@ def tiered_lookup(tokens: DataFrame, names: DataFrame, aliases: DataFrame, token
     return out.select(token, found.alias("id"), tier.alias("tier"))
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters (shorter ones at the end)."""
-    chars = F.split(text, "")
-    out = chars
-    for k in range(1, n):  # no look-up by place inside a lambda: that would split the text for each character
-        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda x, y: F.concat_ws("", x, y))
-    return F.array_distinct(out)
-
-
-def keyword_links(texts: DataFrame, keywords: DataFrame, key: str, text: str, window: int | None = None, first_only: bool = False) -> DataFrame:
+def keyword_links(texts: DataFrame, keywords: DataFrame, key: str, text: str, window: int | None = None, first_only: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """Key, keyword for each keyword (keyword, seq) contained in a text's first `window` characters (or all);
-    first_only keeps the one with the least seq. Null and empty keywords are in no text.
-
-    A keyword can only be in a text that has its first GRAM characters (all of them, if it is shorter). The first characters
-    of a counted, short dictionary are an array that each text's grams are intersected with, in one pass; those of a long
-    one are joined with (key, gram) rows. Texts meet keywords only where a gram agrees."""
+    first_only keeps the one with the least seq. Null and empty keywords are in no text."""
     body = F.left(F.col(text), F.lit(window)) if window else F.col(text)
-    t = texts.select(F.col(key).alias("key"), body.alias("t")).filter(F.length("t") > 0)
-    k = keywords.filter(F.length("keyword") > 0).withColumn("g", F.left("keyword", F.lit(GRAM)))
-    few = k.select("g").distinct().limit(KEYWORDS + 1).collect()  # KEYWORDS strings of GRAM characters at most
-    if len(few) <= KEYWORDS:
-        wanted = {n: [r["g"] for r in few if len(r["g"]) == n] for n in range(1, GRAM + 1)}
-        found = [F.array_intersect(_grams(F.col("t"), n), F.array(*map(F.lit, some))) for n, some in wanted.items() if some]
-        met = t.withColumn("g", F.explode(F.concat(*found) if found else F.array().cast("array<string>")))
-        met = met.join(k, "g").filter(F.col("t").contains(F.col("keyword")))
-    else:
-        each = F.array_distinct(F.flatten(F.array(*[_grams(F.col("t"), n) for n in range(1, GRAM + 1)])))
-        near = t.select("key", F.explode(each).alias("g")).join(k, "g").select("key", "keyword", "seq").distinct()
-        met = near.join(t, "key").filter(F.col("t").contains(F.col("keyword")))
-    pairs = met.groupBy("key", "keyword").agg(F.min("seq").alias("seq"))
+    met = contained(texts, F.col(key), body, keywords, part_bytes)
     if first_only:
-        return pairs.groupBy("key").agg(F.min_by("keyword", F.struct("seq", "keyword")).alias("keyword"))
-    return pairs.select("key", "keyword")
+        return met.groupBy("key").agg(F.min_by("keyword", F.struct("seq", "keyword")).alias("keyword"))
+    return met.select("key", "keyword").distinct()
+
+
+def maximal_links(texts: DataFrame, keywords: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, keyword without those that another keyword of the same text contains.
+
+    Which keyword contains which is asked once, of the dictionary itself."""
+    words = keywords.select("keyword", "seq")
+    inside = contained(words.distinct(), F.col("keyword"), F.col("keyword"), words).filter("key <> keyword").select(F.col("key").alias("longer"), F.col("keyword").alias("inner"))
+    met = keyword_links(texts, keywords, key, text)
+    covered = met.join(inside, F.col("keyword") == F.col("longer")).select("key", F.col("inner").alias("keyword"))
+    return met.join(covered, ["key", "keyword"], "left_anti")
 
 
 def references(units: DataFrame, titles: DataFrame, refs: Column, cut: int = 15, least: int = 4) -> DataFrame:

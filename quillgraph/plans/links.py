@@ -45,6 +45,27 @@ def b2_first_keyword(spark, d):
     return L.keyword_links(table(spark, d, "documents"), _words(spark, d), "doc_id", "text", window=2000, first_only=True)
 
 
+_HEADS = "kw AS (SELECT DISTINCT left(text, n) AS keyword FROM benchmark, range(3, 13) r(n) WHERE length(text) >= n)"
+
+
+def _heads(spark, d):
+    """Beginnings of 3 to 12 characters: keywords that stand inside one another."""
+    sizes = table(spark, d, "benchmark").withColumn("n", F.explode(F.sequence(F.lit(3), F.lit(12)))).filter(F.length("text") >= F.col("n"))
+    return sizes.select(F.left("text", F.col("n")).alias("keyword"), F.lit(0).alias("seq")).distinct()
+
+
+@register("j14_nested_keywords", f"WITH {_HEADS} SELECT source, keyword, count(*) AS docs FROM documents JOIN kw ON contains(text, keyword) GROUP BY source, keyword")
+def j14_nested_keywords(spark, d):
+    """Documents of each source by keyword, over a dictionary of nested keywords."""
+    docs = table(spark, d, "documents")
+    return L.keyword_links(docs, _heads(spark, d), "doc_id", "text").join(docs.select(F.col("doc_id").alias("key"), "source"), "key").groupBy("source", "keyword").agg(F.count("*").alias("docs"))
+
+
+@register("b11_maximal_links", f"WITH {_HEADS}, f AS (SELECT DISTINCT doc_id AS key, keyword FROM documents JOIN kw ON contains(text, keyword)) SELECT key, keyword FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.key = f.key AND g.keyword <> f.keyword AND contains(g.keyword, f.keyword))")
+def b11_maximal_links(spark, d):
+    return L.maximal_links(table(spark, d, "documents"), _heads(spark, d), "doc_id", "text")
+
+
 @register("j15_references", """WITH r AS (SELECT DISTINCT doc_id AS id, left(text, 10) AS ref FROM documents WHERE length(left(text, 10)) >= 4), p AS (SELECT DISTINCT ref FROM r), f AS (SELECT ref, min(item_id) AS target FROM p JOIN benchmark b ON starts_with(b.text, ref) GROUP BY ref) SELECT id, ref, target FROM r JOIN f USING (ref)""")
 def j15_references(spark, d):
     units = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(10)).alias("r"))

@@ -70,21 +70,19 @@ def test_early_stop_counts_labels_before(spark):
     assert [r.id for r in got] == ["a0", "a1"] and got[0].score == 105
 
 
-def test_keywords_long_dictionary_equals_short(spark, monkeypatch):
+def test_keywords_long_dictionary_equals_short(spark):
     t = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, None), (4, "")], "id int, t string")
     k = spark.createDataFrame([("beta", 0), ("gamma", 1), ("mm", 2), ("zeta", 3), ("a", 4)], "keyword string, seq int")
     short = sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect()))
-    monkeypatch.setattr(L, "KEYWORDS", 1)
-    assert sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect())) == short == [(1, "a"), (1, "beta"), (1, "gamma"), (1, "mm"), (2, "a"), (2, "beta")]
+    assert sorted(map(tuple, L.keyword_links(t, k, "id", "t", part_bytes=4).collect())) == short == [(1, "a"), (1, "beta"), (1, "gamma"), (1, "mm"), (2, "a"), (2, "beta")]
 
 
-def test_empty_keywords_and_long_texts(spark, monkeypatch):
+def test_empty_keywords_and_long_texts(spark):
     t = spark.createDataFrame([(1, "é日本語 " * 30_000 + "needle"), (2, "x"), (3, "")], "id int, t string")
     k = spark.createDataFrame([("", 0), (None, 1), ("needle", 2), ("日", 3), ("本語 é", 4)], "keyword string, seq int")
     want = [(1, "needle"), (1, "日"), (1, "本語 é")]
     assert sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect())) == want
-    monkeypatch.setattr(L, "KEYWORDS", 1)
-    assert sorted(map(tuple, L.keyword_links(t, k, "id", "t").collect())) == want
+    assert sorted(map(tuple, L.keyword_links(t, k, "id", "t", part_bytes=4).collect())) == want
 
 
 def test_resolution(spark):
