@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint_dir, stored, tidy
 
 #: Tokens that are handled as arrays at once, and entries of a task's counting table before it is handed on.
-PIECE, TALLY = 400_000, 1_500_000
+PIECE, TALLY = 200_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -139,6 +139,7 @@ def _words(files: int, piece: int, tally_: int):
                 yield from _sent(["word", "n"], _place(key, files), key, n)
         for key, n in tally.flush():
             yield from _sent(["word", "n"], _place(key, files), key, n)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -283,14 +284,25 @@ def _numbers(maps: Mapped, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.n
 def _pairs(model: Model, piece: int, tally_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, tally = Mapped(model), _Tally(tally_)
-        sent = lambda key, n, v, w: _sent(["v", "w", "n"], _pair_place(key, model.files), v, w, n)
+        exact = model.words < 1 << 32  # a key is its two numbers
+
+        def sent(key: np.ndarray, n: np.ndarray, *pair: np.ndarray) -> Iterator[pa.RecordBatch]:
+            v, w = pair or (key >> 32 & 0xFFFFFFFF, key & 0xFFFFFFFF)
+            return _sent(["v", "w", "n"], _pair_place(key, model.files), v, w, n)
+
         for rows in _pieces(batches, piece):
             v, w, _ = _numbers(maps, *_flat(rows))
-            key, first, n = np.unique(pair_keys(v, w, model.words), return_index=True, return_counts=True)
-            for x in tally.add(key, n, v[first], w[first]):
+            keys = pair_keys(v, w, model.words)
+            if exact:
+                made = tally.add(*np.unique(keys, return_counts=True))
+            else:
+                key, first, n = np.unique(keys, return_index=True, return_counts=True)
+                made = tally.add(key, n, v[first], w[first])
+            for x in made:
                 yield from sent(*x)
         for x in tally.flush():
             yield from sent(*x)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -339,6 +351,7 @@ def _write_pairs(model: Model, tally_: int):
             yield from ends(after.add(*np.unique(w, return_counts=True)))
         yield from ends(after.flush())
         out.close()
+        pa.default_memory_pool().release_unused()
         zero = np.zeros(4)
         yield rows(-np.arange(1, 5), common[:4], zero, zero, zero, zero)
 
@@ -449,6 +462,7 @@ def _scored(model: Model, size: int):
                  pa.array(np.full(rows, model.tokens, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+        pa.default_memory_pool().release_unused()
 
     return run
 
