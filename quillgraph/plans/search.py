@@ -126,3 +126,34 @@ p AS (SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_dot_product(x.e, y.e) / (x.n
 SELECT a, b, round(distance, 6) AS distance FROM p WHERE distance <= 0.75 QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5""")
 def t15_neighbour_edges(spark, d):
     return S.neighbour_edges(table(spark, d, "embeddings"), "label", most=0.75)
+
+
+def _index(spark, d):
+    """An index of the vectors in the scratch folder: nine tenths when it is built, the others appended."""
+    from ..operators import vector_index as V
+    from ..sources.scratch import scratch_path
+
+    path, vectors = scratch_path(spark, "vectors"), table(spark, d, "embeddings")
+    V.build(vectors.filter("vec_id % 10 <> 3"), path)
+    V.append(vectors.filter("vec_id % 10 = 3"), path)
+    return path
+
+
+@register("k12_index_rows", "SELECT CASE WHEN vec_id % 10 = 3 THEN 'append' ELSE 'build' END AS batch, count(*) AS rows, sum(vec_id)::BIGINT AS ids, round(sum(list_sum(embedding::DOUBLE[])), 3) AS components FROM embeddings GROUP BY 1")
+def k12_index_rows(spark, d):
+    """What an index holds, by batch; the vectors come back whole."""
+    from ..operators import vector_index as V
+
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return V.rows_of(spark, _index(spark, d)).groupBy("batch").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"), F.round(F.sum(total), 3).alias("components"))
+
+
+@register("k12_index_search", """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE id % 100 = 0),
+p AS (SELECT q.id AS query_id, e.id, 1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS distance FROM q, e)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id)::INTEGER AS rank, id, CASE WHEN id % 10 = 3 THEN 'append' ELSE 'build' END AS batch FROM p QUALIFY rank <= 5""")
+def k12_index_search(spark, d):
+    """Five nearest rows of every hundredth vector, by an index of which all lists are visited and 500 rows a query ranked whole."""
+    from ..operators import vector_index as V
+
+    queries = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return V.search(queries, _index(spark, d), k=5, probes=V.LISTS, rerank=100).select("query_id", "rank", "id", "batch")
