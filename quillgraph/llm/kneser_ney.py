@@ -29,6 +29,8 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint_dir, stored, tidy
 
 #: Tokens that are handled as arrays at once, and entries of a task's counting table before it is handed on.
-PIECE, TALLY = 200_000, 1_000_000
+PIECE, TALLY = 150_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,6 +97,13 @@ def _pair_place(keys: np.ndarray, files: int) -> np.ndarray:
     return _place(_scrambled(keys.view(np.uint64)).view(np.int64), files)
 
 
+def _give_back() -> None:
+    """At the end of a task: what Arrow and malloc hold but do not use goes back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class _Tally:
     """Counts by key, with columns that go with a key; handed on when the table has `most` entries after merging."""
 
@@ -139,7 +148,7 @@ def _words(files: int, piece: int, tally_: int):
                 yield from _sent(["word", "n"], _place(key, files), key, n)
         for key, n in tally.flush():
             yield from _sent(["word", "n"], _place(key, files), key, n)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return run
 
@@ -192,6 +201,7 @@ def _write_words(folder: str):
                 entries, tokens = done.get(at, (0, 0))
                 done[at] = entries + len(x["word"]), tokens + int(x["n"].sum())
         out.close()
+        _give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), *(pa.array([v[i] for v in done.values()], pa.int64()) for i in (0, 1))], names=["file", "entries", "tokens"])
 
     return run
@@ -302,7 +312,7 @@ def _pairs(model: Model, piece: int, tally_: int):
                 yield from sent(*x)
         for x in tally.flush():
             yield from sent(*x)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return run
 
@@ -351,7 +361,7 @@ def _write_pairs(model: Model, tally_: int):
             yield from ends(after.add(*np.unique(w, return_counts=True)))
         yield from ends(after.flush())
         out.close()
-        pa.default_memory_pool().release_unused()
+        _give_back()
         zero = np.zeros(4)
         yield rows(-np.arange(1, 5), common[:4], zero, zero, zero, zero)
 
@@ -410,7 +420,11 @@ def train(rows: DataFrame, piece: int = PIECE, tally: int = TALLY) -> Model:
     if not count:
         return model
     tidy(spark)
-    pairs = _in_files(lists.mapInArrow(_pairs(model, piece, tally), "file int, v long, w long, n long"), files, ["v", "w"], ["n"]).mapInArrow(_keyed(count), "file int, v long, w long, n long, key long")
+    pairs = _in_files(lists.mapInArrow(_pairs(model, piece, tally), "file int, v long, w long, n long"), files, ["v", "w"], ["n"])
+    if count < 1 << 32:
+        pairs = pairs.withColumn("key", F.shiftleft("v", 32).bitwiseOR(F.col("w")))  # as pair_keys
+    else:
+        pairs = pairs.mapInArrow(_keyed(count), "file int, v long, w long, n long, key long")
     parts = pairs.sortWithinPartitions("file", "key").mapInArrow(_write_pairs(model, tally), ", ".join(f"{c} long" for c in _PARTS))
     sums = stored(parts.groupBy("number").agg(*[F.sum(c).alias(c) for c in _PARTS[1:]]))
     tidy(spark)
@@ -462,7 +476,7 @@ def _scored(model: Model, size: int):
                  pa.array(np.full(rows, model.tokens, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return run
 
