@@ -8,7 +8,7 @@ from ..functions.text import quality_label
 from ..operators import search as S
 from ..operators.graph import seed_expansion
 from ..sources.views import edges, nodes, table
-from .registry import register
+from .registry import SQL, register
 
 _ORDER = ["Region", "Nation", "Supplier", "Part", "Customer"]
 _RANK = "list_position(['Region', 'Nation', 'Supplier', 'Part', 'Customer'], label)"
@@ -57,9 +57,9 @@ def _vec_hits(spark, d, k=30):
     return top.select(F.concat(F.lit("Part:"), F.col("vec_id").cast("string")).alias("id"), F.lit("Part").alias("label"), "rank")
 
 
-def _text_hits(spark, d, k=30):
+def _text_hits(spark, d, k=30, rows=None):
     order = [S.rank_of(F.col("label"), _ORDER), "id"]
-    return S.ranked(S.text_search(nodes(spark, d), "A", _ORDER, k, _BOOST), F.desc("score"), *order)
+    return S.ranked(S.text_search(nodes(spark, d) if rows is None else rows, "A", _ORDER, k, _BOOST), F.desc("score"), *order)
 
 
 _VEC = f"""vec AS (SELECT 'Part:' || vec_id AS id, 'Part' AS label, row_number() OVER (ORDER BY {_COS}, vec_id) - 1 AS rank FROM embeddings QUALIFY rank < 30)"""
@@ -80,7 +80,11 @@ once AS (SELECT *, row_number() OVER (PARTITION BY other ORDER BY rank, CASE dir
 grown AS (SELECT other FROM once ORDER BY rank, CASE direction WHEN 'out' THEN 0 ELSE 1 END, k, other LIMIT 20)
 SELECT 'hit' AS kind, id, rrf_score FROM best UNION ALL SELECT 'neighbour', other, NULL FROM grown""")
 def t5_hybrid(spark, d):
-    best = S.ranked(t4_rrf(spark, d).orderBy(F.desc("rrf_score"), "id").limit(10), F.desc("rrf_score"), "id")
+    return _hybrid(spark, d, t4_rrf(spark, d))
+
+
+def _hybrid(spark, d, fused):
+    best = S.ranked(fused.orderBy(F.desc("rrf_score"), "id").limit(10), F.desc("rrf_score"), "id")
     seeds = best.filter("rank < 5").select("id", F.col("rank").alias("seed_rank"))
     grown = seed_expansion(seeds, edges(spark, d))
     return best.select(F.lit("hit").alias("kind"), "id", "rrf_score").unionByName(grown.select(F.lit("neighbour").alias("kind"), F.col("other").alias("id"), F.lit(None).cast("double").alias("rrf_score")))
@@ -157,3 +161,49 @@ def k12_index_search(spark, d):
 
     queries = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return V.search(queries, _index(spark, d), k=5, probes=V.LISTS, rerank=100).select("query_id", "rank", "id", "batch")
+
+
+#: Indexes of this session's graphs: a folder of tables is indexed once, by the first search through the index.
+_TEXT: dict[tuple[str, str], str] = {}
+
+
+def _through_index(spark, d, *phrases):
+    """Nodes that can contain one of the phrases, read through a substring index of all nodes."""
+    from ..operators import text_index as T
+    from ..sources.scratch import scratch_path
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TEXT:
+        path = scratch_path(spark, "text")
+        T.build(nodes(spark, d), path, ["name", "title", "content"])
+        _TEXT[key] = path
+    return T.matching(spark, _TEXT[key], *phrases)
+
+
+@register("t1_indexed_search", SQL["t1_text_search"])
+def t1_indexed_search(spark, d):
+    return S.text_search(_through_index(spark, d, "A"), "A", _ORDER, 10, _BOOST)
+
+
+@register("t2_indexed_search", SQL["t2_subterm_search"])
+def t2_indexed_search(spark, d):
+    terms = ["Part", "Supplier", "00"]
+    return S.subterm_search(_through_index(spark, d, *terms), terms, _ORDER)
+
+
+@register("t5_indexed_hybrid", SQL["t5_hybrid"])
+def t5_indexed_hybrid(spark, d):
+    return _hybrid(spark, d, S.fuse([_text_hits(spark, d, rows=_through_index(spark, d, "A")), _vec_hits(spark, d)], boost=_FUSION))
+
+
+@register("t6_indexed_symbols", SQL["t6_symbol_search"])
+def t6_indexed_symbols(spark, d):
+    return S.symbol_search(_through_index(spark, d, "1"), "1", _ORDER)
+
+
+@register("f2_indexed_phrase", "WITH @NODES, q(q) AS (SELECT left(text, 14) FROM benchmark ORDER BY item_id LIMIT 1) SELECT id, label, contains(coalesce(title, ''), q) AS in_title FROM nodes, q WHERE contains(content, q) OR contains(title, q) OR contains(name, q)")
+def f2_indexed_phrase(spark, d):
+    """Nodes with the beginning of the first benchmark passage."""
+    phrase = table(spark, d, "benchmark").orderBy("item_id").select(F.left("text", F.lit(14))).first()[0]
+    has = lambda c: F.coalesce(F.col(c).contains(phrase), F.lit(False))
+    return _through_index(spark, d, phrase).filter(has("content") | has("title") | has("name")).select("id", "label", has("title").alias("in_title"))
