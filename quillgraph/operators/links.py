@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, title_terms
 from .automaton import PART_BYTES, contained
+from .intervals import as_of  # noqa: F401 (J33)
 
 
 def key_edges(df: DataFrame, src: Column, dst: Column, rel: str) -> DataFrame:
@@ -136,16 +137,6 @@ def bilingual(df: DataFrame, stem: str, lang: str, key: str, one: str = "en", tw
     return a.join(b, "stem").select("stem", "a", "b")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Left rows with the value of the last right row of the same key at or before their time.
-
-    One union and one window by key, so a row is moved once and no pair of rows is formed."""
-    l = left.withColumn("__value", F.lit(None).cast(right.schema[value].dataType)).withColumn("__side", F.lit(1))
-    r = right.select(*[F.col(c) if c in (by, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(value).alias("__value"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn(f"last_{value}", F.last("__value", ignorenulls=True).over(w)).filter("__side = 1").drop("__value", "__side")
-
-
 def valid_at(facts: DataFrame, when: Column, start: str = "effective_at", end: str = "superseded_at") -> DataFrame:
     """Facts in force at a time: open ends count, the end itself does not."""
     return facts.filter((F.col(start).isNull() | (F.col(start) <= when)) & (F.col(end).isNull() | (when < F.col(end))))

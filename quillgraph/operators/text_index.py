@@ -1,5 +1,6 @@
 """A substring index that stays: postings of character n-grams over segments of rows, as Parquet in a folder.
 
+    path/columns   no rows, the columns of the indexed rows
     path/rows      seg=<n>/: row (place in the segment), label and id, and the indexed rows' columns; a folder a segment
     path/postings  gram, seg, rows: places in a segment whose text has the gram; in files by ranges of grams
 
@@ -44,8 +45,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grams(texts: Sequence[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Different (gram, row) pairs of texts (row, text), sorted."""
     codes = np.frombuffer("".join(t for _, t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    lengths = np.array([len(t) for _, t in texts])
-    own, rows = np.repeat(np.arange(len(texts)), lengths), np.repeat(np.array([r for r, _ in texts]), lengths)
+    lengths = np.array([len(t) for _, t in texts], np.int64)
+    own, rows = np.repeat(np.arange(len(texts)), lengths), np.repeat(np.array([r for r, _ in texts], np.int64), lengths)
     keys, at, key = [], [], np.zeros(len(codes), np.int64)
     for n in range(1, N + 1):
         m = len(codes) - n + 1
@@ -97,14 +98,15 @@ def build(rows: DataFrame, path: str, fields: Sequence[str], order: Sequence[str
     dealt = rows.repartitionByRange(int(size // segment) + 1, *order).sortWithinPartitions(*order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     placed = dealt.mapInArrow(_placed, f"{schema}, row int").withColumn("seg", F.spark_partition_id())
+    rows.limit(0).write.parquet(f"{path}/columns")
     placed.write.partitionBy("seg").parquet(f"{path}/rows")
-    posted = _rows(spark, path, schema).select("seg", "row", *fields).mapInArrow(_posted(fields), "gram long, seg int, rows array<int>")
+    posted = _rows(spark, path).select("seg", "row", *fields).mapInArrow(_posted(fields), "gram long, seg int, rows array<int>")
     posted.repartitionByRange("gram").sortWithinPartitions("gram", "seg").write.parquet(f"{path}/postings")
 
 
-def _rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.schema(f"{schema}, row int, seg int") if schema else spark.read
-    return reader.parquet(f"{path}/rows")
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns.add("row", "int").add("seg", "int")).parquet(f"{path}/rows")
 
 
 def candidates(spark: SparkSession, path: str, phrase: str) -> DataFrame:

@@ -147,6 +147,31 @@ def j33_as_of(spark, d):
     return L.as_of(e.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'purchase'").select("user_id", "ts", "value"), "user_id", "ts", "value")
 
 
+@register("j33_overlaps", """WITH x AS (SELECT o_custkey AS by, o_orderkey AS k, o_orderdate AS s, o_orderdate + to_days((o_orderkey % 150)::INT) AS e FROM orders)
+SELECT a.k AS a_key, b.k AS b_key, a.by FROM x a JOIN x b ON a.by = b.by AND a.s < b.e AND b.s < a.e WHERE a.k < b.k AND a.s < a.e AND b.s < b.e""")
+def j33_overlaps(spark, d):
+    """Orders of one customer that are open at the same time, each for 0 to 149 days."""
+    from ..operators.intervals import overlaps
+
+    days = (F.col("o_orderkey") % 150).cast("int")
+    x = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.make_dt_interval(days)).alias("until"))
+    pairs = overlaps(x, x, ("o_custkey",) * 2, ("o_orderkey",) * 2, ("o_orderdate",) * 2, ("until",) * 2)
+    return pairs.filter("a_key < b_key")
+
+
+@register("j33_valid_facts", """WITH f AS (SELECT user_id, event_id, ts AS s, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events WHERE event_type IN ('purchase', 'signup'))
+SELECT p.event_id AS a_key, f.event_id AS b_key, p.user_id AS by FROM events p JOIN f ON p.user_id = f.user_id AND f.s <= p.ts AND (f.e IS NULL OR p.ts < f.e) WHERE p.event_type = 'error'""")
+def j33_valid_facts(spark, d):
+    """The purchase or signup in force at each error: from its time to the user's next one, the last for ever."""
+    from pyspark.sql import Window
+
+    from ..operators.intervals import valid_during
+
+    e = table(spark, d, "events")
+    facts = e.filter(F.col("event_type").isin("purchase", "signup")).withColumn("until", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return valid_during(e.filter("event_type = 'error'"), facts, ("user_id",) * 2, ("event_id",) * 2, "ts", "ts", "until")
+
+
 @register("j35_hash_key", "SELECT DISTINCT left(sha256(url), 16) AS src, 'host:' || split_part(url, '/', 3) AS dst, 'ON_HOST' AS rel_type FROM pages")
 def j35_hash_key(spark, d):
     from ..functions.labels import short_hash
