@@ -106,7 +106,7 @@ def build(rows: DataFrame, path: str, fields: Sequence[str], order: Sequence[str
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     columns = spark.read.parquet(f"{path}/columns").schema
-    return spark.read.schema(columns.add("row", "int").add("seg", "int")).parquet(f"{path}/rows")
+    return spark.read.schema(columns.add("row", "integer").add("seg", "integer")).parquet(f"{path}/rows")
 
 
 def candidates(spark: SparkSession, path: str, phrase: str) -> DataFrame:
