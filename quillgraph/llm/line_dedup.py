@@ -3,11 +3,12 @@
 A document is the sequence of its lines that hold words. The gram at a line is the shortest run of lines from there with
 GRAM words; among the grams that start within WINDOW words of a line, the one with the least hash is a fingerprint (all of
 them on ties). Two runs of equal lines with GRAM + WINDOW - 1 words or more therefore share a fingerprint,
-wherever they stand. Documents that share a fingerprint are compared by stretches: from each of their lines and up to
-each of their lines the shortest run with MIN_WORDS words. A stretch that is not the first place of its lines in the corpus (least
+wherever they stand. Positions of a fingerprint are joined, and a match is extended from it both ways: to the left by the lines back to each
+line whose window it is the least gram of, to the right by lines up to MIN_WORDS words. Such a stretch, told apart by
+its fingerprint, the fingerprint's place in it and two hashes of its lines, that is not the first one of its kind in the corpus (least
 doc_id, then text, then line) is deleted. A run of MIN_WORDS words or more that stands at any earlier place consists
-of such stretches, so every one is deleted whole, whichever places share its fingerprints. Blank lines
-inside a deleted run go with it. Every deleted line has an equal one at an earlier place.
+of such stretches, and each has its fingerprint inside, so every one is deleted whole, whichever other places share its
+fingerprints. Blank lines inside a deleted run go with it. Every deleted line has an equal one at an earlier place.
 
 A line's length counts as WINDOW words at most when windows are laid out, so that a long line has a window
 of its own.
@@ -59,20 +60,38 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return grams.withColumn("top", F.max("least").over(by.rangeBetween(1 - window, 0))).filter("g = top").select("d", "t", "j", "g")
 
 
-def stretches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, t, j, k, a, b, g: places j to k among the lines with words, their line numbers, hash of the lines.
+def stretches(rows: DataFrame, prints: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, t, j, a, b and what tells them apart (KIND) of fingerprints extended both ways to min_words words.
 
-    From each line and up to each line the shortest stretch of min_words words, and two neighbours that have as many each. Any
+    j: first place among the lines with words; a, b: line numbers. Stretches begin at a line whose window the fingerprint is the least of: from
+    each line and up to each line the shortest one of min_words words, and two neighbours that have as many each. Any
     run of min_words words is made up of stretches inside it, which hold all its lines and all pairs of neighbours."""
     lines = rows.select("d", "t", F.posexplode(F.arrays_zip("i", "h", "w")).alias("j", "l")).select("d", "t", "j", "l.i", "l.h", F.col("l.w").cast("long").alias("w"))
+    places = prints.select(F.col("d").alias("pd"), F.col("t").alias("pt"), F.col("j").alias("pj"), "g")
+    lines = lines.join(places, F.col("d").eqNullSafe(F.col("pd")) & (F.col("t") == F.col("pt")) & (F.col("j") == F.col("pj")), "left")
     doc = Window.partitionBy("d", "t")
-    lines = lines.withColumn("end", F.sum("w").over(doc.orderBy("j"))).withColumn("at", F.col("end") - F.col("w"))
-    sides = [doc.orderBy("at").rangeBetween(0, min_words - 1), doc.orderBy("end").rangeBetween(1 - min_words, 0), doc.orderBy("j").rowsBetween(0, 1)]
-    held = lambda w: F.struct(F.min("j").over(w).alias("j"), F.max("j").over(w).alias("k"), F.min("i").over(w).alias("a"), F.max("i").over(w).alias("b"), F.xxhash64(F.collect_list("h").over(w)).alias("g"), F.sum("w").over(w).alias("words"), F.min("w").over(w).alias("least"))
-    lines = lines.select("d", "t", *[held(w).alias(f"s{n}") for n, w in enumerate(sides)])
-    pair = F.when((F.col("s2.j") < F.col("s2.k")) & (F.col("s2.least") >= min_words), F.col("s2"))
+    held = F.least(F.col("w"), F.lit(window))
+    lines = lines.withColumn("end", F.sum("w").over(doc.orderBy("j"))).withColumn("from", F.col("end") - F.col("w")).withColumn("at", F.sum(held).over(doc.orderBy("j")) - held)
+    mine = F.min(F.when(F.col("g").isNotNull(), F.struct("g", F.col("j").alias("p")))).over(doc.orderBy("at").rangeBetween(0, window - 1))
+    lines = lines.withColumn("print", mine)
+    sides = [doc.orderBy("from").rangeBetween(0, min_words - 1), doc.orderBy("end").rangeBetween(1 - min_words, 0), doc.orderBy("j").rowsBetween(0, 1)]
+
+    def stretch(w) -> Column:
+        hashes = F.collect_list("h").over(w)
+        return F.struct(
+            F.min(F.struct("j", "print")).over(w).alias("first"), F.max("j").over(w).alias("k"), F.min("i").over(w).alias("a"), F.max("i").over(w).alias("b"),
+            F.xxhash64(hashes).alias("x"), F.xxhash64(F.lit(1), hashes).alias("y"), F.sum("w").over(w).alias("words"), F.min("w").over(w).alias("least"),
+        )
+
+    lines = lines.select("d", "t", *[stretch(w).alias(f"s{n}") for n, w in enumerate(sides)])
+    pair = F.when((F.col("s2.first.j") < F.col("s2.k")) & (F.col("s2.least") >= min_words), F.col("s2"))
     some = F.array_distinct(F.filter(F.array("s0", "s1", pair), lambda s: s.isNotNull() & (s["words"] >= min_words)))
-    return lines.select("d", "t", F.explode(some).alias("s")).select("d", "t", "s.j", "s.k", "s.a", "s.b", "s.g")
+    found = lines.select("d", "t", F.explode(some).alias("s"))
+    return found.select("d", "t", F.col("s.first.j").alias("j"), "s.a", "s.b", F.col("s.first.print.g").alias("g"), (F.col("s.first.print.p") - F.col("s.first.j")).alias("left"), "s.x", "s.y")
+
+
+#: Fingerprint, its place in the stretch, two hashes of the lines.
+KIND = ["g", "left", "x", "y"]
 
 
 def repeated_runs(rows: DataFrame, gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -81,10 +100,11 @@ def repeated_runs(rows: DataFrame, gram: int = GRAM, window: int = WINDOW, min_w
         raise ValueError("runs of min_words words need not have a fingerprint")
     prints = durable(fingerprints(rows, gram, window))
     place = F.struct("d", "t", "j")
-    several = lambda x: x.groupBy("g").agg(F.min(place).alias("f"), F.max(place).alias("z")).filter("f != z").select("g", "f")
-    sharing = prints.join(several(prints).select("g"), "g", "left_semi").select(F.col("d").alias("xd"), F.col("t").alias("xt")).distinct()
-    held = durable(stretches(rows.join(sharing, F.col("d").eqNullSafe(F.col("xd")) & (F.col("t") == F.col("xt")), "left_semi"), min_words))
-    later = held.join(several(held), "g").filter(F.struct("d", "t", "j") != F.col("f"))
+    several = lambda x, by: x.groupBy(*by).agg(F.min(place).alias("f"), F.max(place).alias("z")).filter("f != z").drop("z")
+    sharing = durable(prints.join(several(prints, ["g"]).select("g"), "g", "left_semi"))
+    whose = sharing.select(F.col("d").alias("xd"), F.col("t").alias("xt")).distinct()
+    held = durable(stretches(rows.join(whose, F.col("d").eqNullSafe(F.col("xd")) & (F.col("t") == F.col("xt")), "left_semi"), sharing, window, min_words).filter("g IS NOT NULL"))
+    later = held.join(several(held, KIND), KIND).filter(F.struct("d", "t", "j") != F.col("f"))
     return later.groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
 
 

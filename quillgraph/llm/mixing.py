@@ -4,7 +4,8 @@ Rates r_i (expected copies of document i) minimise the relative entropy sum_i m_
 m_i tokens, q_i prior rates, under one token constraint a source: sum_i m_i r_i = target. The solution is an
 exponential tilt r_i = q_i exp(lambda_source), held at `most` copies; the convex dual is solved by distributed
 Newton steps: each is one aggregation of gradient and curvature by source over a table that is pre-aggregated by
-(source, prior). Rates are then rounded to the copies below or above them by error diffusion: documents of a source
+(source, prior). Priors differ with a text's length (`length_prior`), so a source's documents have several rates, some of them
+held, and its multiplier has no closed form. Rates are then rounded to the copies below or above them by error diffusion: documents of a source
 are dealt by hash into cells of about `cell` rows, and each cell keeps its running total of taken tokens as near to
 the rates' total as whole documents allow, long documents first so that short ones settle the rest.
 
@@ -18,11 +19,11 @@ may differ in copies; an empty table gives an empty mix; other columns of the in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, global_rank, n_words
@@ -35,6 +36,11 @@ STEPS = 60
 SALTS = 64
 
 
+def length_prior(size: Column) -> Column:
+    """Prior rate by words: fragments are asked for half as often as others."""
+    return F.when(size < 64, 0.5).otherwise(1.0)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target of a table (source, source_size) with one row a source.
 
@@ -98,20 +104,22 @@ def _diffuse(most: float):
     return run
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, cell: int = 20_000, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, cell: int = 20_000, seed: int = 7, prior: Callable[[Column], Column] = length_prior) -> DataFrame:
     """doc_id, source, size, th (hash of the text), source_size, target, rate, copies, taken for every row of df."""
-    narrow = durable(df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("th")))
-    sizes = durable(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    narrow = durable(df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("th")).withColumn("prior", prior(F.col("size")).cast("double")))
+    cells = durable(narrow.groupBy("source", "prior").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")))
+    sizes = durable(cells.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("n").alias("n")))
     targets = source_targets(sizes.drop("n"), weights, share, most)
-    cells = sizes.select("source", F.lit(1.0).alias("prior"), F.col("source_size").cast("double").alias("tokens"))
+    cells = cells.select("source", "prior", F.col("tokens").cast("double").alias("tokens"))
     tilt = balance(cells, targets.select("source", "target"), most)
     s = lambda d, n: d.withColumnRenamed("source", n)
     by = sizes.join(s(targets.drop("source_size"), "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").join(s(tilt, "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    by = by.select(F.col("source").alias("s"), "source_size", "target", F.least(F.lit(most), F.exp("lambda")).alias("rate"), F.ceil(F.col("n") / cell).alias("cells"))
+    by = by.select(F.col("source").alias("s"), "source_size", "target", F.exp("lambda").alias("tilt"), F.ceil(F.col("n") / cell).alias("cells"))
     # a hot source's rows meet its one row of `by` in SALTS places
     by = by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = narrow.withColumn("h", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("at", F.pmod("h", F.lit(SALTS)).cast("int"))
     rows = rows.join(by, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("salt"))).drop("s", "at", "salt")
+    rows = rows.withColumn("rate", F.least(F.lit(most), F.col("prior") * F.col("tilt"))).drop("prior", "tilt")
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("h", F.lit("cell")), F.col("cells"))).drop("cells")
     out = "doc_id long, none boolean, source string, size long, th long, source_size long, target double, copies long"
     # pandas has no null among whole numbers: a null id goes as 0 and a flag

@@ -125,6 +125,22 @@ def test_mixing(spark, docs):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_rates_differ_inside_a_source(spark, docs):
+    """Rates are the prior times one multiplier a source, held at two, and meet the target: no closed form gives them."""
+    got = mixing.mix(spark.createDataFrame(docs)).toPandas()
+    prior = np.where(got["size"] < 64, 0.5, 1.0)
+    free = 0
+    for s, g in got.assign(prior=prior).groupby("source"):
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if (g["size"] * np.minimum(2, g.prior * tilt)).sum() < g.target.iloc[0] else (low, tilt)
+        rate = np.minimum(2, g.prior * tilt)
+        assert ((g.copies >= np.floor(rate - 1e-6)) & (g.copies <= np.ceil(rate + 1e-6))).all()
+        free += (g.target.iloc[0] < 1.99 * g["size"].sum()) and g.prior.nunique() > 1 and rate.nunique() > 1
+    assert free
+
+
 def test_mixing_odd(spark):
     m = mixing.mix(odd(spark)).toPandas()
     assert len(m) == 8 and (m.taken <= 2 * m["size"]).all() and set(m.source.dropna()) == {"s", "t"}
@@ -168,6 +184,16 @@ def test_balance_with_priors(spark):
 # line dedup
 
 
+def test_matches_come_from_fingerprints(spark, monkeypatch):
+    """Without the right fingerprints nothing is deleted; the answer is theirs."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    gone = lambda: line_dedup.dedup_lines(docs, removed="n").agg(F.sum("n")).first()[0]
+    assert gone() > 0
+    made = line_dedup.fingerprints
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda *a: made(*a).withColumn("g", F.xxhash64("d", "t", "j")))
+    assert gone() == 0
+
+
 def test_line_dedup(spark):
     words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     block = "\n".join(words(f"p{j}", 13) for j in range(4))
