@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import display_label
+from ..sources.scratch import pinned, scratch_path, written
+from .ranks import in_order
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -109,14 +109,14 @@ def impact_of(step: Step, key: str, direction: str = "out", depth: int = 3) -> D
     return seen.select(F.concat_ws(":", "label", F.col("key").cast("string")).alias("id"), "depth")
 
 
-def reasoning_chain_of(nodes: DataFrame, step: Step, key: str) -> DataFrame:
-    """J9 from one node of typed tables: as reasoning_chain, but it reads only tables that its labels are in."""
+def reasoning_chain_of(node: DataFrame, step: Step, key: str) -> DataFrame:
+    """J9 from one node of typed tables (its row, or none): as reasoning_chain, but it reads only tables that its labels are in."""
     at, labels = step(key, None, ("out", "in"))
     one = at.select(F.lit(1).alias("hop"), F.lit(key).alias("via"), "direction", "rel_type", F.col("other").alias("id"))
     beyond, _ = step(at.select(F.col("other_label").alias("label"), F.col("other_key").alias("key")).distinct(), labels, ("out", "in"))
     two = beyond.filter(F.col("other") != key).select(F.lit(2).alias("hop"), F.col("node").alias("via"), "direction", "rel_type", F.col("other").alias("id"))
     found = one.unionByName(two).withColumn("node_resolved", F.lit(True))
-    here = nodes.filter((F.col("label") == key.partition(":")[0]) & (F.col("id") == key)).agg((F.count("*") > 0).alias("resolved"))
+    here = node.agg((F.count("*") > 0).alias("resolved"))
     missing = here.filter("not resolved").select(F.lit(0).alias("hop"), F.lit(key).alias("via"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("string").alias("id"), F.lit(False).alias("node_resolved"))
     return found.unionByName(missing)
 
@@ -145,36 +145,89 @@ def profile(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Id, community by synchronous label propagation over undirected links; the commonest label among a node's
-    neighbours, the least one on ties; a node keeps its label until it has a neighbour. Deterministic."""
-    links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst").distinct()
-    labels = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    neighbours, the least one on ties; a node keeps its label until it has a neighbour. Deterministic.
+
+    The edges are read once: links become pairs of numbers, given in the order of ids, in a written table by node. A round recounts
+    only the nodes with a neighbour that has changed in the round before."""
     spark = edges.sparkSession
-    for _ in range(rounds):
-        votes = links.join(labels, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", F.lit(0))).alias("top"), F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")).drop("top")
-        labels, before = _pinned(spark, best), labels
-        if not labels.join(before.withColumnRenamed("community", "old"), "id").filter("community != old").limit(1).count():
+    raw = edges.select("src", "dst").filter("src != dst")
+    ends = raw.select(F.col("src").alias("id")).union(raw.select("dst")).distinct()
+    folder = scratch_path(spark, "links")
+    ids = written(in_order(ends, ["id"], "n"), f"{folder}/ids")
+    pairs = raw.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select("a", "b")
+    links = written(pairs.union(pairs.select("b", "a")).distinct().repartition("a"), f"{folder}/links")
+    labels = pinned(ids.select("n", F.col("n").alias("label")))
+    changed = labels.select("n")
+    for k in range(rounds):
+        # all nodes have a label of their own at first, so the first round asks for all
+        open_ = links if k == 0 else links.join(links.join(changed.withColumnRenamed("n", "b"), "b", "left_semi").select("a").distinct(), "a", "left_semi")
+        votes = open_.join(labels.toDF("b", "label"), "b").groupBy("a", "label").agg(F.count("*").alias("votes"))
+        best = votes.groupBy(F.col("a").alias("n")).agg(F.min_by("label", F.struct(-F.col("votes"), "label")).alias("to"))
+        after = pinned(labels.join(best, "n", "left").select("n", F.coalesce("to", "label").alias("label"), (F.col("to") != F.col("label")).alias("moved")))
+        changed, labels = after.filter("moved").select("n"), after.select("n", "label")
+        if not changed.limit(1).count():
             break
-    return labels
-
-
-def _pinned(spark, df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    named = ids.toDF("community", "label")
+    return labels.join(ids, "n").join(named, "label").select("id", "community")
 
 
 def shortest_paths(edges: DataFrame, depth: int) -> DataFrame:
-    """A, b, steps of the shortest walk of 1 to `depth` steps; each level joins only pairs that are new."""
+    """A, b, steps of the shortest walk of 1 to `depth` steps; each level joins only pairs that are new. All pairs of a
+    relation: for given ends use shortest_between."""
     links = edges.select(F.col("src").alias("b"), F.col("dst").alias("to")).distinct()
     level = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().withColumn("steps", F.lit(1))
     seen = level
     for n in range(2, depth + 1):
-        level = level.join(links, "b").select("a", F.col("to").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("steps", F.lit(n))
+        level = pinned(level.join(links, "b").select("a", F.col("to").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("steps", F.lit(n)))
         seen = seen.unionByName(level)
     return seen
+
+
+def _spread(links: DataFrame, start: DataFrame, levels: int, include: bool) -> DataFrame:
+    """root, at, steps: what is reached from each root (root, at) within `levels` steps, at its first one; roots with `include`."""
+    seen = start.withColumn("steps", F.lit(0)) if include else None
+    level = start
+    for n in range(1, levels + 1):
+        level = level.join(links, "at").select("root", F.col("to").alias("at")).distinct()
+        if seen is not None:
+            level = level.join(seen.select("root", "at"), ["root", "at"], "left_anti")
+        level = pinned(level)
+        found = level.withColumn("steps", F.lit(n))
+        seen = found if seen is None else seen.unionByName(found)
+    return seen
+
+
+def shortest_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """A, b, steps of the shortest walk of 1 to `depth` steps from each of starts (id) to each of ends (id) that has one.
+
+    Both sides spread over half the depth and meet in the middle: a pair of ends is only formed where their halves share a node."""
+    links = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    back = links.select(F.col("to").alias("at"), F.col("at").alias("to"))
+    root = lambda df: df.select(F.col("id").alias("root"), F.col("id").alias("at")).distinct()
+    ahead = _spread(links, root(starts), (depth + 1) // 2, False).toDF("a", "at", "x")
+    behind = _spread(back, root(ends), depth // 2, True).toDF("b", "at", "y")
+    return ahead.join(behind, "at").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("steps"))
+
+
+def paths_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """A, b, steps, nodes, rels of every path of 1 to `depth` steps from starts (id) to ends (id) that uses no edge twice.
+
+    Ends spread backwards first, nodes only: how few steps lead from a node to some end. Paths then grow from the starts, over nodes
+    from which an end can still be reached in the steps that are left, so no path is built that must fail by its length."""
+    links = edges.select(F.col("src").alias("at"), F.col("rel_type").alias("rel"), F.col("dst").alias("to")).distinct()
+    links = pinned(links.withColumn("edge", F.struct("at", "rel", "to")))
+    left = ends.select(F.col("id").alias("at")).distinct().withColumn("left", F.lit(0))
+    level = left
+    for n in range(1, depth):
+        level = pinned(links.join(level.select(F.col("at").alias("to")), "to", "left_semi").select("at").distinct().join(left.select("at"), "at", "left_anti").withColumn("left", F.lit(n)))
+        left = left.unionByName(level)
+    left = pinned(left)
+    nothing = F.array().cast("array<struct<at:string,rel:string,to:string>>")
+    grown = starts.select(F.col("id").alias("a"), F.col("id").alias("at")).distinct().withColumn("edges", nothing)
+    found = None
+    for n in range(1, depth + 1):
+        step = grown.join(links, "at").filter(~F.array_contains("edges", F.col("edge"))).select("a", F.col("to").alias("at"), F.array_append("edges", F.col("edge")).alias("edges"))
+        grown = pinned(step.join(left.filter(F.col("left") <= depth - n).select("at"), "at", "left_semi"))
+        here = grown.join(left.filter("left = 0").select("at"), "at", "left_semi").select("a", F.col("at").alias("b"), F.lit(n).alias("steps"), F.concat(F.array("a"), F.col("edges.to")).alias("nodes"), F.col("edges.rel").alias("rels"))
+        found = here if found is None else found.unionByName(here)
+    return found

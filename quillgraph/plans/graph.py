@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import display_label
 from ..operators import graph as G
-from ..sources.views import catalog, edges, incident_to, label_scan, nodes, point_lookup, rel_scan
+from ..sources.views import catalog, edges, incident_to, label_scan, node_at, nodes, point_lookup, rel_scan
 from .registry import register
 
 _INCIDENT = """both_ways AS (SELECT src AS node, 'out' AS direction, rel_type, dst AS other FROM edges
@@ -49,6 +50,13 @@ def s18_point_lookup(spark, d):
     return point_lookup(nodes(spark, d), "Part:7", ["Customer", "Part"]).select("id", "label", "name")
 
 
+@register("s18_typed_lookup", "WITH @NODES SELECT * FROM nodes WHERE id IN ('Part:7', 'Document:3', 'Order:1', 'Nation:x')")
+def s18_typed_lookup(spark, d):
+    """Nodes of four ids; one has no such key."""
+    found = [node_at(spark, d, key) for key in ("Part:7", "Document:3", "Order:1", "Nation:x")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @register("e1_display_label", f"WITH @NODES SELECT id, {_DISPLAY} AS display FROM nodes")
 def e1_display_label(spark, d):
     return nodes(spark, d).select("id", display_label("id", title="title", name="name", content="content").alias("display"))
@@ -104,12 +112,12 @@ one AS (SELECT 1 AS hop, 'Order:1' AS via, direction, rel_type, other AS id FROM
 two AS (SELECT 2 AS hop, node AS via, direction, rel_type, other AS id FROM both_ways WHERE node IN (SELECT id FROM one) AND other <> 'Order:1')
 SELECT *, true AS node_resolved FROM one UNION ALL SELECT *, true FROM two""")
 def j9_reasoning_chain(spark, d):
-    return G.reasoning_chain_of(nodes(spark, d), partial(incident_to, spark, d), "Order:1")
+    return G.reasoning_chain_of(node_at(spark, d, "Order:1"), partial(incident_to, spark, d), "Order:1")
 
 
 @register("j9_reasoning_chain_missing", "SELECT 0 AS hop, 'Order:none' AS via, NULL::VARCHAR AS direction, NULL::VARCHAR AS rel_type, NULL::VARCHAR AS id, false AS node_resolved")
 def j9_reasoning_chain_missing(spark, d):
-    return G.reasoning_chain_of(nodes(spark, d), partial(incident_to, spark, d), "Order:none")
+    return G.reasoning_chain_of(node_at(spark, d, "Order:none"), partial(incident_to, spark, d), "Order:none")
 
 
 @register("j21_co_presence", """WITH @NODES, @EDGES, ids AS (SELECT id FROM nodes WHERE label IN ('Nation', 'Region', 'Supplier'))
@@ -130,6 +138,30 @@ def q21_edge_profile(spark, d):
     return G.profile(nodes(spark, d), edges(spark, d), "Part")
 
 
-@register("x19_communities")
+_ROUND = """v{k} AS (SELECT a, label, count(*) AS n FROM links JOIN l{j} ON id = b GROUP BY a, label), l{k} AS MATERIALIZED (SELECT a AS id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1)"""
+_VOTES = ", ".join(_ROUND.format(j=k, k=k + 1) for k in range(10))
+
+
+@register("x19_communities", f"""WITH @EDGES, few AS (SELECT src, dst FROM edges WHERE rel_type IN ('IN_NATION', 'IN_REGION') AND src <> dst), links AS (SELECT src AS a, dst AS b FROM few UNION SELECT dst, src FROM few),
+l0 AS (SELECT DISTINCT a AS id, a AS label FROM links), {_VOTES} SELECT id, label AS community FROM l10""")
 def x19_communities(spark, d):
     return G.communities(edges(spark, d).filter(F.col("rel_type").isin("IN_NATION", "IN_REGION")))
+
+
+@register("j36_shortest_between", """WITH RECURSIVE @EDGES, walk(a, b, n) AS (SELECT src, dst, 1 FROM edges WHERE src IN ('Customer:1', 'Customer:2', 'Customer:5', 'Customer:8') UNION SELECT w.a, e.dst, n + 1 FROM walk w JOIN edges e ON e.src = w.b WHERE n < 5)
+SELECT a, b, min(n)::INT AS steps FROM walk WHERE starts_with(b, 'Nation:') OR starts_with(b, 'Region:') GROUP BY 1, 2""")
+def j36_shortest_between(spark, d):
+    """From four customers to nations and regions, within five steps."""
+    starts = spark.createDataFrame([(f"Customer:{k}",) for k in (1, 2, 5, 8)], "id string")
+    ends = nodes(spark, d).filter(F.col("label").isin("Nation", "Region")).select("id")
+    return G.shortest_between(edges(spark, d), starts, ends, 5)
+
+
+@register("j36_paths_between", """WITH RECURSIVE @EDGES, walk(a, b, n, nodes, rels) AS (SELECT src, dst, 1, [src, dst], [rel_type] FROM edges WHERE src IN ('Customer:1', 'Customer:2', 'Customer:5')
+ UNION ALL SELECT a, dst, n + 1, list_append(nodes, dst), list_append(rels, rel_type) FROM walk JOIN edges ON src = b WHERE n < 4)
+SELECT a, b, n::INT AS steps, nodes, rels FROM walk WHERE b IN ('Nation:1', 'Nation:2', 'Nation:3', 'Nation:4', 'Nation:5', 'Nation:6')""")
+def j36_paths_between(spark, d):
+    """All paths of up to four steps from three customers to six nations; no edge of these relations can come twice."""
+    starts = spark.createDataFrame([(f"Customer:{k}",) for k in (1, 2, 5)], "id string")
+    ends = spark.createDataFrame([(f"Nation:{k}",) for k in range(1, 7)], "id string")
+    return G.paths_between(edges(spark, d), starts, ends, 4)

@@ -110,12 +110,15 @@ def j20_similar_titles(spark, d):
     return L.similar_titles(table(spark, d, "part").withColumn("title", F.concat_ws(" ", "p_name", "p_type")), "p_brand", "title", "p_size", "p_partkey")
 
 
-@register("j24_product", "SELECT r_name, p_type, c_mktsegment FROM region JOIN (VALUES ('REGION_0', 'PROMO'), ('REGION_1', 'SMALL'), ('REGION_1', 'LARGE')) a(r_name, p_type) USING (r_name) JOIN (SELECT DISTINCT p_type FROM part) USING (p_type) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
+@register("j24_product", """SELECT r_name, p_type, c_mktsegment FROM region JOIN (VALUES ('REGION_0', 'PROMO'), ('REGION_1', 'SMALL'), ('REGION_1', 'LARGE')) a(r_name, p_type) USING (r_name) JOIN (SELECT DISTINCT p_type FROM part) USING (p_type)
+JOIN (SELECT DISTINCT r_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) USING (r_name)""")
 def j24_product(spark, d):
+    """Regions by the types that apply to them by the segments that they have."""
     applies = spark.sql("SELECT * FROM VALUES ('REGION_0', 'PROMO'), ('REGION_1', 'SMALL'), ('REGION_1', 'LARGE') AS a(r_name, p_type)")
     pairs = L.product(table(spark, d, "region").select("r_name"), table(spark, d, "part").select("p_type").distinct(), applies, "r_name", "p_type")
-    segments = table(spark, d, "customer").agg(F.collect_set("c_mktsegment").alias("s"))  # the few segments, in one row
-    return pairs.join(F.broadcast(segments)).select("r_name", "p_type", F.explode("s").alias("c_mktsegment"))
+    lands = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    present = table(spark, d, "customer").join(lands, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "c_mktsegment").distinct()
+    return pairs.join(present, "r_name").select("r_name", "p_type", "c_mktsegment")
 
 
 @register("j25_overlap", "SELECT count(*) AS overlap FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)")

@@ -26,20 +26,36 @@ def _nodes(df: DataFrame, label: str, key: str, name: Column | None = None, titl
     return df.select(node_id(label, key).alias("id"), F.lit(label).alias("label"), pick(name).alias("name"), pick(title).alias("title"), pick(content).alias("content"))
 
 
+#: label: (table, key, name, title, content).
+NODES = {
+    "Region": ("region", "r_regionkey", "r_name", None, None),
+    "Nation": ("nation", "n_nationkey", "n_name", None, None),
+    "Customer": ("customer", "c_custkey", "c_name", "c_mktsegment", None),
+    "Supplier": ("supplier", "s_suppkey", "s_name", None, None),
+    "Part": ("part", "p_partkey", "p_name", "p_type", "p_brand"),
+    "Order": ("orders", "o_orderkey", None, "o_orderpriority", "o_orderstatus"),
+    "Document": ("documents", "doc_id", None, "left(split_part(text, '\n', 1), 80)", "text"),
+}
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, key: int | None = None) -> DataFrame:
+    name, column, *fields = NODES[label]
+    rows = table(spark, sf_dir, name)
+    rows = rows if key is None else rows.filter(F.col(column) == key)
+    return _nodes(rows, label, column, *[None if f is None else F.expr(f) for f in fields])
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, label, name, title, content of every node. A filter on label prunes the other tables' branches."""
-    t = lambda n: table(spark, sf_dir, n)
-    first_line = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))
-    parts = [
-        _nodes(t("region"), "Region", "r_regionkey", F.col("r_name")),
-        _nodes(t("nation"), "Nation", "n_nationkey", F.col("n_name")),
-        _nodes(t("customer"), "Customer", "c_custkey", F.col("c_name"), F.col("c_mktsegment")),
-        _nodes(t("supplier"), "Supplier", "s_suppkey", F.col("s_name")),
-        _nodes(t("part"), "Part", "p_partkey", F.col("p_name"), F.col("p_type"), F.col("p_brand")),
-        _nodes(t("orders"), "Order", "o_orderkey", None, F.col("o_orderpriority"), F.col("o_orderstatus")),
-        _nodes(t("documents"), "Document", "doc_id", None, first_line, F.col("text")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_labelled(spark, sf_dir, label) for label in NODES])
+
+
+def node_at(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """The node with this id, if there is one: only its label's table is read, and its key reaches the scan."""
+    label, _, number = key.partition(":")
+    if label not in NODES or not number.isdigit():
+        return _labelled(spark, sf_dir, next(iter(NODES))).limit(0)
+    return _labelled(spark, sf_dir, label, int(number)).limit(1)
 
 
 #: (table, source, target, relation) of every edge; an end is (label, column). Rows of MANY repeat edges.

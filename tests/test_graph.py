@@ -1,5 +1,8 @@
 """Traversal, search and links on small graphs."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.labels import display_label, document_category, safe_name
@@ -7,6 +10,7 @@ from quillgraph.operators import graph as G
 from quillgraph.operators import ingest as I
 from quillgraph.operators import links as L
 from quillgraph.operators import search as S
+from quillgraph.operators.ranks import in_order
 from quillgraph.operators.schema import ddl_gate, parse_ddl, read_only
 
 
@@ -119,3 +123,64 @@ def test_schema_text(spark):
     assert read_only("SELECT 'DROP' FROM t") and not read_only("select 1; drop table t")
     s = spark.createDataFrame([("CREATE NODE TABLE A(id STRING)",), ("DROP TABLE Z",), ("DELETE x",)], "statement string")
     assert [r.verdict for r in ddl_gate(s, spark.createDataFrame([("A",)], "name string")).orderBy("statement").collect()] == ["ok", "forbidden", "undeclared"]
+
+
+def _graph(spark, seed, n=14, m=34):
+    rng = random.Random(seed)
+    rows = sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.choice("RS")) for _ in range(m)})
+    return rows, spark.createDataFrame(rows, "src string, dst string, rel_type string")
+
+
+def _ids(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+@pytest.mark.parametrize("seed,depth", [(1, 1), (2, 2), (3, 3), (4, 4)])
+def test_paths_between(spark, seed, depth):
+    rows, e = _graph(spark, seed)
+    starts, ends = ("n0", "n1", "n2", "none"), ("n2", "n3", "n4")
+    every = []
+
+    def walk(a, at, used):
+        if used and at in ends:
+            every.append((a, at, len(used), [a, *(x[1] for x in used)], [x[2] for x in used]))
+        if len(used) < depth:
+            for x in rows:
+                if x[0] == at and x not in used:
+                    walk(a, x[1], [*used, x])
+
+    for a in starts:
+        walk(a, a, [])
+    got = [tuple(r) for r in G.paths_between(e, _ids(spark, *starts), _ids(spark, *ends), depth).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, every))
+    shortest = {}
+    reach = {a: {a} for a in starts}
+    for n in range(1, depth + 1):
+        for a in starts:
+            reach[a] = {x[1] for x in rows if x[0] in reach[a]}
+            for b in reach[a] & set(ends):
+                shortest.setdefault((a, b), n)
+    assert {(r.a, r.b): r.steps for r in G.shortest_between(e, _ids(spark, *starts), _ids(spark, *ends), depth).collect()} == shortest
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_communities_round_by_round(spark, seed):
+    rows, e = _graph(spark, seed, 30, 50)
+    near = {}
+    for a, b, _ in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for rounds in (1, 2, 10):
+        label = {a: a for a in near}
+        for _ in range(rounds):
+            label = {a: min(set(label[b] for b in near[a]), key=lambda x: (-sum(label[b] == x for b in near[a]), x)) for a in near}
+        assert {r.id: r.community for r in G.communities(e, rounds).collect()} == label
+    assert G.communities(e.limit(0)).count() == 0
+
+
+def test_in_order(spark):
+    df = spark.createDataFrame([(k % 7 if k % 5 else None, str(k)) for k in range(50)], "a int, b string")
+    got = sorted((r.n, -1 if r.a is None else r.a) for r in in_order(df, ["a"], "n").collect())
+    assert [n for n, _ in got] == list(range(50)) and [a for _, a in got] == sorted(a for _, a in got)
+    assert in_order(df.limit(0), ["a"], "n").count() == 0
