@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import split as SP
 from ..operators import evaluate as E
+from ..operators import sections as TX
 from ..operators.schema import rogue_bucket
 from ..sources.views import edges, nodes, table
 from .registry import register
@@ -67,18 +67,45 @@ def x10_title_terms(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_sort(title_terms(F.col("p_name"))).alias("terms"))
 
 
-@register("w5_sections")
+def _marked(spark, d):
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.when(x.rlike("^[A-Z]"), F.concat(F.repeat(F.lit("#"), F.length(x) % 4 + 1), F.lit(" "), x)).otherwise(x))
+    return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("t"))
+
+
+@register("w5_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN regexp_matches(x, '^[A-Z]') THEN repeat('#', (length(x) % 4 + 1)::INT) || ' ' || x ELSE x END AS x FROM l),
+h AS (SELECT doc_id, i, length(regexp_extract(x, '^(#{1,6})\s+(.+)', 1)) AS level, len(regexp_extract_all(x, '\S+')) AS w FROM m),
+n AS (SELECT a.doc_id, a.i, a.level, min(b.i) AS stop FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.i > a.i AND b.level BETWEEN 1 AND a.level WHERE a.level > 0 GROUP BY ALL),
+e AS (SELECT doc_id, max(i) AS last FROM h GROUP BY doc_id),
+s AS (SELECT n.doc_id, n.i, n.level, coalesce(n.stop - 1, last) AS stop FROM n JOIN e USING (doc_id))
+SELECT s.doc_id, (row_number() OVER (PARTITION BY s.doc_id ORDER BY s.i) - 1)::INT AS idx, s.level::INT AS level, s.i::INT AS start_line, s.stop::INT AS end_line, coalesce(sum(h.w), 0)::BIGINT AS words
+FROM s LEFT JOIN h ON h.doc_id = s.doc_id AND h.i > s.i AND h.i <= s.stop GROUP BY s.doc_id, s.i, s.level, s.stop""")
 def w5_sections(spark, d):
-    """Sections of the documents, their first lines taken as headings."""
-    marked = F.regexp_replace("text", r"(?m)^(?=[A-Z])", "# ")
-    docs = table(spark, d, "documents").select("doc_id", marked.alias("t"))
-    found = SP.explode_with(docs, SP.sections, ["t"], "idx int, heading string, level int, start_line int, end_line int, words int")
-    return found.select("doc_id", "idx", "level", "start_line", "end_line", "words")
+    """Sections of the documents, lines that begin with a capital taken as headings."""
+    return TX.markdown_sections(_marked(spark, d), "doc_id", "t").select(F.col("key").alias("doc_id"), "idx", "level", "start_line", "end_line", "words")
+
+
+_LAW = r"(?:^|\n)\s*第([0-9]+)条\s*"
 
 
-@register("x6_clauses")
+@register("x6_clauses", rf"""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: '第' || i || '条 ' || x), chr(10)) AS t FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(t, '{_LAW}', 1) AS n, regexp_split_to_array(t, '{_LAW}') AS b FROM t),
+c AS (SELECT doc_id, unnest(n)::INT AS article, regexp_replace(unnest(b[len(b) - len(n) + 1:]), '^\s+|\s+$', '', 'g') AS body FROM p)
+SELECT doc_id, article, least(length(body), 5000)::INT AS n FROM c WHERE length(body) >= 30 AND article > 0""")
 def x6_clauses(spark, d):
     """Clauses of a law that is laid over the documents' lines."""
     text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条 "), x)), "\n")
-    found = SP.explode_with(table(spark, d, "documents").select("doc_id", text.alias("t")), SP.split_clauses, ["t"], "article int, paragraph int, title string, body string, refs string")
-    return found.select("doc_id", "article", F.length("body").alias("n"))
+    found = TX.law_clauses(table(spark, d, "documents").select("doc_id", text.alias("t")), "doc_id", "t")
+    return found.select(F.col("key").alias("doc_id"), "article", F.length("body").alias("n"))
+
+
+@register("b14_journal_blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+m AS (SELECT doc_id, i, trim(CASE WHEN regexp_matches(x, '^[AEIOU]') THEN '借：' || x WHEN length(x) % 5 = 0 THEN '' ELSE x END, E' \t\n\r') AS x FROM l),
+g AS (SELECT *, regexp_matches(x, '^[借贷][：:]') AS entry, count(*) FILTER (x = '') OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m),
+f AS (SELECT *, min(i) FILTER (entry) OVER (PARTITION BY doc_id, part) AS first FROM g WHERE x <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS block, coalesce(max_by(length(x), i) FILTER (NOT entry AND i < first), 0)::INT AS title, count(*) FILTER (entry) AS lines FROM f WHERE first IS NOT NULL GROUP BY doc_id, part""")
+def b14_journal_blocks(spark, d):
+    """Blocks of the documents, lines that begin with a capital vowel taken as entries and those of a length that five divides as blank."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.when(x.rlike("^[AEIOU]"), F.concat(F.lit("借："), x)).when(F.length(x) % 5 == 0, "").otherwise(x))
+    found = TX.journal_blocks(table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("t")), "doc_id", "t")
+    return found.select(F.col("key").alias("doc_id"), "block", F.length("title").alias("title"), "lines")
