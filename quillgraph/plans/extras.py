@@ -27,7 +27,11 @@ def q18_averages(spark, d):
     return E.averages(table(spark, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority")
 
 
-@register("t11_type_subgraph")
+@register("t11_type_subgraph", """WITH @NODES, @EDGES, first AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nodes WHERE label = 'Supplier' QUALIFY k <= 100),
+both_ways AS (SELECT src AS node, 'out' AS direction, rel_type, dst AS other FROM edges UNION ALL SELECT dst, 'in', rel_type, src FROM edges),
+near AS (SELECT other FROM both_ways JOIN first ON node = id WHERE k <= 80 QUALIFY row_number() OVER (PARTITION BY node, direction ORDER BY rel_type, other) <= 10),
+others AS (SELECT DISTINCT other AS id FROM near WHERE other NOT IN (SELECT id FROM first) ORDER BY id LIMIT 200), ids AS (SELECT id FROM first UNION SELECT id FROM others)
+SELECT DISTINCT src, dst, rel_type FROM edges WHERE src <> dst AND src IN (FROM ids) AND dst IN (FROM ids)""")
 def t11_type_subgraph(spark, d):
     return E.type_subgraph(nodes(spark, d), edges(spark, d), "Supplier")
 

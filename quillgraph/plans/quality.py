@@ -78,11 +78,6 @@ def a14_overall(spark, d):
     return Q.overall(Q.structured_composite(table(spark, d, "customer"), "c_mktsegment", ["c_name"]))
 
 
-@register("a15_junk_audit")
-def a15_junk_audit(spark, d):
-    return Q.junk_audit(table(spark, d, "documents"), "source", "text")
-
-
 #: A lineage envelope over orders: label, id and the survey's columns.
 _LINEAGE = """lineage AS (SELECT o_orderstatus AS label, 'o' || (o_orderkey % 997) AS id, strftime(o_orderdate, '%Y-%m-%d') AS effective_from,
  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE '0.5' END AS confidence, CASE WHEN o_orderkey % 11 = 0 THEN ' Unknown' ELSE 'doc' || o_orderkey END AS source_doc_id, 'extractor' AS extracted_by,

@@ -92,3 +92,12 @@ def x2_junk(spark, d):
  + least(30, floor(CASE WHEN s = '' THEN 0 ELSE {_CJK} END * 40)::INT) + CASE WHEN ({_MODEL}) IN ('llm_output_markers', 'high_bullet_ratio') THEN 0 ELSE 20 END + CASE WHEN {_LINES} > 3 THEN 10 ELSE 0 END END::INT AS score FROM m""")
 def x4_content_score(spark, d):
     return _all(spark, d).select("id", X.content_score(F.col("text")).alias("score"))
+
+
+@register("a15_junk_audit", f"""WITH m AS (SELECT source, {_TRIM.format("coalesce(text, '')")} AS s FROM documents), r AS (SELECT source, {_JUNK} AS reason FROM m),
+c AS (SELECT source, count(*) AS total, count(*) FILTER (reason = 'empty_or_too_short') AS empty, count(*) FILTER (reason NOT IN ('ok', 'empty_or_too_short')) AS junk, count(*) FILTER (reason = 'ok') AS real FROM r GROUP BY source)
+SELECT *, round((empty + junk) / total, 4) AS ratio, CASE WHEN round((empty + junk) / total, 4) < 0.1 THEN 'ok' WHEN round((empty + junk) / total, 4) < 0.3 THEN 'warn' ELSE 'bad' END AS status FROM c""")
+def a15_junk_audit(spark, d):
+    from ..operators.quality import junk_audit
+
+    return junk_audit(table(spark, d, "documents"), "source", "text")
