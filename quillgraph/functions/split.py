@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -154,13 +155,18 @@ _SCRIPT = (
 )
 
 
+def line_starts(text: str) -> list[int]:
+    """Offsets at which the lines of a text begin."""
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
 def script_symbols(path: str, text: str | None) -> list[tuple[str, str, str, int, bool]]:
     """(kind, id, name, line, exported) of a JavaScript or TypeScript file."""
     text = text or ""
-    out = []
+    out, starts = [], line_starts(text)
     for kind, pattern in _SCRIPT:
         for m in pattern.finditer(text):
-            out.append((kind, f"{kind}:{path}:{m[1]}", m[1], text.count("\n", 0, m.start()) + 1, "export" in text[max(0, m.start() - 20) : m.start()]))
+            out.append((kind, f"{kind}:{path}:{m[1]}", m[1], bisect_right(starts, m.start()), "export" in text[max(0, m.start() - 20) : m.start()]))
     return sorted(out, key=lambda r: r[3])
 
 
@@ -196,15 +202,16 @@ def journal_blocks(text: str | None) -> list[tuple[int, str, int]]:
 
 
 def explode_with(df: DataFrame, fn: Callable, args: list[str], schema: str) -> DataFrame:
-    """df's columns and a row for each tuple that fn(*args) gives; schema: names and types of the tuple."""
+    """df's columns but the texts that fn reads (args), and a row for each tuple that fn(*args) gives; schema: names and types of the tuple."""
     names = [part.split()[0] for part in schema.split(",")]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    others = [f for f in df.schema.fields if f.name not in args]
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in (whole.iloc[at : at + 64] for whole in batches for at in range(0, len(whole), 64)):  # each tuple carries its row's texts
-            found = p.assign(__found=[fn(*row) for row in zip(*(p[a] for a in args))]).explode("__found").dropna(subset=["__found"])
+        for p in (whole.iloc[at : at + 64] for whole in batches for at in range(0, len(whole), 64)):
+            found = p[[f.name for f in others]].assign(__found=[fn(*row) for row in zip(*(p[a] for a in args))]).explode("__found").dropna(subset=["__found"])
             if len(found):
                 parts = pd.DataFrame(found["__found"].tolist(), columns=names, index=found.index)
                 yield pd.concat([found.drop(columns="__found"), parts], axis=1)
 
-    return df.mapInPandas(run, f"{kept}, {schema}")
+    return df.mapInPandas(run, f"{kept}{schema}")

@@ -133,7 +133,7 @@ def x21_added_lines(spark, d):
     k = F.col("o_orderkey").cast("string")
     more = F.when(F.col("o_orderkey") % 2 == 0, "+\n").otherwise("")
     diff = F.concat(F.lit("--- a/x\n+++ b/f"), k, F.lit(".py\t2024\n@@ -4,2 +4,4 @@ def\n same\n+new "), k, F.lit("\n-old\n same\n"), more)
-    return SP.explode_with(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), diff.alias("t")), SP.added_lines, ["t"], "file string, line int, added string").drop("t")
+    return SP.explode_with(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), diff.alias("t")), SP.added_lines, ["t"], "file string, line int, added string")
 
 
 @register("w9_frames", """SELECT o_orderkey, ntile(4) OVER w AS quarter, sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING) > 1e6 AS rich, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS near
