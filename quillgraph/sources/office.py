@@ -126,7 +126,7 @@ def _rows(content_rows: DataFrame, read: Callable[[bytes], Iterator[tuple]], sch
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 try:
-                    found = [(path, *x, None) for x in read(content)]
+                    found = [(path, *x, None) for x in read(content or b"")]
                 except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError, TypeError, zlib.error) as e:
                     found = [(path, *[None] * (len(names) - 2), type(e).__name__)]
                 for at in range(0, len(found), 10_000):
