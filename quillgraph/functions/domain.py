@@ -91,6 +91,7 @@ SUBJECT_WORDS = (
     ("公司战略与风险管理", "strategy"), ("公司战略", "strategy"), ("财务成本管理", "financial_management"), ("经济法", "economic_law"), ("税法", "tax_law"),
     ("审计", "audit"), ("战略", "strategy"), ("财管", "financial_management"), ("(?<!注册)会计(?!师)", "accounting"),
 )
+QUESTION_NUMBER = r"(?m)^(?:(?:第?\s*)?\d{1,3}\s*[、.．]\s*|[（(]\s*\d{1,3}\s*[）)]\s*|(?:题目|第)\s*\d{1,3}\s*(?:题|\.))"
 ANSWER = r"(?:答案\s*[:：]\s*|【答案】\s*|参考答案\s*[:：]?\s*)([A-Da-d,，、\s]+|[√×对错是否])"
 CHOICE = r"[A-D][、.．)\s]"
 EXAM_YEARS = (1997, 2025)
@@ -166,6 +167,15 @@ def question_sections(text: Column) -> Column:
     return F.when(F.size(heads) > 0, each).otherwise(whole)
 
 
+def numbered_questions(text: Column) -> Column:
+    """array<struct<number, text>>: what stands between question numbers of any form at the start of a line."""
+    text = F.coalesce(text, F.lit(""))
+    marks = F.regexp_extract_all(text, F.lit(QUESTION_NUMBER), 0)
+    bodies = F.split(text, QUESTION_NUMBER, -1)
+    own = F.slice(bodies, F.size(bodies) - F.size(marks) + 1, F.size(marks))
+    return F.zip_with(marks, own, lambda m, b: F.struct(F.regexp_extract(m, r"(\d{1,3})", 1).cast("int").alias("number"), strip(b).alias("text")))
+
+
 def exam_subject(name: Column, text: Column) -> Column:
     """Subject quoted in the name, else in the text's start, else by word in the same order, else `unknown`."""
     out = F.when(F.lit(False), F.lit(""))

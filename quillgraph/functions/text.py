@@ -220,3 +220,14 @@ def maximal_keywords(text: Column, keywords: list[str]) -> Column:
     """Keywords found in a text that are not part of another found one."""
     found = F.array_compact(F.array(*[F.when(text.contains(k), F.lit(k)) for k in keywords]))
     return F.filter(found, lambda x: ~F.exists(found, lambda y: (y != x) & y.contains(x)))
+
+
+def markdown_links(text: Column) -> Column:
+    """array<struct<label, target>> of the links of a Markdown text, images left out."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<!!)\[[^\]\n]*\]\([^)\s]+\)"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^\[([^\]]*)\]", 1).alias("label"), F.regexp_extract(x, r"\(([^)]+)\)$", 1).alias("target")))
+
+
+def topics(headings: Column, deepest: int = 2) -> Column:
+    """Different lower-case headings (struct with level and heading) down to a level, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(headings, lambda h: h["level"] <= deepest), lambda h: F.lower(h["heading"]))))

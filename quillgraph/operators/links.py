@@ -66,6 +66,16 @@ def references(units: DataFrame, titles: DataFrame, refs: Column, cut: int = 15,
     return r.join(first, "part").select("id", "ref", "target")
 
 
+def title_lookup(refs: DataFrame, titles: DataFrame, prefix: str, least: int = 4) -> DataFrame:
+    """Id, ref, target, form: each reference (id, ref) against an index of titles (target, title): by the whole title, else by
+    titles without `prefix`. Titles of under `least` characters are not indexed; of several targets the least counts."""
+    whole = titles.select("target", F.col("title").alias("name"), F.lit(0).alias("form"))
+    short = whole.select("target", F.replace("name", F.lit(prefix), F.lit("")).alias("name"), F.lit(1).alias("form"))
+    index = whole.union(short).filter(F.length("name") >= least).groupBy("name").agg(F.min(F.struct("form", "target")).alias("t"))
+    found = refs.select("id", "ref").join(index, F.col("ref") == F.col("name"))
+    return found.select("id", "ref", F.col("t.target").alias("target"), F.when(F.col("t.form") == 0, "title").otherwise("short").alias("form"))
+
+
 def resolve_names(calls: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame:
     """Src, name, dst, confidence: a call's name against symbols (node_id, name, seq), at most `most` in order;
     without any, an external node."""

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.split import explode_with
+
 _TABLE = re.compile(r"CREATE\s+(NODE|REL)\s+TABLE(?:\s+GROUP)?(?:\s+IF\s+NOT\s+EXISTS)?\s+(?!IF\b)([A-Za-z_]\w*)\s*\(", re.I)
 _FROM_TO = re.compile(r"FROM\s+(\w+)\s+TO\s+(\w+)", re.I)
 _WRITES = r"(?i)\b(CREATE|DELETE|DETACH|SET|MERGE|DROP|ALTER|INSERT|UPDATE|TRUNCATE|COPY|REMOVE|REPLACE|LOAD)\b"
@@ -39,6 +41,15 @@ def ddl_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, line int, columns array<string>")
 
 
+def ddl_file_tables(files: DataFrame) -> DataFrame:
+    """Path, kind, name, line, columns of the tables in schema files (path, text), each parsed by the task that reads it."""
+    return explode_with(files, parse_ddl_rows, ["text"], "kind string, name string, line int, columns array<string>")
+
+
+def parse_ddl_rows(text: str | None) -> list[tuple[str, str, int, list[str]]]:
+    return [t[:4] for t in parse_ddl(text or "")]
+
+
 def column_diff(declared: DataFrame, live: DataFrame) -> DataFrame:
     """Name, declared_only, live_only, matched (sorted) for tables that both have."""
     both = declared.select("name", F.col("columns").alias("d")).join(live.select("name", F.col("columns").alias("l")), "name")

@@ -42,5 +42,5 @@ def register(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-for _module in ("graph", "search", "quality", "text", "links", "ingest", "extras", "domain", "rules", "small", "files"):
+for _module in ("graph", "search", "quality", "text", "links", "ingest", "extras", "domain", "rules", "small", "files", "catalogue"):
     importlib.import_module(f"quillgraph.plans.{_module}")
