@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import domain as D
 from ..operators import ingest as I
 from ..sources.views import nodes, table
-from .registry import register
+from .registry import SQL, register
 
 LAWS = (
     "根据国发〔2020〕5号和财税[2019]13号，增值税税率为13%，自2021年3月1日起施行。第三条废止，第12条修订。",
@@ -30,9 +32,16 @@ def _sql(texts, name: str = "t") -> str:
     return f"""{name} AS (SELECT o_orderkey AS id, list_extract([{_quoted(texts)}], (o_orderkey % {len(texts)} + 1)::INT) || ' ' || (o_orderkey % 11) AS text FROM orders)"""
 
 
-def _texts(spark, d, texts):
-    k = F.col("o_orderkey")
+def _whole_sql(texts, name: str = "t") -> str:
+    """Every document's whole text, with one of the texts as its last line."""
+    return f"""{name} AS (SELECT doc_id AS id, text || chr(10) || list_extract([{_quoted(texts)}], (doc_id % {len(texts)} + 1)::INT) AS text FROM documents)"""
+
+
+def _texts(spark, d, texts, whole=False):
+    k = F.col("doc_id" if whole else "o_orderkey")
     picked = F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int"))
+    if whole:
+        return table(spark, d, "documents").select(k.alias("id"), F.concat("text", F.lit("\n"), picked).alias("text"))
     return table(spark, d, "orders").select(k.alias("id"), F.concat(picked, F.lit(" "), (k % 11).cast("string")).alias("text"))
 
 
@@ -48,8 +57,8 @@ _CAT = lambda lists: f"flatten([{lists}])"
 @register("x5_entities", f"""WITH {_sql(LAWS)} SELECT id, {_CAT(_NUMBERS)} AS regulations, list_filter({_CAT(_DATES)}, lambda x: x IS NOT NULL) AS dates,
  list_sort(list_distinct(list_transform({_CAT(_RATES)}, lambda x: x::DOUBLE))) AS rates, list_sort(list_distinct({_CAT(_CLAUSES)})) AS clauses,
  {_FLAGS(D.TAX_TYPES)} AS tax_types, {_FLAGS(D.TAXPAYERS)} AS taxpayers, {_FLAGS(D.INCENTIVES)} AS incentives, regexp_extract_all(text, '{D.AMENDMENTS}') AS amendments FROM t""")
-def x5_entities(spark, d):
-    e = _texts(spark, d, LAWS).select("id", D.entities(F.col("text")).alias("e"))
+def x5_entities(spark, d, whole=False):
+    e = _texts(spark, d, LAWS, whole).select("id", D.entities(F.col("text")).alias("e"))
     numbers = F.transform("e.regulations", lambda r: F.concat_ws("|", r["number"], r["authority"], r["hierarchy"].cast("string")))
     return e.select("id", numbers.alias("regulations"), "e.dates", "e.rates", "e.clauses", "e.tax_types", "e.taxpayers", "e.incentives", "e.amendments")
 
@@ -90,10 +99,10 @@ def b4_parent_laws(spark, d):
 @register("b3_law_references", rf"""WITH {_sql(TITLES)}, r AS (SELECT id, unnest(list_distinct(list_slice(regexp_extract_all(text, '{D.LAW_REFERENCE}', 1), 1, 5))) AS ref FROM t),
 laws(lid, title) AS (VALUES (1, '中华人民共和国税收征收管理法'), (2, '中华人民共和国税收征收管理法实施细则'), (3, '企业会计准则'), (4, '会计准则'))
 SELECT id, ref, min(lid) AS target FROM r JOIN laws ON contains(title, ref) OR ends_with(title, ref) GROUP BY 1, 2""")
-def b3_law_references(spark, d):
+def b3_law_references(spark, d, whole=False):
     """The first law whose title holds a quoted name; names are few and distinct before they meet titles."""
     laws = spark.sql("SELECT * FROM VALUES (1, '中华人民共和国税收征收管理法'), (2, '中华人民共和国税收征收管理法实施细则'), (3, '企业会计准则'), (4, '会计准则') AS l(lid, title)")
-    refs = _texts(spark, d, TITLES).select("id", F.explode(D.law_references(F.col("text"))).alias("ref"))
+    refs = _texts(spark, d, TITLES, whole).select("id", F.explode(D.law_references(F.col("text"))).alias("ref"))
     found = refs.select("ref").distinct().join(F.broadcast(laws), F.col("title").contains(F.col("ref"))).groupBy("ref").agg(F.min("lid").alias("target"))
     return refs.join(found, "ref")
 
@@ -102,9 +111,9 @@ CASES = ("税务稽查通知|内容", "plain|虚开发票", "x|y", "失信|罚
 
 
 @register("b12_signals", f"WITH {_sql(CASES)} SELECT id FROM t WHERE len(list_filter([{_quoted(D.ENFORCEMENT)}], lambda w: contains(text, w))) > 0")
-def b12_signals(spark, d):
+def b12_signals(spark, d, whole=False):
     part = lambda i: F.split_part("text", F.lit("|"), F.lit(i))
-    return _texts(spark, d, CASES).filter(D.has_signal(part(1), part(2))).select("id")
+    return _texts(spark, d, CASES, whole).filter(D.has_signal(part(1), part(2))).select("id")
 
 
 EXAMS = (
@@ -119,8 +128,8 @@ _KIND = "CASE " + " ".join(f"WHEN {' AND '.join(f'''contains(h, '{w}')''' for w
 @register("b15_question_sections", rf"""WITH {_sql(EXAMS)}, s AS (SELECT id, text, regexp_extract_all(text, '{D.QUESTION_HEADING}') AS heads, regexp_split_to_array(text, '{D.QUESTION_HEADING.replace("((?:一", "(?:(?:一")}') AS bodies FROM t),
 e AS (SELECT id, i AS idx, heads[i] AS h, trim(bodies[i + 1], E' \t\n\r') AS body FROM (SELECT *, unnest(range(1, len(heads) + 1)) AS i FROM s WHERE len(heads) > 0))
 SELECT id, (idx - 1)::INT AS idx, trim(h) AS heading, {_KIND} AS kind, length(body) AS n FROM e UNION ALL SELECT id, 0, NULL, 'unknown', length(text) FROM s WHERE len(heads) = 0""")
-def b15_question_sections(spark, d):
-    found = _texts(spark, d, EXAMS).select("id", F.posexplode(D.question_sections(F.col("text"))).alias("idx", "s"))
+def b15_question_sections(spark, d, whole=False):
+    found = _texts(spark, d, EXAMS, whole).select("id", F.posexplode(D.question_sections(F.col("text"))).alias("idx", "s"))
     return found.select("id", "idx", "s.heading", "s.kind", F.length("s.text").cast("long").alias("n"))
 
 
@@ -141,8 +150,8 @@ def b21_exams(spark, d):
 @register("b21_choice_questions", rf"""WITH {_sql(EXAMS)}, p AS (SELECT id, trim(unnest(string_split(regexp_replace(text, '\n(\s*[0-9]{{1,3}}\s*[、.．])', chr(1) || '\1', 'g'), chr(1))), E' \t\n\r') AS part FROM t),
 k AS (SELECT * FROM p WHERE length(part) >= 15 AND (regexp_matches(part, '{D.CHOICE}') OR length(part) > 20))
 SELECT id, try_cast(regexp_extract(part, '^([0-9]{{1,3}})\s*[、.．]', 1) AS INT) AS number, trim(regexp_replace(part, '(?s){D.ANSWER}.*', ''), E' \t\n\r') AS question, CASE WHEN regexp_matches(part, '{D.ANSWER}') THEN trim(regexp_extract(part, '{D.ANSWER}', 1), E' \t\n\r') END AS answer, regexp_matches(part, '{D.CHOICE}') AS has_choices FROM k""")
-def b21_choice_questions(spark, d):
-    return _texts(spark, d, EXAMS).select("id", F.explode(D.choice_questions(F.col("text"))).alias("q")).select("id", "q.*")
+def b21_choice_questions(spark, d, whole=False):
+    return _texts(spark, d, EXAMS, whole).select("id", F.explode(D.choice_questions(F.col("text"))).alias("q")).select("id", "q.*")
 
 
 SECTIONS = ("1.17 发票管理|按《发票管理办法》和《发票管理办法》执行\n财税〔2019〕1号 财税[2019]2号\n《税法》", "3.2 常见问题|无", "无编号|存在异常", "4 x|国发（2018）3号")
@@ -189,8 +198,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id, article ORDER BY i) - 1 AS d
 r AS (SELECT *, regexp_extract_all(body, '(?:依照|按照|参照|依据|根据|适用|违反)(?:本法|本条例|本规定|本办法)?第{_NUM}条(?:第{_NUM}款)?(?:第{_NUM}项)?') AS found FROM k)
 SELECT id, article::INT AS article, 'CL_' || id || '_art' || article || CASE WHEN dup > 0 THEN '_dup' || dup ELSE '' END AS clause_id, regexp_extract(body, '^[【\[]([^】\]]+)[】\]]', 1) AS title,
  array_to_string(list_transform(found, lambda x: 'art' || ({_N})[regexp_extract(x, '第({_NUM})条', 1)] || CASE WHEN contains(x, '款') THEN '_para' || ({_N})[regexp_extract(x, '第({_NUM})款', 1)] ELSE '' END || CASE WHEN contains(x, '项') THEN '_item' || ({_N})[regexp_extract(x, '第({_NUM})项', 1)] ELSE '' END), ';') AS refs FROM r""")
-def x8_articles(spark, d):
-    each = _texts(spark, d, STATUTES).select("id", F.explode(D.articles(F.col("text"))).alias("a")).select("id", "a.*")
+def x8_articles(spark, d, whole=False):
+    each = _texts(spark, d, STATUTES, whole).select("id", F.explode(D.articles(F.col("text"))).alias("a")).select("id", "a.*")
     dup = F.row_number().over(Window.partitionBy("id", "article").orderBy("seq")) - 1
     key = F.concat(F.lit("CL_"), F.col("id").cast("string"), F.lit("_art"), F.col("article").cast("string"), F.when(dup > 0, F.concat(F.lit("_dup"), dup.cast("string"))).otherwise(""))
     return each.select("id", "article", key.alias("clause_id"), F.regexp_extract("body", r"^[【\[]([^】\]]+)[】\]]", 1).alias("title"), D.article_references(F.col("body")).alias("refs"))
@@ -222,3 +231,9 @@ def k8_reset_label(spark, d):
     """A label emptied and created anew with its declared columns."""
     fresh = I.reset_label(spark, "id string, title string, fullText string, createdAt string")
     return fresh.agg(F.count("*").alias("rows")).select(F.lit("Region").alias("label"), "rows")
+
+
+# the rules again, over the whole texts of all documents
+for _rule, _lines in ((x5_entities, LAWS), (b3_law_references, TITLES), (b15_question_sections, EXAMS), (x8_articles, STATUTES)):
+    register(f"{_rule.__name__}_whole", SQL[_rule.__name__].replace(_sql(_lines), _whole_sql(_lines)))(partial(_rule, whole=True))
+register("b12_signals_whole", SQL["b12_signals"].replace(_sql(CASES), _whole_sql(CASES)).replace("contains(text, w)", "contains(split_part(text, '|', 1) || chr(10) || split_part(text, '|', 2), w)"))(partial(b12_signals, whole=True))

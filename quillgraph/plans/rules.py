@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.views import table
-from .domain import _quoted, _sql, _texts
-from .registry import register
+from .domain import _quoted, _sql, _texts, _whole_sql
+from .registry import SQL, register
 
 _YEAR = "([0-9]{4})年"
 NUMBERS = ("国发〔2020〕1号", "财税〔2019〕2号", "税总发〔2018〕3号", "国家公告2017年第4号", "海关总署令第5号", "other", "财税公告", "")
@@ -15,8 +17,8 @@ _LEVEL = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN {n}" for w, n in X
 
 
 @register("e11_hierarchy", f"WITH {_sql(NUMBERS)} SELECT id, {_LEVEL} AS level FROM t")
-def e11_hierarchy(spark, d):
-    return _texts(spark, d, NUMBERS).select("id", X.hierarchy_level(F.col("text")).alias("level"))
+def e11_hierarchy(spark, d, whole=False):
+    return _texts(spark, d, NUMBERS, whole).select("id", X.hierarchy_level(F.col("text")).alias("level"))
 
 
 NUMERALS = ("十", "十二", "二十", "二十一", "一百零三", "一百一十", "三百二十五", "一千零一", "九千九百九十九", "一x", "7", "0042", "零", "百", "")
@@ -36,14 +38,14 @@ TITLES = ("关于2019年第3号  通知", "国家税务总局2021年公告", "
 
 @register("e14_title_year", f"""WITH {_sql(TITLES)}, n AS (SELECT *, CASE id % 3 WHEN 0 THEN '2011-05-06' WHEN 1 THEN '于2012年' END AS day FROM t)
 SELECT id, coalesce(nullif(regexp_extract(text, '{_YEAR}', 1), ''), nullif(regexp_extract(day, '{_YEAR}', 1), ''), nullif(regexp_extract(day, '^([0-9]{{4}})', 1), ''), '0')::INT AS y FROM n""")
-def e14_title_year(spark, d):
+def e14_title_year(spark, d, whole=False):
     day = F.when(F.col("id") % 3 == 0, "2011-05-06").when(F.col("id") % 3 == 1, "于2012年")
-    return _texts(spark, d, TITLES).select("id", X.title_year(F.col("text"), day).alias("y"))
+    return _texts(spark, d, TITLES, whole).select("id", X.title_year(F.col("text"), day).alias("y"))
 
 
 @register("e15_base_title", rf"WITH {_sql(TITLES)} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]{{4}}年', '', 'g'), '第[0-9]+号', '', 'g'), '\s+', ' ', 'g')) AS base FROM t")
-def e15_base_title(spark, d):
-    return _texts(spark, d, TITLES).select("id", X.base_title(F.col("text")).alias("base"))
+def e15_base_title(spark, d, whole=False):
+    return _texts(spark, d, TITLES, whole).select("id", X.base_title(F.col("text")).alias("base"))
 
 
 _EDGE = r"[^0-9A-Za-z_\x{4e00}-\x{9fff}]"
@@ -53,8 +55,8 @@ _EDGE = r"[^0-9A-Za-z_\x{4e00}-\x{9fff}]"
  regexp_extract(text, '{_YEAR}', 1) AS y, regexp_extract(text, '(?:^|{_EDGE})(20[0-2][0-9])(?:$|{_EDGE})', 1) AS b FROM t)
 SELECT id, CASE WHEN f.y <> '' THEN f.y || '-' || lpad(f.m, 2, '0') || '-' || lpad(f.d, 2, '0') WHEN m.y <> '' AND try_cast(m.y AS INT) BETWEEN 2000 AND 2030 THEN m.y || '-' || lpad(m.m, 2, '0') || '-01'
  WHEN y <> '' AND try_cast(y AS INT) BETWEEN 2000 AND 2030 THEN y || '-01-01' WHEN b <> '' THEN b || '-01-01' END AS date FROM n""")
-def e16_title_date(spark, d):
-    return _texts(spark, d, TITLES).select("id", X.title_date(F.col("text")).alias("date"))
+def e16_title_date(spark, d, whole=False):
+    return _texts(spark, d, TITLES, whole).select("id", X.title_date(F.col("text")).alias("date"))
 
 
 PAGES = (
@@ -101,3 +103,8 @@ def a15_junk_audit(spark, d):
     from ..operators.quality import junk_audit
 
     return junk_audit(table(spark, d, "documents"), "source", "text")
+
+
+# the rules again, over the whole texts of all documents
+for _rule, _lines in ((e11_hierarchy, NUMBERS), (e14_title_year, TITLES), (e15_base_title, TITLES), (e16_title_date, TITLES)):
+    register(f"{_rule.__name__}_whole", SQL[_rule.__name__].replace(_sql(_lines), _whole_sql(_lines)))(partial(_rule, whole=True))
