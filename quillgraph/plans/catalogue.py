@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import domain as D
+from ..functions import split as SP
 from ..functions import text as X
 from ..operators import evaluate as E
 from ..operators import ingest as I
@@ -142,3 +143,56 @@ def s17_vectors_whole(spark, d):
     ids = table(spark, d, "orders").select(F.col("o_custkey").alias("vec_id")).distinct()
     weighed = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return table(spark, d, "embeddings").join(ids, "vec_id", "left_semi").select("vec_id", F.round(weighed, 4).alias("weighed"))
+
+
+@register("j11_section_edges", "WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) SELECT doc_id || '_section_' || i AS src, doc_id::VARCHAR AS dst, 'PART_OF' AS rel_type FROM l")
+def j11_section_edges(spark, d):
+    """Sections of the documents, a line each, linked with what stands before `_section_` in their ids."""
+    line = F.posexplode(F.split("text", "\n", -1)).alias("i", "line")
+    sections = table(spark, d, "documents").select("doc_id", line).select(F.concat(F.col("doc_id").cast("string"), F.lit("_section_"), (F.col("i") + 1).cast("string")).alias("id"))
+    return L.key_edges(sections, F.col("id"), F.split_part("id", F.lit("_section_"), F.lit(1)), "PART_OF")
+
+
+@register("j18_heritage", """WITH s AS (SELECT p_brand AS name, 'Class:' || p_partkey AS dst, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, 'Class:' || p_partkey) AS k FROM part WHERE p_size % 2 = 0),
+c AS (SELECT 'Class:c' || c_custkey AS src, CASE WHEN c_custkey % 4 = 0 THEN 'Outer' ELSE 'Brand#' || (c_nationkey % 5 + 1) || (c_custkey % 5 + 1) END AS name FROM customer)
+SELECT DISTINCT src, name, coalesce(dst, 'external:' || name) AS dst, CASE WHEN n = 1 THEN 0.95 WHEN dst IS NOT NULL THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence FROM c LEFT JOIN (SELECT * FROM s WHERE k <= 2) USING (name)""")
+def j18_heritage(spark, d):
+    """Bases of classes against at most two classes of their name, else an external one."""
+    classes = table(spark, d, "part").filter("p_size % 2 = 0").select(F.concat(F.lit("Class:"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("seq"))
+    k = F.col("c_custkey")
+    brand = F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 5 + 1).cast("string"), (k % 5 + 1).cast("string"))
+    bases = table(spark, d, "customer").select(F.concat(F.lit("Class:c"), k.cast("string")).alias("src"), F.when(k % 4 == 0, "Outer").otherwise(brand).alias("name"), F.lit(0.9).alias("confidence"))
+    return L.resolve_names(bases, classes, most=2)
+
+
+def _kept_lines(spark, d):
+    """doc_id, lines that hold something, without white space around them."""
+    bare = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return table(spark, d, "documents").select("doc_id", F.filter(bare, lambda x: x != "").alias("l"))
+
+
+_KEPT = r"""l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id) AS of, sum(length(x)) OVER (PARTITION BY doc_id) AS chars FROM l WHERE x <> '')"""
+
+
+@register("x7_numbered_sections", f"WITH {_KEPT} SELECT doc_id, n::INT AS article, least(length(x), 5000)::INT AS size FROM k WHERE of >= 3 AND n <= 200 AND length(x) >= 30")
+def x7_numbered_sections(spark, d):
+    """Numbered sections of texts without articles, a line each."""
+    text = F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit("、 "), x)), "\n")
+    found = SP.explode_with(_kept_lines(spark, d).select("doc_id", text.alias("t")), SP.split_clauses, ["t"], "article int, paragraph int, title string, body string, refs string")
+    return found.select("doc_id", "article", F.length("body").alias("size"))
+
+
+@register("x9_clause_parts", f"""WITH {_KEPT}, p AS (SELECT *, count(*) FILTER (length(x) >= 20) OVER (PARTITION BY doc_id) AS long FROM k)
+SELECT doc_id, CASE WHEN n = 1 THEN '' ELSE '（一）' END AS number, length(x)::INT AS size, count(*) AS parts FROM p WHERE length(x) >= 20 AND long >= 2 AND chars + 3 * (of - 1) >= 100 GROUP BY ALL""")
+def x9_clause_parts(spark, d):
+    """Parts of clauses between marks, a line each."""
+    found = SP.explode_with(_kept_lines(spark, d).select("doc_id", F.array_join("l", "（一）").alias("t")), SP.split_parts, ["t"], "number string, body string")
+    return found.groupBy("doc_id", "number", F.length("body").alias("size")).agg(F.count("*").alias("parts"))
+
+
+@register("x13_subject_cells", "SELECT p_partkey, p_brand || '费用' AS token, 'additive+alternative' AS kind FROM part UNION ALL SELECT p_partkey, 'C' || p_size || '费用', 'additive+alternative' FROM part UNION ALL SELECT p_partkey, replace(p_name, ' ', ''), 'additive' FROM part")
+def x13_subject_cells(spark, d):
+    """Cells in which two alternatives share a suffix and a third subject is added."""
+    cell = F.concat("p_brand", F.lit("/C"), F.col("p_size").cast("string"), F.lit("费用 (x) + as_"), "p_name")
+    return SP.explode_with(table(spark, d, "part").select("p_partkey", cell.alias("c")), SP.subjects, ["c"], "token string, kind string")
