@@ -9,7 +9,7 @@ codes, and ranks the best again by whole vectors. The three calls share only the
 
 Codes and vectors are columns of their own, so the first ranking reads a few bytes a row, and the second one only
 rows that are wanted. Lists are written by ranges of (list, hash of the id), so a list of any size spreads over files and tasks.
-Search joins queries and rows list by list in salted groups: a task holds a slice of a list and the queries that visit it.
+Search joins queries and rows in groups of bounded size: a task holds a slice of some lists and a block of the queries that visit them.
 
 Metric: cosine distance, as Euclidean distance of vectors of length one. Vectors that are null, zero, of another length than most of the
 sample, or hold nulls or non-finite numbers are not indexed and find nothing; null ids are not indexed. An id that is
@@ -27,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that centres and codebooks are fitted on, at most; codes of a part; rows of a list that a task of a search holds, about.
+#: Rows that centres and codebooks are fitted on, at most; codes of a part; rows that a task of a search holds, about.
 SAMPLE, CODES, SLICE = 20_000, 256, 20_000
+#: Queries of a block, rows that a task returns, and distances that it holds at once, about.
+QUERIES, FOUND, PRODUCT = 8192, 1 << 20, 1 << 22
+#: Decimals to which distances count.
+PLACES = 9
 #: Lists, at most (a centre each in the model and 40 sample rows for each).
 LISTS = 512
 
@@ -147,71 +151,122 @@ def rows_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("batch string, id long, codes binary, vector array<float>, list int").parquet(f"{path}/lists")
 
 
-def visits(model: Model, queries: DataFrame, probes: int, key: str = "query_id", vector: str = "vector") -> DataFrame:
-    """query_id, list, place (0: the nearest), v (the unit vector) of the lists that each query visits."""
+def _routed(model: Model, queries: DataFrame, probes: int, key: str, vector: str) -> DataFrame:
+    """query_id, v (the unit vector), lists (the nearest first): the lists that each query visits, a row a query."""
     usable = queries.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), _usable(F.col(vector)).alias("v")).filter(F.size("v") == model.dim)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda x, kind: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel(), kind))
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 some = b.slice(at, 1024)
                 x = _units(some.column("v"))
                 far = (model.centres**2).sum(1)[None] - 2 * x @ model.centres.T
                 near = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                who = np.repeat(np.arange(len(x)), near.shape[1])
-                units = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([some.column("query_id").take(pa.array(who)), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1]), len(x)).astype(np.int32)), units.take(pa.array(who))], names=["query_id", "list", "place", "v"])
+                yield pa.RecordBatch.from_arrays([some.column("query_id"), lists(x, pa.float64()), lists(near, pa.int32())], names=["query_id", "v", "lists"])
 
-    return usable.mapInArrow(routed, "query_id long, list int, place int, v array<double>")
+    return usable.mapInArrow(routed, "query_id long, v array<double>, lists array<int>")
 
 
-def _ranked(model: Model, keep: int):
-    """The nearest rows by codes of a slice of a list, for each query that visits it."""
-    parts, _, width = model.books.shape
+def visits(model: Model, queries: DataFrame, probes: int, key: str = "query_id", vector: str = "vector") -> DataFrame:
+    """query_id, list, place (0: the nearest), v (the unit vector) of the lists that each query visits."""
+    return _routed(model, queries, probes, key, vector).select("query_id", F.posexplode("lists").alias("place", "list"), "v").select("query_id", "list", "place", "v")
+
 
-    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "list": [], "id": [], "batch": [], "near": []}
-        if len(rows) and len(asked):
-            at = int(rows["list"].iloc[0])
-            codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), parts)
-            ids, batches = rows["id"].to_numpy(), rows["batch"].to_numpy()
-            for query, v in zip(asked["query_id"], asked["v"]):
-                left = np.pad(np.asarray(v) - model.centres[at], (0, parts * width - model.dim)).reshape(parts, 1, width)
-                table = ((model.books - left) ** 2).sum(2)  # part, code: distance of the query's part from the code
-                near = table[np.arange(parts)[None], codes].sum(1)
-                few = np.argpartition(near, keep - 1)[:keep] if len(near) > keep else np.arange(len(near))
-                found["query_id"] += [query] * len(few)
-                found["list"] += [at] * len(few)
-                found["id"] += ids[few].tolist()
-                found["batch"] += batches[few].tolist()
-                found["near"] += near[few].tolist()
-        return pd.DataFrame(found)
+def _by_codes(model: Model, rows: pa.Table, asked: pa.Table) -> Iterator[np.ndarray]:
+    """For each query the distances of all rows by codes, infinite in lists that it does not visit. rows: in the order of lists."""
+    parts, _, width = model.books.shape
+    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, parts)
+    at = rows.column("list").to_numpy()
+    for v, lists in zip(asked.column("v").to_pylist(), asked.column("lists").to_pylist()):
+        far = np.full(rows.num_rows, np.inf)
+        for number in lists:
+            i, j = np.searchsorted(at, [number, number + 1])
+            left = np.pad(np.asarray(v) - model.centres[number], (0, parts * width - model.dim)).reshape(parts, 1, width)
+            table = ((model.books - left) ** 2).sum(2)  # part, code: distance of the query's part from the code
+            far[i:j] = table[np.arange(parts)[None], codes[i:j]].sum(1)
+        yield far
+
+
+def _by_vectors(model: Model, rows: pa.Table, asked: pa.Table) -> Iterator[np.ndarray]:
+    """As _by_codes, by the cosine distance of whole vectors; a block of queries is one matrix product."""
+    x = _units(rows.column("vector").combine_chunks().cast(pa.list_(pa.float64())))
+    at, step = rows.column("list").to_numpy(), max(1, PRODUCT // rows.num_rows)
+    for i in range(0, asked.num_rows, step):
+        some = asked.slice(i, step)
+        for far, lists in zip(1 - np.array(some.column("v").to_pylist()) @ x.T, some.column("lists").to_pylist()):
+            seen = np.zeros(len(model.centres), bool)
+            seen[lists] = True
+            yield np.where(seen[at], far, np.inf)
+
+
+def _ranked(model: Model, keep: int, whole: bool):
+    """The `keep` nearest rows of a slice of a cell, for each of a block of queries; ties to the smaller id, also where they are cut."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        who, which, how = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if rows.num_rows and asked.num_rows:
+            rows = rows.sort_by([("list", "ascending"), ("batch", "ascending")])
+            ids = rows.column("id").to_numpy()
+            for query, far in zip(asked.column("query_id").to_pylist(), (_by_vectors if whole else _by_codes)(model, rows, asked)):
+                order = np.round(far, PLACES)
+                most = np.partition(order, keep - 1)[keep - 1] if len(order) > keep else np.inf
+                few = np.flatnonzero((order <= most) & np.isfinite(order))
+                few = few[np.lexsort((ids[few], order[few]))[:keep]]
+                who.append(np.full(len(few), query)), which.append(few), how.append(far[few])
+        at = pa.array(np.concatenate(which))
+        picked = [rows.column(c).take(at) for c in ("list", "id", "batch")]
+        return pa.table([pa.array(np.concatenate(who)), *picked, pa.array(np.concatenate(how))], names=["query_id", "list", "id", "batch", "near"])
 
     return run
 
 
-def search(queries: DataFrame, path: str, k: int = 10, probes: int = 8, rerank: int = 10, key: str = "query_id", vector: str = "vector") -> DataFrame:
-    """query_id, rank (from 1), id, batch, distance: the k nearest rows found for each query (query_id, vector), ties to the smaller id.
+def _nearest_rows(model: Model, index: DataFrame, asked: DataFrame, keep: int, whole: bool) -> DataFrame:
+    """query_id, list, id, batch, near of at least the `keep` nearest rows of each query's lists.
+
+    Lists are packed into cells of about SLICE rows and larger ones cut, queries dealt into blocks, so that a task holds a slice of a
+    cell and a block of the queries that visit it, whatever the numbers of rows, lists and queries; it returns `keep` rows a query."""
+    spark = asked.sparkSession
+    counts = index.groupBy("list").count().orderBy("list").collect()  # a row a list
+    cells, cell, filled = {}, 0, 0
+    for number, n in counts:
+        if filled and filled + n > SLICE:
+            cell, filled = cell + 1, 0
+        cells[number], filled = (cell, -(-n // SLICE)), filled + n
+    at = spark.createDataFrame([(number, *x) for number, x in cells.items()], "list int, cell int, slices int")
+    blocks = -(-asked.count() // max(1, min(QUERIES, FOUND // keep))) or 1
+    own = F.struct(*[F.lit([cells.get(i, (-1, 0))[k] for i in range(len(model.centres))]).cast("array<int>").alias(c) for k, c in enumerate(("cell", "slices"))])
+    dealt = index.select("list", "id", "batch", "vector" if whole else "codes").join(F.broadcast(at), "list")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("slices")
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("own", own)
+    of = lambda c, x: F.element_at(f"own.{c}", x + 1)
+    sent = sent.withColumn("cell", F.explode(F.array_distinct(F.transform("lists", lambda x: of("cell", x))))).filter("cell >= 0").withColumn("lists", F.filter("lists", lambda x: of("cell", x) == F.col("cell")))
+    sent = sent.withColumn("slice", F.explode(F.sequence(F.lit(0), F.array_max(F.transform("lists", lambda x: of("slices", x))) - 1))).drop("own")
+    group = ("cell", "slice", "block")
+    return dealt.groupBy(*group).cogroup(sent.groupBy(*group)).applyInArrow(_ranked(model, keep, whole), "query_id long, list int, id long, batch string, near double")
+
+
+def search(queries: DataFrame, path: str, k: int = 10, probes: int = 8, rerank: int | None = 10, key: str = "query_id", vector: str = "vector") -> DataFrame:
+    """query_id, rank (from 1), id, batch, distance: the k nearest rows found for each query (query_id, vector).
 
     Only lists that some query visits are read. Of the rows there, rerank * k a query go on by their codes, and the distance
-    is the cosine distance of the whole vectors."""
+    is the cosine distance of the whole vectors. Without `rerank` all rows of the lists are ranked by their whole vectors, which is exact
+    where all lists are visited. Distances equal to nine decimals are ties and go to the smaller id."""
     spark = queries.sparkSession
     model, index = load(spark, path), rows_of(spark, path)
-    asked = visits(model, queries, probes, key, vector)
-    wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # numbers of lists, LISTS at most unless asked for
+    asked = _routed(model, queries, probes, key, vector)
+    wanted = [r["list"] for r in asked.select(F.explode("lists").alias("list")).distinct().collect()]  # numbers of lists, LISTS at most unless asked for
     read = index.filter(F.col("list").isin(wanted))
-    sizes = read.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))  # a row a list
-    sliced = read.select("list", "id", "batch", "codes").join(F.broadcast(sizes), "list").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).drop("slices")
-    sent = asked.drop("place").join(F.broadcast(sizes), "list").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    near = sliced.groupBy("list", "slice").cogroup(sent.groupBy("list", "slice")).applyInPandas(_ranked(model, rerank * k), "query_id long, list int, id long, batch string, near double")
-    few = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id", "batch"))).filter(F.col("n") <= rerank * k).select("query_id", "list", "id", "batch").distinct()  # rows of one id come back from the list
-    own = asked.filter("place = 0").select("query_id", "v")
-    exact = few.join(read.select("list", "id", "batch", "vector"), ["list", "id", "batch"]).join(own, "query_id")
-    double = F.transform("vector", lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    distance = 1 - dot(double, F.col("v")) / F.sqrt(dot(double, double))  # v has length one
-    ranked = exact.select("query_id", "id", "batch", distance.alias("distance"))
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id", "batch"))).filter(F.col("rank") <= k).select("query_id", "rank", "id", "batch", "distance")
+    first = lambda df, by, n: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(by, "id", "batch"))).filter(F.col("rank") <= n)
+    if rerank is None:
+        ranked = _nearest_rows(model, read, asked, k, True).withColumnRenamed("near", "distance")
+    else:
+        few = first(_nearest_rows(model, read, asked, rerank * k, False), F.col("near"), rerank * k).select("query_id", "list", "id", "batch").distinct()  # rows of one id come back from the list
+        exact = few.join(read.select("list", "id", "batch", "vector"), ["list", "id", "batch"]).join(asked.select("query_id", "v"), "query_id")
+        double = F.transform("vector", lambda x: x.cast("double"))
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+        ranked = exact.withColumn("distance", 1 - dot(double, F.col("v")) / F.sqrt(dot(double, double)))  # v has length one
+    return first(ranked, F.round("distance", PLACES), k).select("query_id", "rank", "id", "batch", "distance")
 
 
 def share_read(queries: DataFrame, path: str, probes: int = 8, key: str = "query_id", vector: str = "vector") -> DataFrame:

@@ -1,9 +1,13 @@
 """The vector index against exact search, over builds, appends and odd vectors."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from quillgraph.operators import vector_index as V
+from quillgraph.plans.registry import QUERIES, SQL
+
+from . import oracle
 
 
 def clustered(n, dim=32, centres=40, seed=0):
@@ -89,3 +93,36 @@ def test_a_list_with_all_rows_is_cut_into_slices(spark, tmp_path, monkeypatch):
     got = V.search(asked, path, k=4, probes=1, rerank=150).toPandas().sort_values("rank").groupby("query_id")["id"].apply(list)
     y = x.astype(np.float32).astype(float)
     assert [got[i] for i in range(5)] == exact(y, y[:5], 4)
+
+
+def test_query_ranks_copies_and_near_ties_as_its_sql(spark, tmp_path):
+    """More copies than are ranked again by codes, and distances that differ beyond the ninth decimal only."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[300:1200] = x[100]  # 900 copies of a query
+    x[200] = np.eye(16)[0]
+    for k in range(20):  # the smaller the id, the farther, by less than 1e-9
+        x[1201 + k] = np.eye(16)[0] + np.eye(16)[1] * 1e-6 * (20 - k)
+    folder = str(tmp_path)
+    frame(spark, x).write.parquet(f"{folder}/embeddings.parquet")
+    got = QUERIES["k12_index_search"](spark, folder)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    cursor = duck.execute(SQL["k12_index_search"])
+    assert oracle.rows(got.columns, got.collect()) == oracle.rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_groups_of_a_search_are_bounded(spark, tmp_path, monkeypatch):
+    """Cells of several lists, cut lists and blocks of queries give what one group gives."""
+    x, q = clustered(900, dim=8, seed=6), clustered(70, dim=8, seed=7)
+    path = str(tmp_path / "v")
+    V.build(frame(spark, x), path, lists=12)
+    asked = frame(spark, q).withColumnsRenamed({"vec_id": "query_id", "embedding": "vector"})
+    found = lambda **how: sorted(tuple(r)[:4] for r in V.search(asked, path, k=6, **how).collect())
+    plain = [found(probes=12, rerank=None), found(probes=3, rerank=None), found(probes=3, rerank=5)]
+    y = x.astype(np.float32).astype(float)
+    want = exact(y, q.astype(np.float32).astype(float), 6)
+    assert [[r[2] for r in plain[0] if r[0] == i] for i in range(70)] == want
+    for name, size in (("SLICE", 100), ("QUERIES", 20), ("PRODUCT", 300)):
+        monkeypatch.setattr(V, name, size)
+    assert [found(probes=12, rerank=None), found(probes=3, rerank=None), found(probes=3, rerank=5)] == plain
