@@ -197,11 +197,54 @@ def _spread(links: DataFrame, start: DataFrame, levels: int, include: bool) -> D
     return seen
 
 
-def shortest_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+#: near(ids, end) gives src, dst, rel_type of the edges whose `end` ("src" or "dst") is among ids (id), as views.edges_at does.
+Near = Callable[[DataFrame, str], DataFrame]
+#: Ids that are broadcast to find their edges, at most; more are shuffled.
+SMALL = 100_000
+
+
+def _region(edges: DataFrame | Near, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """src, dst, rel_type: some of the edges, among them all those of walks of up to `depth` steps from starts (id) to ends (id).
+
+    Nodes spread from both sides, a step at a time on the side whose next step has fewer edges, until the steps of both make up
+    the depth: an edge of a walk starts near enough to the starts or else ends near enough to the ends. What is kept are edges of
+    nodes so reached, not the graph's."""
+    near: Near = edges if not isinstance(edges, DataFrame) else lambda ids, end: edges.join(ids.select(F.col("id").alias(end)), end, "left_semi").select("src", "dst", "rel_type")
+    sides = {}
+    for end, roots in (("src", starts), ("dst", ends)):
+        level = pinned(roots.select("id").filter("id IS NOT NULL").distinct())
+        sides[end] = {"level": level, "seen": level, "found": None}
+
+    def step(side: dict, end: str) -> None:
+        n = side["level"].count()
+        side["edges"] = near(F.broadcast(side["level"]) if n <= SMALL else side["level"], end) if n else side["level"].sparkSession.createDataFrame([], "src string, dst string, rel_type string")
+        side["cost"] = side["edges"].count() if n else 0
+
+    for end, side in sides.items():
+        step(side, end)
+    for left in range(depth, 0, -1):
+        end = min(sides, key=lambda e: sides[e]["cost"])
+        side, other = sides[end], "dst" if end == "src" else "src"
+        if not side["cost"]:
+            break  # all that this side can reach has been reached
+        links = pinned(side["edges"])
+        side["found"] = links if side["found"] is None else side["found"].unionByName(links)
+        side["level"] = pinned(links.select(F.col(other).alias("id")).distinct().join(side["seen"], "id", "left_anti"))
+        side["seen"] = side["seen"].unionByName(side["level"])
+        if left > 1:
+            step(side, end)
+    found = [side["found"] for side in sides.values() if side["found"] is not None]
+    if not found:
+        return sides["src"]["edges"]
+    return found[0] if len(found) == 1 else pinned(found[0].unionByName(found[1]).distinct())
+
+
+def shortest_between(edges: DataFrame | Near, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
     """A, b, steps of the shortest walk of 1 to `depth` steps from each of starts (id) to each of ends (id) that has one.
 
-    Both sides spread over half the depth and meet in the middle: a pair of ends is only formed where their halves share a node."""
-    links = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    edges: src, dst, rel_type, or a function that gives those at some nodes. Only edges that such walks can use are looked at (_region).
+    Over these both sides spread over half the depth and meet in the middle: a pair of ends is only formed where their halves share a node."""
+    links = _region(edges, starts, ends, depth).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     back = links.select(F.col("to").alias("at"), F.col("at").alias("to"))
     root = lambda df: df.select(F.col("id").alias("root"), F.col("id").alias("at")).distinct()
     ahead = _spread(links, root(starts), (depth + 1) // 2, False).toDF("a", "at", "x")
@@ -209,12 +252,13 @@ def shortest_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth
     return ahead.join(behind, "at").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("steps"))
 
 
-def paths_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+def paths_between(edges: DataFrame | Near, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
     """A, b, steps, nodes, rels of every path of 1 to `depth` steps from starts (id) to ends (id) that uses no edge twice.
 
+    edges: src, dst, rel_type, or a function that gives those at some nodes. Only edges that such paths can use are looked at (_region).
     Ends spread backwards first, nodes only: how few steps lead from a node to some end. Paths then grow from the starts, over nodes
     from which an end can still be reached in the steps that are left, so no path is built that must fail by its length."""
-    links = edges.select(F.col("src").alias("at"), F.col("rel_type").alias("rel"), F.col("dst").alias("to")).distinct()
+    links = _region(edges, starts, ends, depth).select(F.col("src").alias("at"), F.col("rel_type").alias("rel"), F.col("dst").alias("to")).distinct()
     links = pinned(links.withColumn("edge", F.struct("at", "rel", "to")))
     left = ends.select(F.col("id").alias("at")).distinct().withColumn("left", F.lit(0))
     level = left

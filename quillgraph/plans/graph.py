@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import display_label
 from ..operators import graph as G
-from ..sources.views import catalog, edges, incident_to, label_scan, node_at, nodes, point_lookup, rel_scan
+from ..sources.views import catalog, edges, edges_at, incident_to, label_scan, node_at, nodes, point_lookup, rel_scan
 from .registry import register
 
 _INCIDENT = """both_ways AS (SELECT src AS node, 'out' AS direction, rel_type, dst AS other FROM edges
@@ -154,7 +154,7 @@ def j36_shortest_between(spark, d):
     """From four customers to nations and regions, within five steps."""
     starts = spark.createDataFrame([(f"Customer:{k}",) for k in (1, 2, 5, 8)], "id string")
     ends = nodes(spark, d).filter(F.col("label").isin("Nation", "Region")).select("id")
-    return G.shortest_between(edges(spark, d), starts, ends, 5)
+    return G.shortest_between(partial(edges_at, spark, d), starts, ends, 5)
 
 
 @register("j36_paths_between", """WITH RECURSIVE @EDGES, walk(a, b, n, nodes, rels) AS (SELECT src, dst, 1, [src, dst], [rel_type] FROM edges WHERE src IN ('Customer:1', 'Customer:2', 'Customer:5')
@@ -164,4 +164,4 @@ def j36_paths_between(spark, d):
     """All paths of up to four steps from three customers to six nations; no edge of these relations can come twice."""
     starts = spark.createDataFrame([(f"Customer:{k}",) for k in (1, 2, 5)], "id string")
     ends = spark.createDataFrame([(f"Nation:{k}",) for k in range(1, 7)], "id string")
-    return G.paths_between(edges(spark, d), starts, ends, 4)
+    return G.paths_between(partial(edges_at, spark, d), starts, ends, 4)

@@ -110,6 +110,24 @@ def incident_to(spark: SparkSession, sf_dir: str, start: str | DataFrame, labels
     return found, {o[0] for targets in by.values() for _, _, o in targets}
 
 
+def edges_at(spark: SparkSession, sf_dir: str, ids: DataFrame, end: str) -> DataFrame:
+    """src, dst, rel_type of the edges whose `end` (src or dst) is among ids (id, a computed table).
+
+    Only tables that have such labels at that end are read, and their own columns meet the ids before anything is built of them."""
+    label, key = F.split_part("id", F.lit(":"), F.lit(1)), F.split_part("id", F.lit(":"), F.lit(2))
+    labels = {r[0] for r in ids.select(label).distinct().collect()}  # one for a kind of node
+    parts = [ids.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("").alias("rel_type"))]
+    for name, src, dst, rel in EDGES:
+        own = src if end == "src" else dst
+        if own[0] in labels:
+            number = key.try_cast("long")
+            wanted = ids.filter((label == own[0]) & (F.concat(F.lit(f"{own[0]}:"), number.cast("string")) == F.col("id"))).select(number.alias(own[1]))
+            rows = table(spark, sf_dir, name).select(src[1], dst[1]).join(wanted, own[1], "left_semi")
+            rows = rows.distinct() if name in MANY else rows
+            parts.append(rows.select(node_id(*src).alias("src"), node_id(*dst).alias("dst"), F.lit(rel).alias("rel_type")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def label_scan(nodes: DataFrame, label: str) -> DataFrame:
     """S1."""
     return nodes.filter(F.col("label") == label)

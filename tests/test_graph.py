@@ -184,3 +184,20 @@ def test_in_order(spark):
     got = sorted((r.n, -1 if r.a is None else r.a) for r in in_order(df, ["a"], "n").collect())
     assert [n for n, _ in got] == list(range(50)) and [a for _, a in got] == sorted(a for _, a in got)
     assert in_order(df.limit(0), ["a"], "n").count() == 0
+
+
+@pytest.mark.parametrize("name", ["j36_shortest_between", "j36_paths_between"])
+def test_paths_from_few_seeds_keep_only_edges_that_these_reach(spark, name, monkeypatch):
+    """Not the graph's, which a checkpoint would write to disk once a step."""
+    from quillgraph.plans.registry import QUERIES
+
+    folder, kept, pinned = "/root/testdata/sf0.01", [], G.pinned
+
+    def counted(df):
+        out = pinned(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "pinned", counted)
+    assert QUERIES[name](spark, folder).count()
+    assert max(kept) < spark.read.parquet(f"{folder}/lineitem.parquet").count() / 4
