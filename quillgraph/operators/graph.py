@@ -43,11 +43,27 @@ def seed_expansion(seeds: DataFrame, edges: DataFrame, per_side: int = 5, cap: i
     return first.orderBy("seed_rank", way, "k", "other").limit(cap).select("node", "direction", "rel_type", "other")
 
 
+#: Sources of a target that meet all its others in one group, about.
+BLOCK = 1000
+
+
 def v_pattern(edges: DataFrame, left: str, right: str, existing: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) with (a)-[left]->(t)<-[right]-(b), a < b, without existing pairs."""
-    a = edges.filter(F.col("rel_type") == left).select(F.col("src").alias("a"), F.col("dst").alias("t"))
-    b = edges.filter(F.col("rel_type") == right).select(F.col("src").alias("b"), F.col("dst").alias("t"))
-    pairs = a.join(b, "t").filter("a < b").select("a", "b").distinct()
+    """Pairs (a, b) with (a)-[left]->(t)<-[right]-(b), a < b, without existing pairs.
+
+    A pair comes from the least of the targets that it shares, so that pairs, which may be many more than edges, are neither
+    shuffled nor compared with each other. The sources of a large target are dealt over blocks, each of which meets all others."""
+
+    def side(rel: str, name: str) -> DataFrame:
+        ends = edges.filter((F.col("rel_type") == rel) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col("src").alias(name), F.col("dst").alias("t")).distinct()
+        several = ends.groupBy(name).agg(F.sort_array(F.collect_list("t")).alias(f"{name}_all")).filter(F.size(f"{name}_all") > 1)
+        return ends.join(several, name, "left")  # null for the one target of most
+
+    a, b = side(left, "a"), side(right, "b")
+    sizes = a.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    a = a.join(sizes, "t").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("blocks")
+    b = b.join(sizes, "t").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    once = F.col("a_all").isNull() | F.col("b_all").isNull() | (F.col("t") == F.array_min(F.array_intersect("a_all", "b_all")))
+    pairs = a.join(b.hint("shuffle_merge"), ["t", "block"]).filter("a < b").filter(once).select("a", "b")
     return pairs if existing is None else pairs.join(existing, ["a", "b"], "left_anti")
 
 

@@ -201,3 +201,19 @@ def test_paths_from_few_seeds_keep_only_edges_that_these_reach(spark, name, monk
     monkeypatch.setattr(G, "pinned", counted)
     assert QUERIES[name](spark, folder).count()
     assert max(kept) < spark.read.parquet(f"{folder}/lineitem.parquet").count() / 4
+
+
+def test_v_pattern_gives_each_pair_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """Pairs with several shared targets, repeated edges, other relations, and targets whose sources are dealt over blocks."""
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(40)}", f"t{rng.randrange(6)}", rng.choice("RRQ")) for _ in range(160)] * 2
+    near = lambda rel: {(a, t) for a, t, r in rows if r == rel}
+    monkeypatch.setattr(G, "BLOCK", 4, raising=False)
+    for left, right in (("R", "R"), ("R", "Q")):
+        want = sorted({(a, b) for a, t in near(left) for b, u in near(right) if t == u and a < b})
+        found = G.v_pattern(edges(spark, *rows), left, right)
+        assert sorted((r.a, r.b) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not plan.startswith("Aggregate")
+        some = spark.createDataFrame(want[:5], "a string, b string")
+        assert sorted((r.a, r.b) for r in G.v_pattern(edges(spark, *rows), left, right, some).collect()) == want[5:]
