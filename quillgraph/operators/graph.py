@@ -62,6 +62,9 @@ def v_pattern(edges: DataFrame, left: str, right: str, existing: DataFrame | Non
     sizes = a.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     a = a.join(sizes, "t").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("blocks")
     b = b.join(sizes, "t").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    # few rows make many pairs: partitions by number of groups, which the size of the rows would merge
+    parts = min(4096, max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (sizes.agg(F.sum("blocks")).first()[0] or 0)))
+    a, b = a.repartition(parts, "t", "block"), b.repartition(parts, "t", "block")
     once = F.col("a_all").isNull() | F.col("b_all").isNull() | (F.col("t") == F.array_min(F.array_intersect("a_all", "b_all")))
     pairs = a.join(b.hint("shuffle_merge"), ["t", "block"]).filter("a < b").filter(once).select("a", "b")
     return pairs if existing is None else pairs.join(existing, ["a", "b"], "left_anti")
