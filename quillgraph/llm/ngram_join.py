@@ -20,7 +20,8 @@ meets all others. Two members of which at least one is still outside that one's
 their differences overlap, so they meet again by a prefix of these differences (elements that the centre lacks come
 first, since those are rare). Buckets of this second kind whose members are in one component are finished; in the
 others 32, 256, ... members meet the members of other components, until every pair is either tested or inside one
-component. Tests count the exact intersection.
+component. Sets carry the parities of their elements' counts by hash: each element that only one of two sets has turns one bit, so
+two sets whose bits differ in more than H places are not similar, and no pair is made of them. Tests count the exact intersection.
 
 Scale: equal texts are one class before anything else (partial aggregation). What is shuffled are signatures (about one
 for six shingles, 16 bytes) and sets of candidates only. Aggregations precede joins, so a hot bucket is split by
@@ -60,6 +61,8 @@ THINNED = 2
 BATCH, CHUNK = 500, 128
 #: Signatures of a bucket that one task sorts.
 BUCKET = 1 << 17
+#: Longs of parities of a set, and of one of WIDE_FROM elements or more.
+NARROW, WIDE, WIDE_FROM = 8, 32, 1 << 10
 
 
 def shape(num: int, den: int) -> tuple[float, int]:
@@ -271,10 +274,21 @@ def _shared(buckets: int):
     return run
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Bits, 64 a long: whether the number of elements that hash to a bit's place is odd."""
+    bits = 64 * (WIDE if len(elements) >= WIDE_FROM else NARROW)
+    counts = np.bincount((_mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int):
+    def made(p: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t, n) for t in p["text"]]
+        return pd.DataFrame({"c": p["c"], "elements": [x.view(np.int64) for x in sets], "bits": [parities(x) for x in sets]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield from _chunks(p, lambda q: pd.DataFrame({"c": q["c"], "elements": [shingles(t, n).view(np.int64) for t in q["text"]]}))
+            yield from _chunks(p, made)
 
     return run
 
@@ -355,6 +369,13 @@ def _may(p: str, q: str, num: int, den: int) -> Column:
     return (least <= 0) | ((F.col(f"i{p}") <= F.col(f"d{p}") - least) & (F.col(f"i{q}") <= F.col(f"d{q}") - least))
 
 
+def _alike(p: str, q: str, num: int, den: int) -> Column:
+    """Whether two sets can be similar by their parities; those of different widths are not compared."""
+    x, y = F.col(f"bits{p}"), F.col(f"bits{q}")
+    apart = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda some, k: some + k)
+    return (F.size(x) != F.size(y)) | (apart <= F.floor((F.col(f"n{p}") + F.col(f"n{q}")) * (den - num) / (den + num)))
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, c: str, out: str) -> DataFrame:
     return rows.join(roots.toDF(c, "__r"), c, "left").withColumn(out, F.coalesce("__r", c)).drop("__r")
 
@@ -392,8 +413,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     wanted = durable(members.df.select("c").distinct().join(classes.select("c", "label", "key"), "c"))
     texts = among(rows, "key", wanted).join(wanted.toDF("c", "__label", "__key"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__label"))).select("c", "text")
     with batches_of(spark, BATCH):
-        held = stored(texts.mapInPandas(_sets(n), "c long, elements array<long>").dropDuplicates(["c"]))
-    sets = held.df
+        held = stored(texts.mapInPandas(_sets(n), "c long, elements array<long>, bits array<long>").dropDuplicates(["c"]))
+    sets = held.df.select("c", "elements")
+    with_bits = lambda rows, c, out: rows.join(held.df.select(F.col("c").alias(c), F.col("bits").alias(out)), c)
     tidy(spark)
 
     # pivot of a bucket: the member that meets most others over all its buckets, so that buckets of one group agree on it
@@ -428,7 +450,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     rest = stored(_rooted(_rooted(prefixes.df, roots, "b", "rb"), roots, "y", "ry").withColumn("core", F.col("rb") == F.col("ry")).drop("rb", "ry"))
     prefixes.drop()
     outer, core = _placed(rest.df.filter("NOT core"), "to_core", "x"), _placed(rest.df.filter("core"), "prefix", "y").withColumnsRenamed({"a": "a2", "t": "t2"})
-    pairs = outer.join(core, (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y", num, den)).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    outer = with_bits(outer.join(core.select(F.col("a2").alias("a"), F.col("t2").alias("t")).distinct(), ["a", "t"], "left_semi"), "cx", "bitsx")
+    met = outer.join(with_bits(core, "cy", "bitsy"), (F.col("a") == F.col("a2")) & (F.col("t") == F.col("t2")) & _may("x", "y", num, den) & _alike("x", "y", num, den))
+    pairs = met.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
     more = durable(apart(pairs).join(done, ["a", "b"], "left_anti").join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(more)
     roots = durable(joined(roots, _verified(more, sets, num, den)))
@@ -443,7 +467,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
         if not open_.limit(1).count():
             break
         chosen = durable(_first(open_, "sig", ["c"], pivots).select("sig", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("ix").alias("iy")))
-        met = open_.join(chosen.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y", num, den))
+        others = with_bits(chosen.withColumnRenamed("sig", "s"), "a", "bitsy")
+        met = with_bits(open_, "c", "bitsx").join(others, (F.col("sig") == F.col("s")) & (F.col("r") != F.col("ra")) & _may("x", "y", num, den) & _alike("x", "y", num, den))
         pairs = met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         fresh = durable(pairs.join(tested, ["a", "b"], "left_anti").join(done, ["a", "b"], "left_anti"))
         tested = tested.union(fresh)

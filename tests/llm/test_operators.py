@@ -666,6 +666,41 @@ def test_keep_one_of_null_ids(spark):
     assert sorted(kept, key=str) == [(7, "c0"), (None, "a0"), (None, "b0"), (None, "d0")]
 
 
+def test_texts_that_share_passages_are_not_paired(spark, monkeypatch):
+    """Texts of one large shared passage and words of their own: far from similar, but all in buckets of one pivot."""
+    rng = np.random.default_rng(3)
+    common, other = [f"p{i}" for i in range(200)], [f"q{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        own = [f"w{k}x{i}" for i in range(90)]
+        some = sorted(rng.choice(60, 40, replace=False).tolist())
+        texts.append(" ".join(common + [other[i] for i in some] + own))
+    texts += [f"{texts[k]} tail{k}" for k in range(0, 60, 7)]
+    tried, verified = [], ngram_join._verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(df, n=5, num=4, den=5).collect()}
+    assert got == {i: i for i in range(60)} | {60 + i: k for i, k in enumerate(range(0, 60, 7))}
+    assert sum(tried[2:]) < len(texts)  # after stars and their exemplars
+
+
+@pytest.mark.parametrize("n", [0, 3, 300, 1020, 5000])
+def test_parities_differ_no_more_than_sets(n):
+    rng = np.random.default_rng(n)
+    pool = rng.integers(0, 2**63, n + 60).astype(np.uint64)
+    for d in (0, 1, 7, 60):
+        x, y = np.unique(pool[:n]), np.unique(pool[d // 2 : n + d - d // 2])
+        p, q = ngram_join.parities(x), ngram_join.parities(y)
+        if len(p) == len(q):
+            assert np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+    assert not len(pool[:n]) or ngram_join.parities(pool[:1]).any()
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(0)
     for _ in range(1500):
