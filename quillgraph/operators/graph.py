@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import display_label
+from ..sources import views
 from ..sources.scratch import pinned, scratch_path, written
 from .ranks import in_order
 
@@ -216,10 +217,8 @@ def _spread(links: DataFrame, start: DataFrame, levels: int, include: bool) -> D
     return seen
 
 
-#: near(ids, end) gives src, dst, rel_type of the edges whose `end` ("src" or "dst") is among ids (id), as views.edges_at does.
+#: near(ids, end) gives src, dst, rel_type of the edges whose `end` ("src" or "dst") is among ids (id), as views.edges_at does; they may repeat.
 Near = Callable[[DataFrame, str], DataFrame]
-#: Ids that are broadcast to find their edges, at most; more are shuffled.
-SMALL = 100_000
 
 
 def _region(edges: DataFrame | Near, starts: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
@@ -227,17 +226,22 @@ def _region(edges: DataFrame | Near, starts: DataFrame, ends: DataFrame, depth:
 
     Nodes spread from both sides, a step at a time on the side whose next step has fewer edges, until the steps of both make up
     the depth: an edge of a walk starts near enough to the starts or else ends near enough to the ends. What is kept are edges of
-    nodes so reached, not the graph's."""
-    near: Near = edges if not isinstance(edges, DataFrame) else lambda ids, end: edges.join(ids.select(F.col("id").alias(end)), end, "left_semi").select("src", "dst", "rel_type")
+    nodes so reached, each once, not the graph's. Of a step that may not be made edges are only estimated, by a sketch a task:
+    repeats are told apart without a shuffle of rows."""
+
+    def among(ids: DataFrame, end: str) -> DataFrame:
+        wanted = ids.select(F.col("id").alias(end))
+        return edges.join(F.broadcast(wanted) if ids.count() <= views.SMALL else wanted, end, "left_semi").select("src", "dst", "rel_type")
+
+    near: Near = among if isinstance(edges, DataFrame) else edges
     sides = {}
     for end, roots in (("src", starts), ("dst", ends)):
         level = pinned(roots.select("id").filter("id IS NOT NULL").distinct())
         sides[end] = {"level": level, "seen": level, "found": None}
 
     def step(side: dict, end: str) -> None:
-        n = side["level"].count()
-        side["edges"] = near(F.broadcast(side["level"]) if n <= SMALL else side["level"], end) if n else side["level"].sparkSession.createDataFrame([], "src string, dst string, rel_type string")
-        side["cost"] = side["edges"].count() if n else 0
+        side["edges"] = near(side["level"], end)
+        side["cost"] = side["edges"].agg(F.approx_count_distinct(F.xxhash64("src", "dst", "rel_type"))).first()[0]  # 0 only if there are none
 
     for end, side in sides.items():
         step(side, end)
@@ -246,7 +250,7 @@ def _region(edges: DataFrame | Near, starts: DataFrame, ends: DataFrame, depth:
         side, other = sides[end], "dst" if end == "src" else "src"
         if not side["cost"]:
             break  # all that this side can reach has been reached
-        links = pinned(side["edges"])
+        links = pinned(side["edges"].distinct())
         side["found"] = links if side["found"] is None else side["found"].unionByName(links)
         side["level"] = pinned(links.select(F.col(other).alias("id")).distinct().join(side["seen"], "id", "left_anti"))
         side["seen"] = side["seen"].unionByName(side["level"])

@@ -68,6 +68,8 @@ EDGES = (
     ("nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "IN_REGION"),
 )
 MANY = frozenset(("lineitem",))
+#: Ids that are broadcast to find their edges, at most; more are shuffled.
+SMALL = 100_000
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,19 +113,19 @@ def incident_to(spark: SparkSession, sf_dir: str, start: str | DataFrame, labels
 
 
 def edges_at(spark: SparkSession, sf_dir: str, ids: DataFrame, end: str) -> DataFrame:
-    """src, dst, rel_type of the edges whose `end` (src or dst) is among ids (id, a computed table).
+    """src, dst, rel_type of the edges whose `end` (src or dst) is among ids (id, a computed table). Rows of MANY repeat edges.
 
-    Only tables that have such labels at that end are read, and their own columns meet the ids before anything is built of them."""
+    Only tables that have such labels at that end are read, and their own columns meet the ids before anything is built of them. Ids of a
+    label are broadcast up to SMALL, so that the table's rows are not shuffled; whether they are does not depend on the other labels' ids."""
     label, key = F.split_part("id", F.lit(":"), F.lit(1)), F.split_part("id", F.lit(":"), F.lit(2))
-    labels = {r[0] for r in ids.select(label).distinct().collect()}  # one for a kind of node
+    sizes = {r[0]: r[1] for r in ids.groupBy(label).agg(F.count("*")).collect()}  # one for a kind of node
     parts = [ids.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("").alias("rel_type"))]
     for name, src, dst, rel in EDGES:
         own = src if end == "src" else dst
-        if own[0] in labels:
+        if own[0] in sizes:
             number = key.try_cast("long")
             wanted = ids.filter((label == own[0]) & (F.concat(F.lit(f"{own[0]}:"), number.cast("string")) == F.col("id"))).select(number.alias(own[1]))
-            rows = table(spark, sf_dir, name).select(src[1], dst[1]).join(wanted, own[1], "left_semi")
-            rows = rows.distinct() if name in MANY else rows
+            rows = table(spark, sf_dir, name).select(src[1], dst[1]).join(F.broadcast(wanted) if sizes[own[0]] <= SMALL else wanted, own[1], "left_semi")
             parts.append(rows.select(node_id(*src).alias("src"), node_id(*dst).alias("dst"), F.lit(rel).alias("rel_type")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -203,6 +203,31 @@ def test_paths_from_few_seeds_keep_only_edges_that_these_reach(spark, name, monk
     assert max(kept) < spark.read.parquet(f"{folder}/lineitem.parquet").count() / 4
 
 
+def test_edges_of_few_nodes_of_a_label_are_found_without_a_shuffle(spark, monkeypatch):
+    """Nor are they where ids of another label are many; whether they are shuffled or not, paths are the same."""
+    from quillgraph.plans.registry import QUERIES
+    from quillgraph.sources import views as W
+
+    folder = "/root/testdata/sf0.01"
+    monkeypatch.setattr(W, "SMALL", 40)
+    ids = _ids(spark, *(f"Customer:{k}" for k in range(50)), *(f"Supplier:{k}" for k in range(30)))
+    found = W.edges_at(spark, folder, ids, "dst")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    want = {(f"Part:{r.l_partkey}", f"Supplier:{r.l_suppkey}") for r in spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_suppkey < 30").select("l_partkey", "l_suppkey").collect()}
+    assert {(r.src, r.dst) for r in found.collect()} == want
+    every = sorted(map(str, QUERIES["j36_paths_between"](spark, folder).collect()))
+    for small in (0, 1000):
+        monkeypatch.setattr(W, "SMALL", small)
+        assert sorted(map(str, QUERIES["j36_paths_between"](spark, folder).collect())) == every
+
+
+def test_region_keeps_repeated_edges_once(spark):
+    rows, e = _graph(spark, 5)
+    once, again = (G._region(x, _ids(spark, "n0", "n1"), _ids(spark, "n2", "n3"), 3).collect() for x in (e, e.unionByName(e)))
+    assert sorted(map(str, once)) == sorted(map(str, again)) and len(set(again)) == len(again)
+
+
 def test_v_pattern_gives_each_pair_once_without_a_shuffle_of_pairs(spark, monkeypatch):
     """Pairs with several shared targets, repeated edges, other relations, and targets whose sources are dealt over blocks."""
     rng = random.Random(3)
