@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 #: Rows that centres and codebooks are fitted on, at most; codes of a part; rows that a task of a search holds, about.
 SAMPLE, CODES, SLICE = 20_000, 256, 20_000
 #: Queries of a block, rows that a task returns, and distances that it holds at once, about.
-QUERIES, FOUND, PRODUCT = 8192, 1 << 20, 1 << 22
+QUERIES, FOUND, PRODUCT = 8192, 1 << 20, 1 << 20
+#: Components of the rows, and of the queries, that a task of a search holds, at most: the longer the vectors, the fewer.
+HELD = 1_280_000
 #: Decimals to which distances count.
 PLACES = 9
 #: Lists, at most (a centre each in the model and 40 sample rows for each).
@@ -56,11 +58,13 @@ def _usable(vector: Column) -> Column:
 def _units(lists: pa.Array) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)
-    return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+    flat /= np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+    return flat
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres * centres).sum(1)[None] - 2 * x @ centres.T, axis=1)
+    far, step = (centres * centres).sum(1)[None], max(1, PRODUCT // len(centres))
+    return np.concatenate([np.argmin(far - 2 * x[i : i + step] @ centres.T, axis=1) for i in range(0, max(1, len(x)), step)])
 
 
 def _centres(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -194,7 +198,8 @@ def _by_vectors(model: Model, rows: pa.Table, asked: pa.Table) -> Iterator[np.nd
     at, step = rows.column("list").to_numpy(), max(1, PRODUCT // rows.num_rows)
     for i in range(0, asked.num_rows, step):
         some = asked.slice(i, step)
-        for far, lists in zip(1 - np.array(some.column("v").to_pylist()) @ x.T, some.column("lists").to_pylist()):
+        product = some.column("v").combine_chunks().flatten().to_numpy().reshape(some.num_rows, -1) @ x.T
+        for far, lists in zip(np.subtract(1, product, out=product), some.column("lists").to_pylist()):
             seen = np.zeros(len(model.centres), bool)
             seen[lists] = True
             yield np.where(seen[at], far, np.inf)
@@ -221,20 +226,27 @@ def _ranked(model: Model, keep: int, whole: bool):
     return run
 
 
+def _bounds(dim: int, keep: int) -> tuple[int, int]:
+    """Rows and queries of a task of a search, at most."""
+    return max(1, min(SLICE, HELD // dim)), max(1, min(QUERIES, HELD // dim, FOUND // keep))
+
+
 def _nearest_rows(model: Model, index: DataFrame, asked: DataFrame, keep: int, whole: bool) -> DataFrame:
     """query_id, list, id, batch, near of at least the `keep` nearest rows of each query's lists.
 
-    Lists are packed into cells of about SLICE rows and larger ones cut, queries dealt into blocks, so that a task holds a slice of a
-    cell and a block of the queries that visit it, whatever the numbers of rows, lists and queries; it returns `keep` rows a query."""
+    Lists are packed into cells of about SLICE rows (fewer, if vectors are long) and larger ones cut, queries dealt into blocks, so that a
+    task holds a slice of a cell and a block of the queries that visit it, whatever the numbers of rows, lists, queries and components; it
+    returns `keep` rows a query."""
     spark = asked.sparkSession
+    most, block = _bounds(model.dim, keep)
     counts = index.groupBy("list").count().orderBy("list").collect()  # a row a list
     cells, cell, filled = {}, 0, 0
     for number, n in counts:
-        if filled and filled + n > SLICE:
+        if filled and filled + n > most:
             cell, filled = cell + 1, 0
-        cells[number], filled = (cell, -(-n // SLICE)), filled + n
+        cells[number], filled = (cell, -(-n // most)), filled + n
     at = spark.createDataFrame([(number, *x) for number, x in cells.items()], "list int, cell int, slices int")
-    blocks = -(-asked.count() // max(1, min(QUERIES, FOUND // keep))) or 1
+    blocks = -(-asked.count() // block) or 1
     own = F.struct(*[F.lit([cells.get(i, (-1, 0))[k] for i in range(len(model.centres))]).cast("array<int>").alias(c) for k, c in enumerate(("cell", "slices"))])
     dealt = index.select("list", "id", "batch", "vector" if whole else "codes").join(F.broadcast(at), "list")
     dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("slices")

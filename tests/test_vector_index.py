@@ -1,7 +1,10 @@
 """The vector index against exact search, over builds, appends and odd vectors."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.operators import vector_index as V
@@ -126,3 +129,30 @@ def test_groups_of_a_search_are_bounded(spark, tmp_path, monkeypatch):
     for name, size in (("SLICE", 100), ("QUERIES", 20), ("PRODUCT", 300)):
         monkeypatch.setattr(V, name, size)
     assert [found(probes=12, rerank=None), found(probes=3, rerank=None), found(probes=3, rerank=5)] == plain
+
+
+def test_a_task_of_a_search_holds_little_memory(spark, tmp_path, monkeypatch):
+    """A full slice with many queries; long vectors come in smaller slices and blocks, which give the same rows."""
+    rng = np.random.default_rng(8)
+    n, asked, dim = V.SLICE, 1000, 64
+    x, q = rng.normal(size=(n, dim)), rng.normal(size=(asked, dim))
+    q /= np.sqrt((q * q).sum(1, keepdims=True))
+    model = V.Model(x[:1], np.zeros((1, 1, dim)))
+    lists = lambda a, kind: pa.array(list(a), pa.list_(kind))
+    rows = pa.table({"list": pa.array(np.zeros(n, np.int32)), "id": pa.array(np.arange(n)), "batch": pa.array(["build"] * n), "vector": lists(x.astype(np.float32), pa.float32())})
+    queries = pa.table({"query_id": pa.array(np.arange(asked)), "v": lists(q, pa.float64()), "lists": lists(np.zeros((asked, 1), np.int32), pa.int32())})
+    tracemalloc.start()
+    got = V._ranked(model, 5, True)(rows, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 5 * asked and peak < 48e6
+    y, one = x.astype(np.float32).astype(float), got.slice(0, 5)
+    assert one.column("id").to_pylist() == exact(y, q[:1], 5)[0]
+    assert V._bounds(64, 5) == (V.SLICE, V.QUERIES) and max(V._bounds(1024, 5)) * 1024 <= V.HELD
+    path, z = str(tmp_path / "v"), clustered(500, dim=8, seed=9)
+    V.build(frame(spark, z), path, lists=5)
+    few = frame(spark, z[:60]).withColumnsRenamed({"vec_id": "query_id", "embedding": "vector"})
+    found = lambda: sorted(tuple(r)[:4] for r in V.search(few, path, k=6, probes=5, rerank=None).collect())
+    plain = found()
+    monkeypatch.setattr(V, "HELD", 160)
+    assert found() == plain
